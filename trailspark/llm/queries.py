@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import html_extract, langid, media, mixing, pii, simhash, spm, topk
+from trailspark.llm import html_extract, langid, media, mixing, pii, simhash, spm, suffix_dedup, topk
 from trailspark.llm.common import steps, table
 
 
@@ -24,6 +24,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -86,7 +91,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_topk, op4_pii, op5_sentencepiece, op6_mixing, op7_media, op8_simhash, op10_html)}
+    return {f.__name__: f for f in (op1_langid, op2_topk, op3_suffix_dedup, op4_pii, op5_sentencepiece, op6_mixing, op7_media, op8_simhash, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
