@@ -239,9 +239,13 @@ def identify(docs: DataFrame, model: Model | None, text_column: str = "text", ke
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by features x labels
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string, score double"])
 
+    # a text that stays is sent once
+    own = text_column in kept
+    text_at, batch_text = (kept.index(text_column), text_column) if own else (len(kept), "__text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "__text"):
-            labels, scores = predict(batch.column(len(kept)).to_pylist(), sent.value)
+        for batch in steps(batches, batch_text):
+            labels, scores = predict(batch.column(text_at).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept, F.col(text_column).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if own else [F.col(text_column).alias("__text")])).mapInArrow(run, schema)

@@ -410,15 +410,19 @@ def detect(docs: DataFrame, text_column: str = "text", keep: list[str] | None =
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"base_spans array<{SPAN}>, spans array<{SPAN}>, redacted string"])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
+    # a text that stays is sent once
+    own = text_column in kept
+    text_at, batch_text = (kept.index(text_column), text_column) if own else (len(kept), "__text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "__text"):
-            texts = batch.column(len(kept)).to_pylist()
+        for batch in steps(batches, batch_text):
+            texts = batch.column(text_at).to_pylist()
             bases, spans = find(texts, sent.value)
             rows = [pa.array([[{"start": a, "end": b, "kind": KINDS[k]} for a, k, b in x] for x in y], kind) for y in (bases, spans)]
             clean = [None if t is None else redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *rows, pa.array(clean, pa.string())], names=[*kept, "base_spans", "spans", "redacted"])
 
-    return docs.select(*kept, docs[text_column].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if own else [docs[text_column].alias("__text")])).mapInArrow(run, schema)
 
 
 def sha256(text: str) -> str:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import html_extract, langid, media, mixing, pii, simhash, spm, suffix_dedup, topk
+from trailspark.llm import chat, html_extract, langid, media, mixing, pii, simhash, spm, suffix_dedup, topk
 from trailspark.llm.common import steps, table
 
 
@@ -70,6 +70,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles in order (s, u, a), turns and the canonical rendering of each conversation."""
+    found = chat.format_transcripts(chat.as_transcripts(table(spark, sf_dir, "conversations")))
+    roles = F.array_join(F.transform("turns", lambda t: F.substring(t["role"], 1, 1)), "")
+    return found.select("conv_id", "segment", F.size("turns").cast("long").alias("n_turns"), roles.alias("roles"), "rendered")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -91,7 +98,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_topk, op3_suffix_dedup, op4_pii, op5_sentencepiece, op6_mixing, op7_media, op8_simhash, op10_html)}
+    return {f.__name__: f for f in (op1_langid, op2_topk, op3_suffix_dedup, op4_pii, op5_sentencepiece, op6_mixing, op7_media, op8_simhash, op9_chat, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,10 @@ bits that their key leaves free, by the same argument, which bounds what one tre
 Components come from alternating large-star and small-star passes over the links, a checkpoint apart.
 
 Defined results: a null text and one without words have fingerprint zero and link like any other; repeated rows and exact copies
-share a fingerprint; empty input gives an empty result; other columns of the input play no part.
+share a fingerprint; empty input gives an empty result; other columns of the input play no part; a row without an id takes no part in linking and has no component.
+
+``near_duplicates`` links by the 64 bits alone.  ``near_copies`` is for removal of near copies by the similarity of their shingle sets, which 64 bits and a radius of 2
+don't measure: it takes longer fingerprints and a radius to match.
 """
 
 from __future__ import annotations
@@ -99,9 +102,11 @@ class BKTree:
         return found
 
 
-def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links (indexes) that connect what is within the radius of each other, without a ring."""
-    tree, root, links = BKTree(), list(range(len(values))), []
+def forest(values, radius: int, tree=None) -> list[tuple[int, int]]:
+    """Links (indexes) that connect what is within the radius of each other, without a ring; a LeafTree holds indexes, a BKTree values."""
+    root, links = list(range(len(values))), []
+    plain = tree is None
+    tree = tree or BKTree()
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -110,6 +115,7 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
         return i
 
     for i, v in enumerate(values):
+        v = v if plain else i
         for j in tree.within(v, radius):
             a, b = top(i), top(j)
             if a != b:
@@ -208,10 +214,136 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+# ---- near copies by similarity of shingle sets ------------------------------------------------------------------------
+
+WORDS = 4  # of 64 bits, in a long fingerprint
+BANDS, ROWS = 16, 2
+LEAF = 256
+
+
+def long_fingerprint(text: str | None, shingle: int) -> tuple[bytes, list[int]]:
+    """256 SimHash bits over the set of shingles, and a key for each band of ROWS minimal hashes."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= shingle:
+        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    else:
+        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+        starts = np.zeros(len(words), np.int64)
+        np.cumsum([len(w) + 1 for w in words[:-1]], out=starts[1:])
+        ends = np.append(starts[1:] - 1, len(joined))
+        n = len(words) - shingle + 1
+        view = memoryview(joined)
+        hashes = np.unique(np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n))
+    bits = []
+    mixed = hashes
+    for _ in range(WORDS):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(mixed), 1 << 16):
+            counts += np.unpackbits(mixed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        bits.append(np.packbits(counts * 2 > len(mixed)))
+        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    least = np.array([int((hashes * np.uint64(2 * k * 0x5851F42D4C957F2D + 1 & 0xFFFFFFFFFFFFFFFF) ^ hashes >> np.uint64(17 + k % 13)).min()) for k in range(BANDS * ROWS)], np.uint64)
+    keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return np.concatenate(bits).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+class LeafTree:
+    """A BK-tree whose leaves hold up to LEAF values, compared with array operations; a fuller leaf becomes a node with children."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.root: list = [None, [], {}]  # pivot, members while a leaf, children by distance
+
+    def distances(self, i: int, others: list[int]) -> np.ndarray:
+        return np.bitwise_count(self.values[others] ^ self.values[i]).sum(axis=1, dtype=np.int64)
+
+    def add(self, i: int) -> None:
+        node = self.root
+        while node[0] is not None:
+            node = node[2].setdefault(int(self.distances(i, [node[0]])[0]), [None, [], {}])
+        node[1].append(i)
+        if len(node[1]) > LEAF:
+            pivot, *rest = node[1]
+            d = self.distances(pivot, rest)
+            if d.min() == d.max():  # all at one distance: splitting wouldn't part them
+                return
+            node[0], node[1] = pivot, []
+            for j, k in zip(rest, d.tolist(), strict=True):
+                node[2].setdefault(k, [None, [], {}])[1].append(j)
+
+    def within(self, i: int, radius: int) -> list[int]:
+        found, stack = [], [self.root]
+        while stack:
+            pivot, members, children = stack.pop()
+            if pivot is not None:
+                d = int(self.distances(i, [pivot])[0])
+                if d <= radius:
+                    found.append(pivot)
+                stack += [c for k, c in children.items() if d - radius <= k <= d + radius]
+            elif members:
+                d = self.distances(i, members)
+                found += [m for m, x in zip(members, d.tolist(), strict=True) if x <= radius]
+        return found
+
+
+def radius_of(similarity: float, deviations: float = 1.3) -> int:
+    """Differing bits that sets of this Jaccard similarity reach but seldom exceed: the expected number and so many deviations."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(64 * WORDS * p + deviations * (64 * WORDS * p * (1 - p)) ** 0.5)
+
+
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): documents whose shingle sets are similar share the smallest id of their group.
+
+    Similarity is read off 256 SimHash bits.  Shards are the bands of minimal hashes, of which sets this similar share one at least
+    (missed with a chance under one in a million), and each shard searches its BK-tree.  A null id gets a null component.
+    """
+    radius = radius_of(similarity)
+    source = docs.select(id_column, text_column).filter(F.col(id_column).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text_column):
+            made = [long_fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+
+    prints = cut(source.mapInArrow(run, f"id {docs.schema[id_column].dataType.simpleString()}, fp binary, keys array<long>"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("node"), F.min("keys").alias("keys")))
+    dealt = distinct.select("node", "fp", F.posexplode("keys").alias("band", "key"))
+    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
+    placed = dealt.join(shared, ["band", "key"]).repartition(partitions(docs.sparkSession), "band", "key").sortWithinPartitions("band", "key", "node")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, bytes]] = []
+        last = None
+
+        def close() -> pd.DataFrame:
+            values = np.frombuffer(b"".join(f for _, f in held), np.uint64).reshape(-1, WORDS)
+            nodes = [n for n, _ in held]
+            held.clear()
+            return pd.DataFrame([(nodes[i], nodes[j]) for i, j in forest(values, radius, LeafTree(values))], columns=["a", "b"]).astype("int64")
+
+        for pdf in frames:
+            for b, k, node, fp in zip(pdf["band"].tolist(), pdf["key"].tolist(), pdf["node"].tolist(), pdf["fp"], strict=True):
+                if (b, k) != last:
+                    if len(held) > 1:
+                        yield close()
+                    held.clear()
+                    last = (b, k)
+                held.append((node, fp))
+        if len(held) > 1:
+            yield close()
+
+    found = components(placed.mapInPandas(search, "a long, b long").distinct())
+    merged = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(merged, "fp").select(F.col("id").alias(id_column), "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id that the links reach, the document's own included."""
     fps = cut(fingerprints(docs, id_column, text_column, shingle))
-    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("node")))
+    distinct = cut(fps.filter(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("node")))
     found = components(links(distinct, radius))
     merged = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(merged, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
+    placed = fps.join(merged, "fp", "left")
+    return placed.select(F.col("id").alias(id_column), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
