@@ -35,7 +35,12 @@ NAMES = {
     "assistant": "assistant ai bot model answer a agent gpt reply support helper response",
 }
 SPEAKER = {name: role for role, names in NAMES.items() for name in names.split()}
-MARKER = re.compile(r"^\s*(?:[#>*\-\s]*)(?:\*\*|__|\[|<\|?|\()?\s*([A-Za-z][A-Za-z ]{0,18}?)\s*(?:\d{1,3})?\s*(?:\|?>|\]|\))?(?:\*\*|__)?\s*(:|>|\||\]|\)|-{1,2}|—)(?:\*\*|__)?\s*(.*)$", re.S)
+MARKER = re.compile(
+    r"^\s*(?:#{1,6}\s*|>\s*|[-*]\s+)?(?:\*\*|__)?"
+    r"(?:\[\s*(?P<a>[A-Za-z]+)\s*\d{0,3}\s*\]|<\|?\s*(?P<b>[A-Za-z]+)\s*\|?>|\(\s*(?P<c>[A-Za-z]+)\s*\)|(?P<d>[A-Za-z]+)\s*\d{0,3}\s*(?=\**[:>]|\s[-—]\s))"
+    r"(?:\*\*|__)?\s*[:>—-]{0,2}(?:\*\*|__)?\s*(?P<rest>.*)$",
+    re.S,
+)
 SMOOTH = 0.5
 
 
@@ -43,18 +48,19 @@ def marker(line: str) -> tuple[str | None, str]:
     """The role that a marker at the line's start names, if any, and the rest of the line."""
     m = MARKER.match(line)
     if m:
-        role = SPEAKER.get(m[1].strip().lower())
+        role = SPEAKER.get((m["a"] or m["b"] or m["c"] or m["d"]).lower())
         if role:
-            return role, m[3]
+            return role, m["rest"]
     return None, line
 
 
-def observe(line: str) -> tuple[str, ...]:
+def observe(line: str, marked: bool) -> tuple[str, ...]:
+    """``marked``: whether any line of the transcript has a marker; where none has, a line without one tells nothing."""
     role, rest = marker(line)
     words = rest.split()
     first = re.sub(r"\W", "", words[0].lower()) if words else ""
     return (
-        f"marker:{role}",
+        f"marker:{role}" if marked else "unmarked",
         f"words:{min(5, len(words).bit_length())}",
         f"ask:{rest.rstrip().endswith('?')}",
         f"blank:{not words}",
@@ -82,6 +88,7 @@ def fit(transcripts: list[Labelled]) -> Model:
     totals = np.zeros(n)
     for lines in transcripts:
         last = None
+        marked = any(marker(line)[0] for _, _, line in lines)
         for role, begins, line in lines:
             s = number[role, begins]
             if last is None:
@@ -90,7 +97,7 @@ def fit(transcripts: list[Labelled]) -> Model:
                 moves[last, s] += 1
             last = s
             totals[s] += 1
-            for k, value in enumerate(observe(line)):
+            for k, value in enumerate(observe(line, marked)):
                 if k == len(counts):
                     counts.append(Counter())
                 counts[k][value, s] += 1
@@ -140,9 +147,10 @@ def decode(lines: list[str], model: Model) -> list[tuple[str, bool]]:
     if not lines:
         return []
     known: dict[tuple[str, ...], np.ndarray] = {}
+    marked = any(marker(line)[0] for line in lines)
 
     def emission(line: str) -> np.ndarray:
-        o = observe(line)
+        o = observe(line, marked)
         if o not in known:
             known[o] = sum(e.get(v, rare) for e, rare, v in zip(model.emissions, model.rare, o, strict=True))
         return known[o]
