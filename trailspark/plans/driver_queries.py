@@ -1,9 +1,14 @@
 """Registered queries over the driver's tables, and the SQL that each must agree with."""
 
+from __future__ import annotations
+
+from trailspark.plans import q_functions  # noqa: F401  registers its queries
+from trailspark.plans.bindings import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
