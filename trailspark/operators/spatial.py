@@ -100,12 +100,15 @@ def area(rings: Column) -> Column:
 
 
 def centroid(ring: Column) -> Column:
-    """(lng, lat) of a ring's area; of its points' mean where the area is nothing."""
-    a = signed_area(ring)
-    part = lambda axis1, axis2: F.aggregate(_edges(ring), lit(0), lambda s, e: s + (e[axis1] + e[axis2]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"]))
-    mean = lambda f: F.aggregate(ring, lit(0), lambda s, p: s + p[f]) / F.size(ring)
+    """(lng, lat) of a ring's area, reckoned from its first point; of its points' mean where the area is nothing."""
+    first = ring[0]
+    near = F.transform(ring, lambda p: F.struct((p["lng"] - first["lng"]).alias("lng"), (p["lat"] - first["lat"]).alias("lat")))
+    a = signed_area(near)
+    part = lambda axis1, axis2: F.aggregate(_edges(near), lit(0), lambda s, e: s + (e[axis1] + e[axis2]) * (e["x1"] * e["y2"] - e["x2"] * e["y1"]))
+    mean = lambda f: F.aggregate(near, lit(0), lambda s, p: s + p[f]) / F.size(near)
     return F.struct(
-        F.when(a != 0, part("x1", "x2") / (6 * a)).otherwise(mean("lng")).alias("lng"), F.when(a != 0, part("y1", "y2") / (6 * a)).otherwise(mean("lat")).alias("lat")
+        (first["lng"] + F.when(a != 0, part("x1", "x2") / (6 * a)).otherwise(mean("lng"))).alias("lng"),
+        (first["lat"] + F.when(a != 0, part("y1", "y2") / (6 * a)).otherwise(mean("lat"))).alias("lat"),
     )
 
 

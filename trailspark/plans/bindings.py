@@ -33,7 +33,7 @@ KINDS = ("forest", "park", "residential", "farmland", "industrial", "meadow", "h
 ENTITIES = {
     "caches": f"""
         SELECT id, owner, code, type, name, lng, lat, difficulty, terrain, archived, disabled AND NOT archived AS disabled, solved, stage_count,
-               CASE WHEN type = 'Adventure Lab' THEN concat('adv', CAST(owner AS STRING), '-', CAST(id % 7 AS STRING)) END AS adventure_id,
+               CASE WHEN type = 'Adventure Lab' THEN concat('adv', CAST(owner AS STRING), '-', CASE WHEN id % 24 = 10 THEN 'a' ELSE 'b' END) END AS adventure_id,
                CASE WHEN type = 'Adventure Lab' THEN CAST(id % 5 + 1 AS INT) END AS stage_sequence,
                ts
         FROM (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS owner, concat('GC', CAST(c_custkey AS STRING)) AS code, {choose('c_custkey', CACHE_TYPES)} AS type,
