@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,10 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             if batch.num_rows:
                 yield batch
             continue
-        lengths = [0 if x is None else len(x) for x in sizes.to_pylist()]
+        if pa.types.is_list(sizes.type):
+            lengths = [8 * n for n in pc.fill_null(pc.list_value_length(sizes), 0).to_pylist()]
+        else:
+            lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             if i > start and total + n > limit:

@@ -31,8 +31,8 @@ from trailspark.llm.common import cut, steps
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 GIANT, CHUNK = 1 << 16, 1 << 13
-#: Solved units and pairs that a worker keeps; beyond that it starts anew.
-KEPT_UNITS, KEPT_PAIRS = 400_000, 1_000_000
+#: Solved units and pairs in each of the two generations that a worker keeps: when the young one is full it becomes the old one.
+KEPT_UNITS, KEPT_PAIRS = 120_000, 200_000
 State = tuple[int, int]  # piece (or minus the code of a character outside the vocabulary), characters beyond the cut
 START = 0  # the unknown piece's number, which no text holds
 
@@ -53,13 +53,14 @@ class Vocabulary:
     byte: list[int]  # piece of each byte
     normal: dict[str, int]
     longest: int
-    prefixes: set[str] = field(default_factory=set)
+    trie: dict[str, int] = field(default_factory=dict)  # the piece of a string, or 0 where it only begins some
+    inside: set[str] = field(default_factory=set)  # two characters that are neighbours in some piece
     units: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    old_units: dict[str, tuple[int, ...]] = field(default_factory=dict)
     pairs: dict[int, bool] = field(default_factory=dict)
-    starts: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"units": {}, "pairs": {}, "starts": {}}
+        return self.__dict__ | {"units": {}, "old_units": {}, "pairs": {}}
 
     @staticmethod
     def load(model_file: str | None = None) -> Vocabulary:
@@ -74,7 +75,8 @@ class Vocabulary:
         v = Vocabulary(pieces, scores, byte, plain, max(map(len, plain)))
         v.normal = {p: i for p, i in plain.items() if len(p) == 1 or v.merge(p, plain) == [p]}
         v.longest = max(map(len, v.normal))
-        v.prefixes = {p[:k] for p in v.normal for k in range(1, len(p) + 1)}
+        v.trie = {p[:k]: 0 for p in v.normal for k in range(1, len(p))} | v.normal
+        v.inside = {p[k : k + 2] for p in v.normal for k in range(len(p) - 1)}
         return v
 
     def merge(self, text: str, among: dict[str, int]) -> list[str]:
@@ -108,12 +110,11 @@ class Vocabulary:
         """(piece, length) of all pieces that start at a place; a character outside the vocabulary stands for itself."""
         out = []
         for k in range(i + 1, min(len(text), i + self.longest) + 1):
-            s = text[i:k]
-            p = self.normal.get(s)
-            if p is not None:
-                out.append((p, k - i))
-            elif s not in self.prefixes:
+            p = self.trie.get(text[i:k])
+            if p is None:
                 break
+            if p:
+                out.append((p, k - i))
         if not out or out[0][1] != 1:
             out.append((-ord(text[i]), 1))
         return out
@@ -131,47 +132,75 @@ class Vocabulary:
         return out
 
     def unit(self, text: str) -> tuple[int, ...]:
-        known = self.units.get(text)
+        """The pieces of a unit, parted where no piece holds the two neighbours: parts are solved once each."""
+        known = self.old_units.get(text)
         if known is None:
-            if len(self.units) >= KEPT_UNITS:
-                self.units.clear()
-            known = self.units[text] = tuple(self.ids(self.solve(text)))
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside]
+            if cuts:
+                known = ()
+                for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+                    part = text[a:b]
+                    known += self.units.get(part) or self.part(part)
+            else:
+                known = tuple(self.ids(self.solve(text)))
+        if len(self.units) >= KEPT_UNITS:
+            self.old_units, self.units = self.units, {}
+        self.units[text] = known
         return known
 
+    def part(self, text: str) -> tuple[int, ...]:
+        known = self.old_units.get(text)
+        if known is None:
+            known = tuple(self.ids(self.solve(text)))
+        self.units[text] = known
+        return known
+
+    def starting(self, text: str, i: int) -> list[tuple[int, int]]:
+        """(piece, end) of all pieces that start at a place, as ``at``, by one look-up for each length."""
+        out, trie = [], self.trie
+        for k in range(i + 1, min(len(text), i + self.longest) + 1):
+            p = trie.get(text[i:k])
+            if p is None:
+                break
+            if p:
+                out.append((p, k))
+        if not out or out[0][1] != i + 1:
+            out.insert(0, (-ord(text[i]), i + 1))
+        return out
+
     def solve(self, text: str) -> list[int]:
-        """The best path through a short text's lattice: as Chunk, with one entry state, and so without masks."""
-        n, longest, normal, prefixes, pairs, stays = len(text), self.longest, self.normal, self.prefixes, self.pairs, self.stays
-        reach: list[list | None] = [None] * (n + 1)
-        reach[0] = [(START, None)]
-        for i in range(n):
-            here = reach[i]
-            if here is None:
-                continue
-            single = False
-            for k in range(i + 1, min(n, i + longest) + 1):
-                s = text[i:k]
-                p = normal.get(s)
-                if p is not None:
-                    single = single or k == i + 1
-                    for node in here:
-                        u = node[0]
-                        known = True if u <= 0 else pairs.get(u << 20 | p)
-                        if stays(u, p) if known is None else known:
-                            if reach[k] is None:
-                                reach[k] = []
-                            reach[k].append((p, node))
-                            break
-                elif s not in prefixes:
-                    break
-            if not single:
-                if reach[i + 1] is None:
-                    reach[i + 1] = []
-                reach[i + 1].append((-ord(text[i]), here[0]))
-        node, path = reach[n][0], []
-        while node[1] is not None:
-            path.append(node[0])
-            node = node[1]
-        return path[::-1]
+        """The best path through a short text's lattice, depth first with the longest pieces first: no weight exceeds 0, so the first
+        path to the end is a best one (and, for this vocabulary, the only one).  States that lead nowhere are left once and for all."""
+        n, pairs, stays, starting = len(text), self.pairs, self.stays, self.starting
+        dead: set[tuple[int, int]] = set()
+        memo: dict[int, list[tuple[int, int]]] = {}
+        path: list[tuple[int, int, int]] = []  # place, piece before it, alternatives left
+        at, before = 0, START
+        options = memo[0] = starting(text, 0)
+        left = len(options)
+        while at < n:
+            while left:
+                left -= 1
+                piece, end = options[left]
+                if before > 0 and piece > 0:
+                    known = pairs.get(before << 20 | piece)
+                    if not (stays(before, piece) if known is None else known):
+                        continue
+                if dead and (end, piece) in dead:
+                    continue
+                path.append((at, before, left))
+                at, before = end, piece
+                if at < n:
+                    options = memo.get(at)
+                    if options is None:
+                        options = memo[at] = starting(text, at)
+                    left = len(options)
+                break
+            else:
+                dead.add((at, before))
+                at, before, left = path.pop()
+                options = memo[at]
+        return [b for _, b, _ in path[1:]] + [before]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -434,7 +463,7 @@ def decode(encoded: DataFrame, ids_column: str = "ids", model_file: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(sent)
-        for batch in batches:
+        for batch in steps(batches, ids_column, 4 << 20):
             texts = [None if x is None else v.decode(x) for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, "decoded"])
 
