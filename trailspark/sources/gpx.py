@@ -15,8 +15,6 @@ WPT = (
     "`groundspeak:long_description`: STRING, `groundspeak:attributes`: STRUCT<`groundspeak:attribute`: ARRAY<STRUCT<_id: INT, _inc: INT, _VALUE: STRING>>>>>"
 )
 WPT_SCHEMA = WPT.removeprefix("STRUCT<").removesuffix(">")
-#: DDL strings in from_xml need colons throughout.
-WPT_TYPE = "STRUCT<" + WPT_SCHEMA.replace("_lat DOUBLE", "_lat: DOUBLE").replace("_lon DOUBLE", "_lon: DOUBLE")
 
 
 def read_waypoints(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +58,7 @@ def parse_strings(documents: DataFrame, column: str) -> DataFrame:
     """One row for each ``<wpt>`` element of XML strings: the same rules where files come as rows."""
     one = F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?s)<wpt\b.*?</wpt>"), F.lit(0))).alias("x")
     others = [c for c in documents.columns if c != column]
-    rows = documents.select(*others, one).withColumn("w", F.from_xml("x", WPT_TYPE, {"rowTag": "wpt"}))
+    rows = documents.select(*others, one).withColumn("w", F.from_xml("x", WPT_SCHEMA, {"rowTag": "wpt"}))
     return rows.select(*others, "w.*")
 
 
