@@ -29,7 +29,8 @@ def _half_chord(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colum
 
 
 def haversine(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
-    return lit(2 * EARTH_M) * F.asin(F.least(lit(1), F.sqrt(_half_chord(lng1, lat1, lng2, lat2))))
+    h = F.sqrt(_half_chord(lng1, lat1, lng2, lat2))
+    return lit(2 * EARTH_M) * F.asin(F.when(h > 1, lit(1)).otherwise(h))  # not least(), which passes over nulls
 
 
 def haversine_planner(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def metric_closure(m: np.ndarray, most_link: float) -> np.ndarray:
@@ -355,4 +356,6 @@ def solve_orienteerings(nodes: DataFrame, matrix: DataFrame, budget_s: float, st
         order = solve_orienteering(p)
         return pd.DataFrame({"instance": own["instance"].iloc[0], "seq": range(len(order)), "stop": order, "score": path_score(order, p), "seconds": path_seconds(order, p)})
 
-    return nodes.groupBy("instance").cogroup(matrix.groupBy("instance")).applyInPandas(run, "instance long, seq int, stop int, score double, seconds double")
+    # both sides may come from one table, so the matrix gets names of its own
+    cells_ = matrix.select(F.col("instance").alias("of"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("meters").alias("meters"))
+    return nodes.groupBy("instance").cogroup(cells_.groupBy("of")).applyInPandas(run, "instance long, seq int, stop int, score double, seconds double")

@@ -89,6 +89,8 @@ def oracle(sql: str) -> str:
     parts = [f"{n} AS ({ENTITIES[n].format(**{t: t for t in TABLES})})" for n in needed]
     # DuckDB parts statements' own WITH from the entities' by a comma
     own = sql.strip()
+    if own.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*parts, own[15:]])
     if own.upper().startswith("WITH "):
         return "WITH " + ", ".join([*parts, own[5:]])
     return ("WITH " + ", ".join(parts) + " " if parts else "") + own

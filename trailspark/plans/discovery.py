@@ -91,6 +91,8 @@ def explain(pool: DataFrame, edges: DataFrame, selection: list[int], r: Request)
     """(strategy, clusters, best_alike, trimmed, tree_m): what each strategy makes of a selection on this graph."""
     x, y = planar(F.col("lng"), F.col("lat"), *r.find.center)
     nodes = pool.select(F.lit(0).alias("request"), "id", x.alias("x"), y.alias("y"))
+    for end in ("from_id", "to_id"):
+        edges = edges.join(pool.select(F.col("id").alias(end)), end, "left_semi")
     links = edges.select(F.lit(0).alias("request"), "from_id", "to_id", "meters")
 
     def run(own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:

@@ -259,7 +259,7 @@ def replan(candidates: DataFrame, start: tuple[float, float], end: tuple[float,
         order = before if kept else order
         return pd.DataFrame({"seq": range(len(order)), "id": pdf["id"].to_numpy()[order], "score": O.path_score(order, p), "seconds": O.path_seconds(order, p), "kept": kept})
 
-    return candidates.groupBy(F.lit(0)).applyInPandas(run, "seq int, id long, score double, seconds double, kept boolean")
+    return candidates.withColumn("request", F.lit(0)).groupBy("request").applyInPandas(run, "seq int, id long, score double, seconds double, kept boolean")
 
 
 def derive_saved(plans: DataFrame, caches: DataFrame, parking: DataFrame) -> DataFrame:
