@@ -42,6 +42,8 @@ MARKER = re.compile(
     re.S,
 )
 SMOOTH = 0.5
+#: A marker says more about the speaker than the shape of a line does, so what was never seen with a state counts for less there.
+MARKER_SMOOTH = 1e-4
 
 
 def marker(line: str) -> tuple[str | None, str]:
@@ -109,10 +111,10 @@ def fit(transcripts: list[Labelled]) -> Model:
                 if q != r:
                     moves[j, i] = 1e-9
     emissions, rare = [], []
-    for c in counts:
-        values = {v for v, _ in c}
-        emissions.append({v: np.array([math.log((c[v, s] + SMOOTH) / (totals[s] + SMOOTH * (len(values) + 1))) for s in range(n)]) for v in values})
-        rare.append(np.array([math.log(SMOOTH / (totals[s] + SMOOTH * (len(values) + 1))) for s in range(n)]))
+    for k, c in enumerate(counts):
+        values, smooth = {v for v, _ in c}, SMOOTH if k else MARKER_SMOOTH
+        emissions.append({v: np.array([math.log((c[v, s] + smooth) / (totals[s] + smooth * (len(values) + 1))) for s in range(n)]) for v in values})
+        rare.append(np.array([math.log(smooth / (totals[s] + smooth * (len(values) + 1))) for s in range(n)]))
     return Model(np.log(first / first.sum()), np.log(moves / moves.sum(axis=1, keepdims=True)), emissions, rare)
 
 
@@ -128,8 +130,8 @@ def labelled_transcripts(count: int = 400, seed: int = 13) -> list[Labelled]:
         turns = (["system"] if r.random() < 0.3 else []) + ["user" if i % 2 == 0 else "assistant" for i in range(r.randint(2, 8))]
         lines: Labelled = []
         for role in turns:
-            body = {"system": [f"{r.choice(['You', 'Always', 'Answer', 'Be'])} {words(4, 14)}."],
-                    "user": [r.choice([f"{r.choice(['How', 'What', 'Can', 'Why'])} {words(3, 12)}?", f"{words(3, 14).capitalize()}."])],
+            body = {"system": [f"{r.choice(['You', 'Always', 'Answer', 'Be'])} {words(4, 40)}.", f"{words(3, 50).capitalize()}."][r.random() < 0.5 :][:1],
+                    "user": [r.choice([f"{r.choice(['How', 'What', 'Can', 'Why'])} {words(3, 12)}?", f"{words(3, 60).capitalize()}."])],
                     "assistant": [r.choice([f"{r.choice(['Sure', 'Yes', 'Here', 'The'])}, {words(6, 30)}.", f"{words(10, 40).capitalize()}."])]}[role]
             body += [r.choice([f"{words(3, 25).capitalize()}.", f"- {words(2, 8)}", "", f"    {words(2, 5)}"]) for _ in range(r.choice((0, 0, 1, 2, 4)))]
             lines += [(role, i == 0, (style[role] if i == 0 else "") + x) for i, x in enumerate(body)]
