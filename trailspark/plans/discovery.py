@@ -69,6 +69,7 @@ def clusters(pool: DataFrame, edges: DataFrame, r: Request) -> DataFrame:
         return pd.DataFrame(out, columns=["n", "id", "tree_m", "tour_m"])
 
     found = nodes.groupBy("request").cogroup(links.groupBy("request")).applyInPandas(run, "n long, id long, tree_m double, tour_m double")
+    found = found.persist()
     name = found.groupBy("n").agg(cluster_id(F.sort_array(F.collect_list("id"))).alias("cluster"))
     return found.join(name, "n").drop("n")
 
@@ -79,7 +80,9 @@ def discover(caches: DataFrame, legs: DataFrame, kinds: DataFrame, parking: Data
     kinds: (id, kinds array), parking: (id, parking_m).
     """
     pool, _, edges = prepare(caches, legs, r, **finder)
-    found = clusters(pool, edges, r)
+    # both are bounded and used several times over
+    pool = pool.persist()
+    found = clusters(pool, edges, r).persist()
     details = pool.select("id", "lng", "lat", "type", "difficulty", "terrain", "stands_for").join(kinds, "id", "left").join(parking, "id", "left")
     members = found.join(details, "id").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>"))).withColumn("attribute_ids", F.array().cast("array<int>"))
     best = rank(score_clusters(members, found.select("cluster", "tree_m", "tour_m").distinct(), r.wishes), most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailspark.plans import q_aggregates, q_finder, q_functions, q_graph, q_maintenance, q_planning, q_spatial, q_streaming  # noqa: F401  they register their queries
+from trailspark.plans import q_aggregates, q_finder, q_functions, q_graph, q_jobs, q_maintenance, q_planning, q_spatial, q_streaming  # noqa: F401  they register their queries
 from trailspark.plans.bindings import ORACLES, QUERIES
 
 
