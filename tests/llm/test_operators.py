@@ -92,7 +92,8 @@ def test_topk_against_brute_force(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(700)]
     rows += [(701, None), (702, [1.0, None] * 4), (703, [float("nan")] * 8), (704, [float("inf")] * 8), (705, []), (706, rows[5][1]), (707, rows[5][1]), (800, rows[5][1]), (900, [0.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "q", "wanted", "route")})
+    no_id = spark.createDataFrame([(None, [9.0] * 8)], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").unionByName(no_id).withColumns({c: F.lit(1) for c in ("id", "q", "wanted", "route")})
     got = {tuple(x) for x in topk.search(df.repartition(3), F.col("vec_id") % 100 == 0, 10, block=128).collect()}
     assert got == brute_topk(rows, 10)
 
@@ -412,14 +413,18 @@ def test_simhash_edges(spark):
     assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(none).collect()} == {(None, None), (1, 1)}
 
 
-def test_near_copies_by_similarity(spark):
+@pytest.mark.parametrize("shard", [20_000, 2])
+def test_near_copies_by_similarity(spark, shard, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", shard)
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
     base = [[word() for _ in range(200)] for _ in range(30)]
     rows = [(i, " ".join(w)) for i, w in enumerate(base)]
     rows += [(100 + i, " ".join(w[:50] + ["zzz"] + w[51:])) for i, w in enumerate(base)]  # similarity of about 0.95
     rows += [(200 + i, " ".join(w[:100] + [word() for _ in range(100)])) for i, w in enumerate(base)]  # about 0.3
+    rows += [(300 + i, rows[30][1] + f" more{i}") for i in range(8)]  # a group of near copies of one text
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[300 + i] == 0 for i in range(8))
     assert all(got[100 + i] == i and got[200 + i] == 200 + i for i in range(30))
     assert simhash.near_copies(empty(spark)).count() == 0
 
@@ -484,6 +489,8 @@ def test_html_layouts():
     assert html_extract.extract(page) == "A & B\nOne two three. four\nCafé <3"
     other = f'<body>{junk}<div id="story"><p>{"word " * 30}</p><p>{"more " * 30}</p></div><ul><li><a href=1>x</a></li><li><a href=2>y</a></li></ul></body>'
     assert html_extract.extract(other) == ("word " * 30).strip() + "\n" + ("more " * 30).strip()
+    third = '<article><div class="entry-header"><h1>Title</h1></div><p>Text <span hidden>no</span>here</p><ins class="adsbygoogle">Buy</ins></article>'
+    assert html_extract.extract(third) == "Title\nText here"
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<p></p>") == ""
 
 

@@ -44,7 +44,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("head nav footer aside form button menu dialog script style noscript template svg iframe textarea select title".split())
 #: Parts of class, id and role values that mark an element as none of the article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "ad ads adsbygoogle advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe signup paywall comment comments commentlist disqus reply replies respond sidebar "
     "widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar "
     "header share sharing social related recommended recommendations teaser teasers outbrain taboola login search skip "
@@ -54,8 +54,13 @@ MARKS = frozenset(
 ARTICLE = frozenset("article main body html".split())
 
 
-def marked(name: str, tag: str) -> bool:
-    """Whether the element's own attributes say that it isn't part of the article."""
+HIDDEN = re.compile(r"\shidden(?=[\s=/>])|\bdisplay\s*:\s*none|\baria-hidden\s*=\s*[\"']?true", re.I)
+
+
+def marked(name: str, tag: str, inside: bool = False) -> bool:
+    """Whether the element's own attributes say that it isn't part of the article, or isn't shown; an article has a header of its own."""
+    if HIDDEN.search(tag):
+        return name not in ("body", "html")
     if "=" not in tag:
         return False
     values = " ".join(ATTRS.findall(tag)).lower()
@@ -64,7 +69,7 @@ def marked(name: str, tag: str) -> bool:
     parts = set(re.split(r"[^a-z]+", values))
     if name in ARTICLE:
         return bool(parts & {"comment", "comments", "reply", "teaser", "related", "sponsored", "promo", "ad", "advert"})
-    return bool(parts & MARKS)
+    return bool(parts & (MARKS - {"header"} if inside else MARKS))
 
 
 def tokens(page: str) -> list[tuple[str, str, int, int]]:
@@ -91,7 +96,7 @@ def tokens(page: str) -> list[tuple[str, str, int, int]]:
     i, links, articles, inside = 0, 0, 0, []
     while i < len(raw):
         kind, value, tag = raw[i]
-        if kind == "o" and value not in VOID and not tag.endswith("/>") and (value in SKIPPED or value == "header" and not inside or marked(value, tag)):
+        if kind == "o" and value not in VOID and not tag.endswith("/>") and (value in SKIPPED or value == "header" and not inside or marked(value, tag, bool(inside))):
             depth, j, stop = 1, i + 1, None
             while j < len(raw) and depth:
                 k, v, _ = raw[j]

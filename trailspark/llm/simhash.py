@@ -219,6 +219,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 WORDS = 4  # of 64 bits, in a long fingerprint
 BANDS, ROWS = 16, 2
 LEAF = 256
+#: Members of one tree; a larger shard is cut into blocks, and every two of its blocks meet in a tree of their own.
+SHARD = 20_000
 
 
 def long_fingerprint(text: str | None, shingle: int) -> tuple[bytes, list[int]]:
@@ -310,8 +312,13 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     prints = cut(source.mapInArrow(run, f"id {docs.schema[id_column].dataType.simpleString()}, fp binary, keys array<long>"))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("node"), F.min("keys").alias("keys")))
     dealt = distinct.select("node", "fp", F.posexplode("keys").alias("band", "key"))
-    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
-    placed = dealt.join(shared, ["band", "key"]).repartition(partitions(docs.sparkSession), "band", "key").sortWithinPartitions("band", "key", "node")
+    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(SHARD)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
+    met = dealt.join(shared, ["band", "key"]).withColumn("blocks", blocks).select("node", "fp", "band", "key", F.inline(pairs))
+    shard = ["band", "key", "x", "y"]
+    placed = met.repartition(partitions(docs.sparkSession), *shard).sortWithinPartitions(*shard, "node")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, bytes]] = []
@@ -324,12 +331,12 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             return pd.DataFrame([(nodes[i], nodes[j]) for i, j in forest(values, radius, LeafTree(values))], columns=["a", "b"]).astype("int64")
 
         for pdf in frames:
-            for b, k, node, fp in zip(pdf["band"].tolist(), pdf["key"].tolist(), pdf["node"].tolist(), pdf["fp"], strict=True):
-                if (b, k) != last:
+            for *at, node, fp in zip(*(pdf[c].tolist() for c in (*shard, "node")), pdf["fp"], strict=True):
+                if at != last:
                     if len(held) > 1:
                         yield close()
                     held.clear()
-                    last = (b, k)
+                    last = at
                 held.append((node, fp))
         if len(held) > 1:
             yield close()

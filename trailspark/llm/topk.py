@@ -9,7 +9,7 @@ exactly, by the smaller id.
 
 Queries are dealt to every route and blocks of the index to one route each, so each pair meets once; a task holds its route's blocks and streams the queries.
 
-Defined results: vectors that are null, or hold a null or a number that isn't finite, take no part; with fewer than k other rows all are returned;
+Defined results: rows without an id, and vectors that are null or hold a null or a number that isn't finite, take no part; with fewer than k other rows all are returned;
 repeated ids are rows of their own (a query leaves out all rows of its id); vectors of another length than the query's aren't compared with it;
 scores that leave 64 bits wrap around.
 """
@@ -173,7 +173,7 @@ def build(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, score): the k rows with the highest inner product with each row for which ``is_query`` holds."""
-    rows = vectors.filter(usable(F.col(vector_column)))
+    rows = vectors.filter(usable(F.col(vector_column)) & F.col(id_column).isNotNull())
     base = rows.select(F.col(id_column).cast("long").alias("id"), quantised(F.col(vector_column), scale).alias("q"), is_query.alias("wanted"))
     blocks = -(-base.count() // block)
     index = cut(build(base.select("id", "q").coalesce(max(1, blocks)), block))
