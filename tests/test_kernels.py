@@ -220,3 +220,14 @@ def test_plan_reports_every_stop(spark):
 def test_share_slug_and_nulls(spark):
     row = spark.range(1).select(text.share_slug(F.lit("x")).alias("s"), geo.haversine(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("h"), P.budget_minutes(F.lit(None).cast("double"), F.lit(1.0)).alias("b")).first()
     assert len(row["s"]) == 16 and row["h"] is None and row["b"] is None
+
+
+def test_kth_smallest_narrows_to_the_value(spark):
+    from trailspark.operators.aggregates import kth_smallest
+
+    r = np.random.default_rng(0)
+    values = [float(x) for x in np.concatenate([r.exponential(1000, 3000), [7.0] * 500])]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for k in (0, 17, 1750, 3499):
+        assert kth_smallest(df, "v", k, buckets=16, few=20) == sorted(values)[k]
+    assert kth_smallest(df, "v", 3500) is None and kth_smallest(df.limit(0), "v", 0) is None

@@ -106,7 +106,7 @@ def ag12(spark: SparkSession, sf: str) -> DataFrame:
            (SELECT count(*) FROM caches WHERE id NOT IN (SELECT from_id FROM e UNION SELECT to_id FROM e)) AS isolated, (SELECT {sql_cents('max(meters)')} FROM m WHERE r = n // 2 + 1) AS median FROM e""")
 def ag13(spark: SparkSession, sf: str) -> DataFrame:
     caches = entity(spark, sf, "caches")
-    stats = A.graph_stats(caches.select("id"), make_legs(caches).filter("from_id < to_id"))
+    stats = A.graph_stats(caches.select("id"), make_legs(caches).filter("from_id < to_id").persist())
     return stats.select("nodes", "edges", "suspicious", cents(C("longest")).alias("longest"), cents(C("detour")).alias("detour"), "isolated", cents(C("median")).alias("median"))
 
 
