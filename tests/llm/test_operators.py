@@ -429,7 +429,9 @@ def test_near_copies_by_similarity(spark, shard, monkeypatch):
     assert simhash.near_copies(empty(spark)).count() == 0
 
 
-def test_leaf_tree_against_all_pairs():
+@pytest.mark.parametrize("leaf", [4096, 20])
+def test_leaf_tree_against_all_pairs(leaf, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
     r = np.random.default_rng(0)
     centre = r.integers(0, 2**63, (1, 4)).astype(np.uint64)
     values = np.repeat(centre, 1500, axis=0)
@@ -440,7 +442,7 @@ def test_leaf_tree_against_all_pairs():
     for i in range(1500):
         if i % 97 == 0:
             want = {j for j in range(i) if int(np.bitwise_count(values[i] ^ values[j]).sum()) <= 30}
-            assert set(tree.within(i, 30)) == want
+            assert set(tree.within(i, 30).tolist()) == want
         tree.add(i)
 
 
@@ -530,3 +532,15 @@ def test_pipeline_keeps_clean_documents(spark, sf, processor):
     text = {r["doc_id"]: r["text"] for r in four.collect()}
     rows = five.collect()
     assert len(rows) == four.count() and all(list(r["ids"]) == processor.encode(text[r["doc_id"]]) for r in rows[:50])
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(Q.oracle_sql()[name]).fetch_df()
+    got = Q.queries()[name](spark, sf).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))

@@ -97,9 +97,37 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 """
 
 
+#: Windows as hexadecimal text; runs are windows that touch or overlap.
+OP3 = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+    SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS k FROM d)
+), m AS (
+    SELECT s, min(doc_id) AS first FROM w GROUP BY s
+), r AS (
+    SELECT w.doc_id, w.k FROM w JOIN m USING (s) WHERE m.first < w.doc_id
+), i AS (
+    SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM r
+), g AS (
+    SELECT doc_id, k, sum(CASE WHEN p IS NULL OR k > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM i
+), runs AS (
+    SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM g GROUP BY doc_id, run
+), gaps AS (
+    SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs
+), kept AS (
+    SELECT gaps.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, concat(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), substr(any_value(h), 2 * max(b) + 1)) AS h
+    FROM gaps JOIN d USING (doc_id) GROUP BY gaps.doc_id
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(kept.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(kept.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_langid, op2_topk, op3_suffix_dedup, op4_pii, op5_sentencepiece, op6_mixing, op7_media, op8_simhash, op9_chat, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2}
+    return {"op2_topk": OP2, "op3_suffix_dedup": OP3}
