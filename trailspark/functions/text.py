@@ -157,11 +157,11 @@ def tour_name(place: Column, meters: Column, caches: Column) -> Column:
     return F.when(place.isNotNull(), F.concat(place, F.lit(" — "), km, F.lit(" km · "), n)).otherwise(F.concat(km, F.lit(" km loop · "), n))
 
 
-def tour_filename(place: Column, meters: Column, caches: Column, day: Column, mode: str) -> Column:
+def tour_filename(place: Column, meters: Column, caches: Column, day: Column, mode: str, prefix: str = "tour") -> Column:
     month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(day))
     slug = F.nullif(place_slug(place), F.lit(""))
     parts = F.concat_ws("-", slug, F.concat(kilometres(meters), F.lit("km")), F.concat(caches.cast("string"), F.lit("c")), F.concat(month, F.lpad(F.dayofmonth(day).cast("string"), 2, "0")), F.lit(mode))
-    return F.concat(F.lit("gctp-"), parts, F.lit(".gpx"))
+    return F.concat(F.lit(f"{prefix}-"), parts, F.lit(".gpx"))
 
 
 def collapse_label(low: Column, high: Column, n: Column) -> Column:
@@ -182,6 +182,7 @@ def share_slug(raw: Column) -> Column:
 
 # ---- map tags --------------------------------------------------------------------------------------------------------
 
+# Tags of land use and what they become, in order of precedence; road classes, settlements, speed words in km/h.
 LANDUSE_TAGS = ("forest", "park", "residential", "farmland", "industrial", "meadow", "heath", "scrub")
 NATURAL_TAGS = {"wood": "forest", "water": "water", "wetland": "wetland", "heath": "heath", "scrub": "scrub"}
 LEISURE_TAGS = {"park": "park", "nature_reserve": "park"}

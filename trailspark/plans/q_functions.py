@@ -186,7 +186,7 @@ scalar("fn35_tour_names", "pairs", {
     "name": (lambda: T.tour_name(T.tour_place(raw(_PLACES), F.lit(None).cast("string")), (C("id") * 37).cast("double"), C("id") % 9),
              f"CASE WHEN {_PL} IS NULL THEN concat({_KM}, ' km loop · ', id % 9, CASE WHEN id % 9 = 1 THEN ' cache' ELSE ' caches' END) ELSE concat({_PL}, ' — ', {_KM}, ' km · ', id % 9, CASE WHEN id % 9 = 1 THEN ' cache' ELSE ' caches' END) END"),
     "file": (lambda: T.tour_filename(T.tour_place(raw(_PLACES), F.lit(None).cast("string")), (C("id") * 37).cast("double"), C("id") % 9, F.expr("date_add(date '2024-01-01', CAST(id % 366 AS INT))"), "track"),
-             f"concat('gctp-', concat_ws('-', nullif({_SLUG}, ''), concat({_KM}, 'km'), concat(id % 9, 'c'), strftime(date '2024-01-01' + CAST(id % 366 AS INTEGER), '%b%d'), 'track'), '.gpx')"),
+             f"concat('tour-', concat_ws('-', nullif({_SLUG}, ''), concat({_KM}, 'km'), concat(id % 9, 'c'), strftime(date '2024-01-01' + CAST(id % 366 AS INTEGER), '%b%d'), 'track'), '.gpx')"),
 })
 scalar("fn36_collapse_label", "pairs", {
     "label": (lambda: T.collapse_label(C("id") % 5, C("id") % 5 + C("id") % 3, C("id") % 4 + 1), "CASE WHEN id % 3 + 1 = id % 4 + 1 THEN CASE WHEN id % 4 = 0 THEN CAST(id % 5 AS VARCHAR) ELSE concat(id % 5, '–', id % 5 + id % 3) END ELSE concat('×', id % 4 + 1) END"),
