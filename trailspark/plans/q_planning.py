@@ -253,7 +253,7 @@ def pl26(spark: SparkSession, sf: str) -> DataFrame:
     return T.replan(pool, (5.05, 52.05), (5.1, 52.1), 4 * 3600.0, 1.25, 300.0, [10, 11]).withColumn("seconds", cents(C("seconds")))
 
 
-@register("pl27_saved", "SELECT owner AS request, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, count(*) AS n, CASE WHEN owner % 2 = 0 THEN max(owner % 100) END IS NOT NULL AS has_start FROM caches GROUP BY owner")
+@register("pl27_saved", "SELECT owner AS request, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, count(*) AS n, owner % 2 = 0 AND (owner % 100 = 0 OR owner % 100 IN (SELECT id FROM parking)) AS has_start FROM caches GROUP BY owner")
 def pl27(spark: SparkSession, sf: str) -> DataFrame:
     c = entity(spark, sf, "caches")
     plans = c.select(C("owner").alias("request"), C("id").cast("int").alias("seq"), "id", (C("owner") % 100).alias("parking_id"), (C("owner") % 2 == 1).alias("fallback"))
@@ -262,7 +262,7 @@ def pl27(spark: SparkSession, sf: str) -> DataFrame:
     return saved.select("request", F.array_join(C("cache_ids").cast("array<string>"), ",").alias("ids"), F.size("snapshot").cast("long").alias("n"), C("start").isNotNull().alias("has_start"))
 
 
-@register("pl28_cross_off", "SELECT id AS cache_id, 7 AS user_id FROM caches WHERE owner < 10 AND id % 6 = 0")
+@register("pl28_cross_off", "SELECT id AS cache_id, CAST(7 AS BIGINT) AS user_id FROM caches WHERE owner < 10 AND id % 6 = 0")
 def pl28(spark: SparkSession, sf: str) -> DataFrame:
     c = entity(spark, sf, "caches")
     return T.cross_off(c.select("code", (C("id") % 6 == 0).alias("found")), c.filter(C("owner") < 10), 7)
