@@ -104,23 +104,23 @@ class BKTree:
 
 def forest(values, radius: int, tree=None) -> list[tuple[int, int]]:
     """Links (indexes) that connect what is within the radius of each other, without a ring; a LeafTree holds indexes, a BKTree values."""
-    root, links = list(range(len(values))), []
+    labels, links = np.arange(len(values)), []
     plain = tree is None
     tree = tree or BKTree()
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     for i, v in enumerate(values):
         v = v if plain else i
-        for j in tree.within(v, radius):
-            a, b = top(i), top(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((i, j))
+        found = np.asarray(tree.within(v, radius), np.int64)
+        if len(found):
+            known = labels[found]
+            if (known == known[0]).all():
+                labels[i] = known[0]
+                links.append((i, int(found[0])))
+            else:
+                groups, first = np.unique(known, return_index=True)
+                links += [(i, int(found[k])) for k in first]
+                labels[i] = groups[0]
+                for g in groups[1:]:
+                    labels[labels == g] = groups[0]
         tree.add(v)
     return links
 
@@ -218,7 +218,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 WORDS = 4  # of 64 bits, in a long fingerprint
 BANDS, ROWS = 16, 2
-LEAF = 256
+LEAF = 4096
 #: Members of one tree; a larger shard is cut into blocks, and every two of its blocks meet in a tree of their own.
 SHARD = 20_000
 
@@ -251,42 +251,60 @@ def long_fingerprint(text: str | None, shingle: int) -> tuple[bytes, list[int]]:
 
 
 class LeafTree:
-    """A BK-tree whose leaves hold up to LEAF values, compared with array operations; a fuller leaf becomes a node with children."""
+    """A BK-tree whose leaves hold up to LEAF values side by side, compared with one array operation; a fuller leaf becomes a node with children."""
+
+    class Node:
+        def __init__(self, words: int):
+            self.pivot, self.children, self.size = None, {}, 0
+            self.members, self.values = np.empty(16, np.int64), np.empty((16, words), np.uint64)
+
+        def put(self, i: int, value: np.ndarray) -> None:
+            if self.size == len(self.members):
+                self.members, self.values = np.concatenate([self.members] * 2), np.concatenate([self.values] * 2)
+            self.members[self.size], self.values[self.size] = i, value
+            self.size += 1
+
+        def distances(self, value: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(self.values[: self.size] ^ value).sum(axis=1, dtype=np.int64)
 
     def __init__(self, values: np.ndarray):
-        self.values = values
-        self.root: list = [None, [], {}]  # pivot, members while a leaf, children by distance
+        self.values, self.words = values, values.shape[1]
+        self.root = self.Node(self.words)
 
-    def distances(self, i: int, others: list[int]) -> np.ndarray:
-        return np.bitwise_count(self.values[others] ^ self.values[i]).sum(axis=1, dtype=np.int64)
+    def distance(self, i: int, j: int) -> int:
+        return int(np.bitwise_count(self.values[i] ^ self.values[j]).sum())
 
     def add(self, i: int) -> None:
         node = self.root
-        while node[0] is not None:
-            node = node[2].setdefault(int(self.distances(i, [node[0]])[0]), [None, [], {}])
-        node[1].append(i)
-        if len(node[1]) > LEAF:
-            pivot, *rest = node[1]
-            d = self.distances(pivot, rest)
+        while node.pivot is not None:
+            k = self.distance(i, node.pivot)
+            if k not in node.children:
+                node.children[k] = self.Node(self.words)
+            node = node.children[k]
+        node.put(i, self.values[i])
+        if node.size > LEAF:
+            d = node.distances(node.values[0])[1:]
             if d.min() == d.max():  # all at one distance: splitting wouldn't part them
                 return
-            node[0], node[1] = pivot, []
-            for j, k in zip(rest, d.tolist(), strict=True):
-                node[2].setdefault(k, [None, [], {}])[1].append(j)
-
-    def within(self, i: int, radius: int) -> list[int]:
-        found, stack = [], [self.root]
+            node.pivot = int(node.members[0])
+            for j, k in zip(node.members[1 : node.size].tolist(), d.tolist(), strict=True):
+                if k not in node.children:
+                    node.children[k] = self.Node(self.words)
+                node.children[k].put(j, self.values[j])
+            node.size, node.members, node.values = 0, node.members[:0], node.values[:0]
+
+    def within(self, i: int, radius: int) -> np.ndarray:
+        found, stack, value = [], [self.root], self.values[i]
         while stack:
-            pivot, members, children = stack.pop()
-            if pivot is not None:
-                d = int(self.distances(i, [pivot])[0])
+            node = stack.pop()
+            if node.pivot is not None:
+                d = self.distance(i, node.pivot)
                 if d <= radius:
-                    found.append(pivot)
-                stack += [c for k, c in children.items() if d - radius <= k <= d + radius]
-            elif members:
-                d = self.distances(i, members)
-                found += [m for m, x in zip(members, d.tolist(), strict=True) if x <= radius]
-        return found
+                    found.append(np.array([node.pivot]))
+                stack += [c for k, c in node.children.items() if d - radius <= k <= d + radius]
+            elif node.size:
+                found.append(node.members[: node.size][node.distances(value) <= radius])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def radius_of(similarity: float, deviations: float = 1.3) -> int:
