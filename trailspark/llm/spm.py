@@ -32,7 +32,7 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 GIANT, CHUNK = 1 << 16, 1 << 13
 #: Solved units and pairs in each of the two generations that a worker keeps: when the young one is full it becomes the old one.
-KEPT_UNITS, KEPT_PAIRS = 120_000, 200_000
+KEPT_UNITS, KEPT_PAIRS = 250_000, 500_000
 State = tuple[int, int]  # piece (or minus the code of a character outside the vocabulary), characters beyond the cut
 START = 0  # the unknown piece's number, which no text holds
 
@@ -123,6 +123,8 @@ class Vocabulary:
         return 1 if piece < 0 else len(self.pieces[piece])
 
     def ids(self, path: list[int]) -> list[int]:
+        if not path or min(path) > 0:
+            return path
         out: list[int] = []
         for p in path:
             if p > 0:
@@ -135,7 +137,8 @@ class Vocabulary:
         """The pieces of a unit, parted where no piece holds the two neighbours: parts are solved once each."""
         known = self.old_units.get(text)
         if known is None:
-            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside]
+            # words of letters alone are left whole: they seldom part
+            cuts = [] if text[1:].isalpha() else [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside]
             if cuts:
                 known = ()
                 for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
