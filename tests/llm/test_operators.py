@@ -429,6 +429,26 @@ def test_near_copies_by_similarity(spark, shard, monkeypatch):
     assert simhash.near_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [20_000, 40])
+def test_near_copies_against_brute_force(spark, shard, monkeypatch):
+    """Pairs of similarity 0.6 to 0.9, of long and short texts."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    r = random.Random(5)
+    rows = []
+    for n in (34, 204):
+        for _ in range(80):
+            words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            s = r.uniform(0.6, 0.9)
+            tail = round((n - 4) * (1 - s) / (1 + s))  # words changed at the end
+            rows += [" ".join(words), " ".join(words[: n - tail] + [f"x{r.randrange(10**9)}" for _ in range(tail)])]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, rows)]
+    similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(x < 0.8 for x in similar) > 60 and sum(x >= 0.8 for x in similar) > 30
+    want = {i: i - i % 2 if similar[i // 2] >= 0.8 else i for i in range(len(rows))}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_copies(docs).collect()} == want
+
+
 @pytest.mark.parametrize("leaf", [4096, 20])
 def test_leaf_tree_against_all_pairs(leaf, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF", leaf)

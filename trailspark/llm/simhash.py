@@ -13,7 +13,7 @@ Defined results: a null text and one without words have fingerprint zero and lin
 share a fingerprint; empty input gives an empty result; other columns of the input play no part; a row without an id takes no part in linking and has no component.
 
 ``near_duplicates`` links by the 64 bits alone.  ``near_copies`` is for removal of near copies by the similarity of their shingle sets, which 64 bits and a radius of 2
-don't measure: it takes longer fingerprints and a radius to match.
+don't measure: it takes longer fingerprints and a wide radius to find candidates, and compares the whole sets of those.
 """
 
 from __future__ import annotations
@@ -221,21 +221,26 @@ BANDS, ROWS = 16, 2
 LEAF = 4096
 #: Members of one tree; a larger shard is cut into blocks, and every two of its blocks meet in a tree of their own.
 SHARD = 20_000
+#: Shingles of one block of a group of candidates, of which two are held at once.
+SHINGLES = 4 << 20
 
 
-def long_fingerprint(text: str | None, shingle: int) -> tuple[bytes, list[int]]:
-    """256 SimHash bits over the set of shingles, and a key for each band of ROWS minimal hashes."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The set of shingles as sorted 64-bit hashes; a text of no more words than a shingle is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-        starts = np.zeros(len(words), np.int64)
-        np.cumsum([len(w) + 1 for w in words[:-1]], out=starts[1:])
-        ends = np.append(starts[1:] - 1, len(joined))
-        n = len(words) - shingle + 1
-        view = memoryview(joined)
-        hashes = np.unique(np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    starts = np.zeros(len(words), np.int64)
+    np.cumsum([len(w) + 1 for w in words[:-1]], out=starts[1:])
+    ends = np.append(starts[1:] - 1, len(joined))
+    n = len(words) - shingle + 1
+    view = memoryview(joined)
+    return np.unique(np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def long_fingerprint(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """256 SimHash bits over the set of shingles, and a key for each band of ROWS minimal hashes."""
     bits = []
     mixed = hashes
     for _ in range(WORDS):
@@ -307,61 +312,116 @@ class LeafTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def radius_of(similarity: float, deviations: float = 1.3) -> int:
-    """Differing bits that sets of this Jaccard similarity reach but seldom exceed: the expected number and so many deviations."""
+def radius_of(similarity: float, deviations: float = 7) -> int:
+    """Differing bits that sets of this Jaccard similarity don't exceed: the expected number and so many deviations (small sets differ in more bits than expected)."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     return int(64 * WORDS * p + deviations * (64 * WORDS * p * (1 - p)) ** 0.5)
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets, neither empty."""
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def verified_forest(sets: list[np.ndarray], values: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (indexes), each of two sets at least this similar, that connect all such sets whose fingerprints are within the radius, without a ring."""
+    labels, links, tree = np.arange(len(sets)), [], LeafTree(values)
+    sizes = np.array([len(x) for x in sets])
+    for i in range(len(sets)):
+        found = tree.within(i, radius)
+        found = found[np.minimum(sizes[found], sizes[i]) / np.maximum(sizes[found], sizes[i]) >= similarity]
+        found = found[np.argsort(np.bitwise_count(values[found] ^ values[i]).sum(axis=1, dtype=np.int64), kind="stable")]
+        for j in found.tolist():
+            if labels[i] != labels[j] and jaccard(sets[i], sets[j]) >= similarity:
+                links.append((i, j))
+                labels[labels == labels[i]] = labels[j]
+        tree.add(i)
+    return links
+
+
+def _placed(rows: DataFrame, key: list[str], blocks: Column, by: str) -> tuple[DataFrame, list[str]]:
+    """Rows of each key cut into blocks, dealt so that every two blocks meet, and sorted; and the columns of a shard."""
+    own = F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
+    shard = [*key, "x", "y"]
+    met = rows.withColumn("blocks", blocks.cast("int")).select("*", F.inline(pairs))
+    return met.repartition(partitions(rows.sparkSession), *shard).sortWithinPartitions(*shard, "node", by), shard
+
+
+def _shards(frames: Iterator[pd.DataFrame], shard: list[str], columns: list[str]) -> Iterator[list[tuple]]:
+    """The members of each shard that has two at least."""
+    held: list[tuple] = []
+    last = None
+    for pdf in frames:
+        keys = zip(*(pdf[c].tolist() for c in shard), strict=True)
+        for at, member in zip(keys, zip(*(pdf[c] for c in columns), strict=True), strict=True):
+            if at != last:
+                if len(held) > 1:
+                    yield held
+                held, last = [], at
+            held.append(member)
+    if len(held) > 1:
+        yield held
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): documents whose shingle sets are similar share the smallest id of their group.
 
-    Similarity is read off 256 SimHash bits.  Shards are the bands of minimal hashes, of which sets this similar share one at least
-    (missed with a chance under one in a million), and each shard searches its BK-tree.  A null id gets a null component.
+    Candidates come from 256 SimHash bits: shards are the bands of minimal hashes, of which sets this similar share one at least
+    (missed with a chance under one in a million), and each shard searches its BK-tree within a radius wider than such sets need.  What
+    candidates join is a group; the whole shingle sets of its members are brought together, once each, and only pairs whose exact Jaccard
+    similarity is high enough are linked.  A document without an id gets no row.
     """
     radius = radius_of(similarity)
+    kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(id_column, text_column).filter(F.col(id_column).isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text_column):
-            made = [long_fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))], names=["id", "fp", "keys"])
-
-    prints = cut(source.mapInArrow(run, f"id {docs.schema[id_column].dataType.simpleString()}, fp binary, keys array<long>"))
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("node"), F.min("keys").alias("keys")))
-    dealt = distinct.select("node", "fp", F.posexplode("keys").alias("band", "key"))
+            sets = [shingles(x, shingle) for x in batch.column(1).to_pylist()]
+            made = [long_fingerprint(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()),
+                 pa.array([f for f, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))],
+                names=["id", "digest", "size", "fp", "keys"],
+            )
+
+    prints = cut(source.mapInArrow(run, f"id {kind}, digest binary, size long, fp binary, keys array<long>"))
+    distinct = cut(prints.groupBy("digest").agg(F.min("id").alias("node"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    dealt = distinct.select("node", "digest", "fp", F.posexplode("keys").alias("band", "key"))
     shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(SHARD)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
-    met = dealt.join(shared, ["band", "key"]).withColumn("blocks", blocks).select("node", "fp", "band", "key", F.inline(pairs))
-    shard = ["band", "key", "x", "y"]
-    placed = met.repartition(partitions(docs.sparkSession), *shard).sortWithinPartitions(*shard, "node")
+    placed, shard = _placed(dealt.join(shared, ["band", "key"]), ["band", "key"], F.ceil(F.col("n") / F.lit(SHARD)), "digest")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, bytes]] = []
-        last = None
-
-        def close() -> pd.DataFrame:
+        for held in _shards(frames, shard, ["node", "fp"]):
             values = np.frombuffer(b"".join(f for _, f in held), np.uint64).reshape(-1, WORDS)
-            nodes = [n for n, _ in held]
-            held.clear()
-            return pd.DataFrame([(nodes[i], nodes[j]) for i, j in forest(values, radius, LeafTree(values))], columns=["a", "b"]).astype("int64")
+            yield pd.DataFrame([(held[i][0], held[j][0]) for i, j in forest(values, radius, LeafTree(values))], columns=["a", "b"]).astype("int64")
 
-        for pdf in frames:
-            for *at, node, fp in zip(*(pdf[c].tolist() for c in (*shard, "node")), pdf["fp"], strict=True):
-                if at != last:
-                    if len(held) > 1:
-                        yield close()
-                    held.clear()
-                    last = at
-                held.append((node, fp))
-        if len(held) > 1:
-            yield close()
-
-    found = components(placed.mapInPandas(search, "a long, b long").distinct())
-    merged = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(merged, "fp").select(F.col("id").alias(id_column), "component_id")
+    near = components(placed.select(*shard, "node", "fp").mapInPandas(search, "a long, b long").distinct())
+    groups = near.select("node", F.col("component").alias("group")).unionByName(near.select(F.col("component").alias("node"), F.col("component").alias("group")).distinct())
+    members = cut(distinct.join(groups, "node").select("node", "digest", "size", "fp", "group"))
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(SHARD)), F.ceil(F.sum("size") / F.lit(SHINGLES))).alias("blocks"))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text_column):
+            sets = [shingles(x, shingle).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "digest", "shingles"])
+
+    texts = source.join(members.select(F.col("node").alias(id_column)).distinct(), id_column, "left_semi").select(id_column, text_column)
+    whole = texts.mapInArrow(collect, f"node {kind}, digest binary, shingles binary").join(members, ["node", "digest"]).join(sizes, "group")
+    met, block = _placed(whole, ["group"], F.col("blocks"), "digest")
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _shards(frames, block, ["node", "digest", "fp", "shingles"]):
+            held = [x for k, x in enumerate(held) if not k or x[:2] != held[k - 1][:2]]  # repeated rows of one id
+            values = np.frombuffer(b"".join(x[2] for x in held), np.uint64).reshape(-1, WORDS)
+            sets = [np.frombuffer(x[3], np.uint64) for x in held]
+            yield pd.DataFrame([(held[i][0], held[j][0]) for i, j in verified_forest(sets, values, radius, similarity)], columns=["a", "b"]).astype("int64")
+
+    found = components(met.select(*block, "node", "digest", "fp", "shingles").mapInPandas(verify, "a long, b long").distinct())
+    merged = distinct.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(merged, "digest").select(F.col("id").alias(id_column), "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
