@@ -239,7 +239,7 @@ def test_spm_equals_the_library(processor):
 def test_spm_scan_is_associative():
     v = spm.Vocabulary.load()
     text = "thestrengthening of internationalisation without white space".replace(" ", "")
-    parts = [spm.transfer(v, *c)[1] for c in spm.chunked(v, text, 7)]
+    parts = [spm.Chunk(v, *c).transfer() for c in spm.chunked(v, text, 7)]
     left, right = parts[0], parts[-1]
     for p in parts[1:]:
         left = spm.joined(left, p)
@@ -250,11 +250,24 @@ def test_spm_scan_is_associative():
 
 def test_spm_in_chunks_on_spark(spark, processor):
     rows = [*TEXTS, (30, "abcdefgh" * 900), (30, "abcdefgh" * 900), (31, "the cat " * 700)]
-    got = spm.decode(spm.encode(frame(spark, rows), giant=1000, size=256)).collect()
+    got = spm.decode(spm.encode(frame(spark, rows), size=256)).collect()
     assert sorted((r["doc_id"], list(r["ids"])) for r in got) == sorted((i, processor.encode(t or "")) for i, t in rows)
     text = dict(rows)
     assert all(r["decoded"] == (text[r["doc_id"]] or "") for r in got)
     assert spm.encode(empty(spark)).count() == 0
+    nulls = spark.createDataFrame([(1, None), (2, []), (None, [100, 200])], "doc_id long, ids array<int>")
+    assert {(r["doc_id"], r["decoded"]) for r in spm.decode(nulls).collect()} == {(1, None), (2, ""), (None, processor.decode([100, 200]))}
+
+
+def test_spm_at_the_size_of_a_chunk(spark, processor):
+    """Texts just below, at and above one and two chunks, with and without places that no piece crosses, by both ways."""
+    rows = []
+    for n in (spm.CHUNK - 2, spm.CHUNK - 1, spm.CHUNK, spm.CHUNK + 1, 2 * spm.CHUNK - 1, 2 * spm.CHUNK + 5):
+        rows += [(n, (LONG * 2)[:n]), (n + 10**6, ("internationalisation" * 8000)[:n])]
+    got = {r["doc_id"]: list(r["ids"]) for r in spm.encode(frame(spark, rows)).collect()}
+    v = spm.Vocabulary.load()
+    for i, t in rows:
+        assert got[i] == processor.encode(t) == v.encode(t) == spm.encode_chunked(v, t)
 
 
 # ---- mixing ---------------------------------------------------------------------------------------------------------------

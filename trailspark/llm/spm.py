@@ -5,45 +5,51 @@ encoded alone.  So a step from u to v has weight 0 if they do and minus infinity
 of pieces, by dynamic programming over (max, +), is the encoding.  (Summing the pieces' own scores, as for a unigram model, would not give
 this model's encodings.)
 
-Pieces that hold white space hold it at their start only, so short texts fall into units (white space and what follows) that are solved once each.
-Giant documents are cut into chunks at any character.  The state at a cut is the last piece that starts before it, with the number of characters
-it reaches beyond.  Each chunk yields the matrix of transfers from its entry states to its exit states; matrices are
+Every text, of any size, is cut into chunks at any character; a text no longer than a chunk is one chunk.  The state at a cut is the last piece that
+starts before it, with the number of characters it reaches beyond.  Each chunk yields the matrix of transfers from its entry states to its exit states; matrices are
 combined associatively, and then every chunk is traced back on its own between the two states that the scan left it.
 
+A place whose two characters are neighbours in no piece is a cut that no piece crosses: it has a single state, so the matrix of a stretch between two such
+places is one number, and stretches are solved apart, each distinct one of a batch once.  What decides a chunk's matrix is its head (up to the
+first such place) and its tail (from the last one); where a chunk holds none, it is one lattice.
+
 Defined results: a null or empty text has no pieces; repeated rows get repeated results; characters outside the vocabulary become
-byte pieces.  Decoding gives the text back, but that U+2581, which the model uses for the space, comes back as one.
+byte pieces.  Decoding gives the text back, but that U+2581, which the model uses for the space, comes back as one.  Columns other than the id and the
+text play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import cut, steps
+from trailspark.llm.common import cut, partitions, steps
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-GIANT, CHUNK = 1 << 16, 1 << 13
-#: Solved units and pairs in each of the two generations that a worker keeps: when the young one is full it becomes the old one.
-KEPT_UNITS, KEPT_PAIRS = 250_000, 500_000
+#: Characters of a chunk.
+CHUNK = 1 << 16
+#: Solved stretches in each of the two generations that a worker keeps, and pairs: when the young one is full it becomes the old one.
+KEPT_PARTS, KEPT_PAIRS = 300_000, 500_000
+#: Characters of a stretch that is kept.
+KEPT_LENGTH = 64
 State = tuple[int, int]  # piece (or minus the code of a character outside the vocabulary), characters beyond the cut
-START = 0  # the unknown piece's number, which no text holds
+START = 0  # the unknown piece's number, which no text holds; also the one state of a cut that no piece crosses
 
 
 def default_model() -> str:
+    """The public model's file: the installed package names it."""
     try:
         import public_tokenizers
-
-        return public_tokenizers.path("piece_bpe_32k.model")
-    except ImportError:
-        return "/opt/tokenizers/piece_bpe_32k.model"
+    except ModuleNotFoundError as e:
+        raise FileNotFoundError("no model file was given, and no package of public tokenizers is installed to take one from") from e
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 @dataclass
@@ -55,12 +61,13 @@ class Vocabulary:
     longest: int
     trie: dict[str, int] = field(default_factory=dict)  # the piece of a string, or 0 where it only begins some
     inside: set[str] = field(default_factory=set)  # two characters that are neighbours in some piece
-    units: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    old_units: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    parts: dict[bytes, bytes] = field(default_factory=dict)
+    old_parts: dict[bytes, bytes] = field(default_factory=dict)
     pairs: dict[int, bool] = field(default_factory=dict)
+    tables: dict[str, object] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"units": {}, "old_units": {}, "pairs": {}}
+        return self.__dict__ | {"parts": {}, "old_parts": {}, "pairs": {}, "tables": {}}
 
     @staticmethod
     def load(model_file: str | None = None) -> Vocabulary:
@@ -107,16 +114,16 @@ class Vocabulary:
         return known
 
     def at(self, text: str, i: int) -> list[tuple[int, int]]:
-        """(piece, length) of all pieces that start at a place; a character outside the vocabulary stands for itself."""
-        out = []
+        """(piece, end) of all pieces that start at a place; a character outside the vocabulary stands for itself."""
+        out, trie = [], self.trie
         for k in range(i + 1, min(len(text), i + self.longest) + 1):
-            p = self.trie.get(text[i:k])
+            p = trie.get(text[i:k])
             if p is None:
                 break
             if p:
-                out.append((p, k - i))
-        if not out or out[0][1] != 1:
-            out.append((-ord(text[i]), 1))
+                out.append((p, k))
+        if not out or out[0][1] != i + 1:
+            out.append((-ord(text[i]), i + 1))
         return out
 
     def length(self, piece: int) -> int:
@@ -133,107 +140,128 @@ class Vocabulary:
                 out += [self.byte[b] for b in chr(-p).encode("utf-8", "surrogatepass")]
         return out
 
-    def unit(self, text: str) -> tuple[int, ...]:
-        """The pieces of a unit, parted where no piece holds the two neighbours: parts are solved once each."""
-        known = self.old_units.get(text)
-        if known is None:
-            # words of letters alone are left whole: they seldom part
-            cuts = [] if text[1:].isalpha() else [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside]
-            if cuts:
-                known = ()
-                for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
-                    part = text[a:b]
-                    known += self.units.get(part) or self.part(part)
-            else:
-                known = tuple(self.ids(self.solve(text)))
-        if len(self.units) >= KEPT_UNITS:
-            self.old_units, self.units = self.units, {}
-        self.units[text] = known
-        return known
+    def solve(self, text: str) -> list[int]:
+        """The best path through the lattice of a stretch between two cuts that no piece crosses: a forward pass over states, each
+        with the state before it, and the way back.  (For this vocabulary no other path has weight 0.)"""
+        n, pairs, stays = len(text), self.pairs, self.stays
+        reach: list[dict[int, int] | None] = [None] * (n + 1)
+        reach[0] = {START: START}
+        for i in range(n):
+            here = reach[i]
+            if here is None:
+                continue
+            for piece, end in self.at(text, i):
+                for u in here:
+                    if u > 0 and piece > 0:
+                        known = pairs.get(u << 20 | piece)
+                        if not (stays(u, piece) if known is None else known):
+                            continue
+                    there = reach[end]
+                    if there is None:
+                        reach[end] = {piece: u}
+                    elif piece not in there:
+                        there[piece] = u
+                    break
+        path, at, piece = [], n, next(iter(reach[n]))
+        while at:
+            path.append(piece)
+            at, piece = at - self.length(piece), reach[at][piece]
+        path.reverse()
+        return path
 
-    def part(self, text: str) -> tuple[int, ...]:
-        known = self.old_units.get(text)
+    def part(self, key: bytes) -> bytes:
+        """The pieces of a stretch (UTF-8, with spaces) as bytes of 32-bit numbers, from the kept ones or solved."""
+        known = self.old_parts.get(key)
         if known is None:
-            known = tuple(self.ids(self.solve(text)))
-        self.units[text] = known
+            known = np.array(self.ids(self.solve(key.decode("utf-8", "surrogatepass").replace(" ", SPACE))), np.int32).tobytes()
+        if len(key) <= KEPT_LENGTH:
+            if len(self.parts) >= KEPT_PARTS:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[key] = known
         return known
 
-    def starting(self, text: str, i: int) -> list[tuple[int, int]]:
-        """(piece, end) of all pieces that start at a place, as ``at``, by one look-up for each length."""
-        out, trie = [], self.trie
-        for k in range(i + 1, min(len(text), i + self.longest) + 1):
-            p = trie.get(text[i:k])
-            if p is None:
-                break
-            if p:
-                out.append((p, k))
-        if not out or out[0][1] != i + 1:
-            out.insert(0, (-ord(text[i]), i + 1))
-        return out
-
-    def solve(self, text: str) -> list[int]:
-        """The best path through a short text's lattice, depth first with the longest pieces first: no weight exceeds 0, so the first
-        path to the end is a best one (and, for this vocabulary, the only one).  States that lead nowhere are left once and for all."""
-        n, pairs, stays, starting = len(text), self.pairs, self.stays, self.starting
-        dead: set[tuple[int, int]] = set()
-        memo: dict[int, list[tuple[int, int]]] = {}
-        path: list[tuple[int, int, int]] = []  # place, piece before it, alternatives left
-        at, before = 0, START
-        options = memo[0] = starting(text, 0)
-        left = len(options)
-        while at < n:
-            while left:
-                left -= 1
-                piece, end = options[left]
-                if before > 0 and piece > 0:
-                    known = pairs.get(before << 20 | piece)
-                    if not (stays(before, piece) if known is None else known):
-                        continue
-                if dead and (end, piece) in dead:
-                    continue
-                path.append((at, before, left))
-                at, before = end, piece
-                if at < n:
-                    options = memo.get(at)
-                    if options is None:
-                        options = memo[at] = starting(text, at)
-                    left = len(options)
-                break
-            else:
-                dead.add((at, before))
-                at, before, left = path.pop()
-                options = memo[at]
-        return [b for _, b, _ in path[1:]] + [before]
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each character that has neighbours in pieces (0 for others), and whether two numbers are neighbours in some piece."""
+        if "kinds" not in self.tables:
+            number = {c: i + 1 for i, c in enumerate(sorted({c for pair in self.inside for c in pair}))}
+            kind, joins = np.zeros(0x110000, np.uint16), np.zeros((len(number) + 1, len(number) + 1), bool)
+            for c, i in number.items():
+                kind[ord(c)] = i
+            kind[ord(" ")] = kind[ord(SPACE)]
+            for pair in self.inside:
+                joins[number[pair[0]], number[pair[1]]] = True
+            self.tables["kinds"] = kind, joins
+        return self.tables["kinds"]
+
+    def open_cuts(self, text: str) -> np.ndarray:
+        """Places from 1 to the last but one at which no piece crosses."""
+        kind, joins = self.kinds()
+        k = kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return np.flatnonzero(~joins[k[:-1], k[1:]]) + 1
+
+    def encode_stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of texts that begin and end at cuts that no piece crosses, one after the other, and where each text's end."""
+        joined = "".join(texts).replace(SPACE, " ")
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        is_start = np.zeros(len(joined) + 1, bool)
+        is_start[self.open_cuts(joined)] = True
+        is_start[0] = is_start[len(joined)] = True
+        is_start[ends] = True
+        starts = np.flatnonzero(is_start)
+        data = joined.encode("utf-8", "surrogatepass")
+        if len(data) == len(joined):
+            places = starts
+        else:
+            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            wide = np.ones(len(codes) + 1, np.int64)
+            wide[0] = 0
+            for least in (0x80, 0x800, 0x10000):
+                wide[1:] += codes >= least
+            places = np.cumsum(wide)[starts]
+        cells = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        parts, part = self.parts, self.part
+        solved = [parts.get(k) or part(k) for k in cells.dictionary.to_pylist()]
+        which = cells.indices.to_numpy()
+        sizes = np.fromiter(map(len, solved), np.int64, len(solved)) // 4
+        flat = np.frombuffer(b"".join(solved), np.int32)
+        n = sizes[which]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - n), n) + np.arange(int(upto[-1]))]
+        return ids, np.concatenate([[0], upto])[np.searchsorted(starts, ends)]
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        units = self.units
-        for u in UNIT.findall(SPACE + text.replace(" ", SPACE)):
-            out += units.get(u) or self.unit(u)
-        return out
+        return self.encode_stretches([" " + text])[0].tolist() if text else []
+
+    def decode_table(self) -> pa.Array:
+        if "bytes" not in self.tables:
+            raw = {p: bytes([b]) for b, p in enumerate(self.byte)}
+            self.tables["bytes"] = pa.array([raw.get(i) or p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(self.pieces)], pa.large_binary())
+        return self.tables["bytes"]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of lists of pieces that lie one after the other: their bytes side by side; bytes that are no UTF-8 are replaced."""
+        taken = pc.take(self.decode_table(), pa.array(ids))
+        places = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = taken.buffers()[2] or pa.py_buffer(b"")
+        offsets = places[np.concatenate([[0], ends])]
+        texts = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), data])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            raw = data.to_pybytes()
+            texts = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.large_string())
+        return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts).cast(pa.string())
 
     def decode(self, ids: list[int]) -> str:
-        first = {p: b for b, p in enumerate(self.byte)}
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in first:
-                raw.append(first[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(self.pieces[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int32), np.array([len(ids)]))[0].as_py()
 
 
-class Chunk:
-    """The lattice of one chunk: which pieces each entry state reaches, at every place.
+class Lattice:
+    """Which pieces each entry state reaches, at every place.
 
-    ``text`` starts at the cut and may run on beyond the chunk's ``length``, for the pieces that reach beyond its end.
+    ``text`` starts at the cut and may run on beyond ``length``, for the pieces that reach beyond its end.
     """
 
     def __init__(self, vocabulary: Vocabulary, text: str, entries: list[State], length: int):
@@ -247,35 +275,33 @@ class Chunk:
             here = reach.get(i)
             if not here:
                 continue
-            for piece, n in vocabulary.at(text, i):
+            for piece, end in vocabulary.at(text, i):
                 mask = 0
                 for u, m in here.items():
                     if m & ~mask and stays(u, piece):
                         mask |= m
                 if mask:
-                    at = reach.setdefault(i + n, {})
+                    at = reach.setdefault(end, {})
                     at[piece] = at.get(piece, 0) | mask
         self.reach = reach
 
     def exits(self) -> list[State]:
         return sorted((p, i - self.length) for i, at in self.reach.items() if i >= self.length for p in at)
 
-    def matrix(self) -> tuple[list[State], np.ndarray]:
-        """Exit states, and the (max, +) weight from each entry state to each of them."""
-        exits = self.exits()
-        out = np.full((len(self.entries), len(exits)), -np.inf)
-        for j, (p, beyond) in enumerate(exits):
-            mask = self.reach[self.length + beyond][p]
-            out[[k for k in range(len(self.entries)) if mask >> k & 1], j] = 0
-        return exits, out
+    def weights(self, exit_: State) -> np.ndarray:
+        """The (max, +) weight from each entry state to an exit state."""
+        mask = self.reach.get(self.length + exit_[1], {}).get(exit_[0], 0)
+        return np.array([0.0 if mask >> k & 1 else -np.inf for k in range(len(self.entries))])
+
+    def reached(self) -> np.ndarray:
+        """The weight from each entry state to the end, by whatever piece."""
+        return np.max([self.weights((p, 0)) for p in self.reach.get(self.length, {})], axis=0, initial=-np.inf)
 
     def trace(self, entry: int, exit_: State | None) -> list[int]:
-        """The pieces that start in the chunk, on the path between two states; without an exit, the path that ends with the text."""
+        """The pieces that start in the lattice, on the path between two states; without an exit, the path to the end."""
         if exit_ is None:
             at = self.length
-            piece = next((p for p, m in self.reach.get(at, {}).items() if m >> entry & 1), None)
-            if piece is None:
-                return []
+            piece = next(p for p, m in self.reach[at].items() if m >> entry & 1)
         else:
             piece, at = exit_[0], self.length + exit_[1]
         path = []
@@ -290,10 +316,49 @@ class Chunk:
 
 
 def entry_states(v: Vocabulary, before: str, after: str) -> list[State]:
-    """Pieces that start in ``before`` (the characters next to the cut) and end at the cut or beyond."""
+    """Pieces that start in ``before`` (the characters next to the cut) and end at the cut or beyond; at a cut that no piece crosses, START."""
     text, b = before + after, len(before)
-    out = {(p, s + n - b) for s in range(max(0, b - v.longest), b) for p, n in v.at(text, s) if s + n >= b}
-    return sorted(out)
+    if not before or text[b - 1 : b + 1] not in v.inside:
+        return [(START, 0)]
+    return sorted({(p, end - b) for s in range(max(0, b - v.longest), b) for p, end in v.at(text, s) if end >= b})
+
+
+class Chunk:
+    """A chunk between two cuts: its head, the stretches between its first and last cut that no piece crosses, and its tail.
+
+    ``before`` holds the characters next to the cut at its start, ``text`` its own and those that pieces may reach, ``length`` its own number.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, before: str, text: str, length: int):
+        self.v, self.text, self.length = vocabulary, text, length
+        self.entries = entry_states(vocabulary, before, text)
+        crossed = vocabulary.open_cuts(text[: length + 1])
+        crossed = crossed[crossed <= length]
+        cuts = [0] * (self.entries == [(START, 0)]) + crossed.tolist() + [length] * (len(text) == length)
+        self.first, self.last = (cuts[0], cuts[-1]) if cuts else (length, None)
+        self.head = Lattice(vocabulary, text, self.entries, self.first)
+        self.tail = Lattice(vocabulary, text[self.last :], [(START, 0)], length - self.last) if cuts else None
+
+    def transfer(self) -> Transfer:
+        """Entry states, exit states, and the (max, +) weight from each to each."""
+        if self.tail is None:
+            exits = self.head.exits()
+            return self.entries, exits, np.stack([self.head.weights(s) for s in exits], axis=1) if exits else np.zeros((len(self.entries), 0))
+        exits = self.tail.exits()
+        if self.first == 0:
+            entered = np.zeros(len(self.entries))
+        else:
+            entered = self.head.reached()
+        return self.entries, exits, entered[:, None] + np.concatenate([self.tail.weights(s) for s in exits])[None, :]
+
+    def trace(self, entry: State, exit_: State) -> list[int]:
+        """The ids of the pieces that start in the chunk, on the best path between two states."""
+        v, k = self.v, self.entries.index(entry)
+        if self.tail is None:
+            return v.ids(self.head.trace(k, exit_))
+        out = v.ids(self.head.trace(k, None)) if self.first else []
+        out += v.encode_stretches([self.text[self.first : self.last]])[0].tolist()
+        return out + v.ids(self.tail.trace(0, exit_))
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -343,24 +408,16 @@ def chunked(v: Vocabulary, text: str, size: int = CHUNK) -> list[tuple[str, str,
     return [(full[max(0, a - v.longest) : a], full[a : min(a + size, len(full)) + v.longest], min(size, len(full) - a)) for a in range(0, len(full), size)]
 
 
-def transfer(v: Vocabulary, before: str, text: str, length: int) -> tuple[Chunk, Transfer]:
-    entries = entry_states(v, before, text) if before else [(START, 0)]
-    chunk = Chunk(v, text, entries, length)
-    exits, matrix = chunk.matrix()
-    return chunk, (entries, exits, matrix)
-
-
 def encode_chunked(v: Vocabulary, text: str, size: int = CHUNK) -> list[int]:
     """The encoding of one text through chunks, all in one place."""
     if not text:
         return []
-    solved = [transfer(v, *c) for c in chunked(v, text, size)]
-    ends = scan([t for _, t in solved])
+    chunks = [Chunk(v, *c) for c in chunked(v, text, size)]
     out, entry = [], (START, 0)
-    for (chunk, (entries, _, _)), end in zip(solved, ends, strict=True):
-        out += chunk.trace(entries.index(entry), end)
+    for chunk, end in zip(chunks, scan([c.transfer() for c in chunks]), strict=True):
+        out += chunk.trace(entry, end)
         entry = end
-    return v.ids(out)
+    return out
 
 
 def _schema(docs: DataFrame, id_column: str) -> str:
@@ -371,7 +428,7 @@ _WORKER: dict[int, Vocabulary] = {}
 
 
 def _shared(sent) -> Vocabulary:
-    """A worker's own copy, so that solved units outlast a task."""
+    """A worker's own copy, so that solved stretches outlast a task."""
     if sent.id not in _WORKER:
         _WORKER.clear()
         _WORKER[sent.id] = sent.value
@@ -389,23 +446,26 @@ class _Sent:
         return self.held.value
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model_file: str | None = None, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
-    """(id, ids): the pieces of every whole text.  Texts of over ``giant`` characters are solved in chunks, in as many tasks as there are chunks."""
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model_file: str | None = None, size: int = CHUNK) -> DataFrame:
+    """(id, ids): the pieces of every whole text.
+
+    A text of one chunk is done where it lies, since the scan of one matrix is that matrix; the chunks of longer ones are dealt out singly, so
+    that one text keeps as many tasks busy as it has chunks, and only boundary states of a text ever meet in one task.
+    """
     spark = docs.sparkSession
     sent = _Sent(spark, Vocabulary.load(model_file))
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = _schema(docs, id_column)
-    is_giant = F.coalesce(F.length("text") > giant, F.lit(False))
+    several = F.coalesce(F.length("text") >= size, F.lit(False))  # the model's form is one character longer
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(sent)
         for batch in steps(batches, "text", 4 << 20):
-            ids = [v.encode(x) for x in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "ids"])
+            ids, ends = v.encode_stretches([" " + x if x else "" for x in batch.column(1).to_pylist()])
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["id", "ids"])
 
-    plain = source.filter(~is_giant).mapInArrow(whole, f"{kind}, ids array<int>")
+    one = source.filter(~several).mapInArrow(whole, f"{kind}, ids array<int>")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(sent)
@@ -416,16 +476,17 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                         batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([at]), pa.array([before]), pa.array([text]), pa.array([n]),
                     ], names=["row", "id", "chunk", "before", "text", "n"])
 
-    # rows may repeat an id, so every giant row has a number of its own, fixed by the checkpoint
-    giants = source.filter(is_giant).select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    chunks = cut(giants.mapInArrow(split, f"row long, {kind}, chunk long, before string, text string, n long").repartition("row", "chunk"))
+    # rows may repeat an id, so every row has a number of its own, fixed by the checkpoint
+    numbered = source.filter(several).select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    dealt = numbered.mapInArrow(split, f"row long, {kind}, chunk long, before string, text string, n long")
+    chunks = cut(dealt.repartition(partitions(spark), "row", "chunk"))
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = _shared(sent)
         for pdf in frames:
             out = []
             for row, at, before, text, n in zip(pdf["row"], pdf["chunk"], pdf["before"], pdf["text"], pdf["n"], strict=True):
-                entries, exits, m = transfer(v, before, text, n)[1]
+                entries, exits, m = Chunk(v, before, text, n).transfer()
                 out.append((row, at, [x for s in entries for x in s], [x for s in exits for x in s], (m.reshape(-1) == 0).tolist()))
             yield pd.DataFrame(out, columns=["row", "chunk", "entries", "exits", "open"])
 
@@ -448,13 +509,12 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         for pdf in frames:
             ids = []
             for before, text, n, entry, end in zip(pdf["before"], pdf["text"], pdf["n"], pdf["entry"], pdf["end"], strict=True):
-                chunk, (entries, _, _) = transfer(v, before, text, n)
-                ids.append(v.ids(chunk.trace(entries.index(tuple(map(int, entry))), tuple(map(int, end)))))
+                ids.append(Chunk(v, before, text, n).trace(tuple(map(int, entry)), tuple(map(int, end))))
             yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "chunk": pdf["chunk"], "ids": ids})
 
     parts = chunks.join(placed, ["row", "chunk"]).mapInPandas(traced, f"row long, {kind}, chunk long, ids array<int>")
     long_ = parts.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    return plain.unionByName(long_.select("id", F.flatten("parts.ids").alias("ids"))).withColumnRenamed("id", id_column)
+    return one.unionByName(long_.select("id", F.flatten("parts.ids").alias("ids"))).withColumnRenamed("id", id_column)
 
 
 def decode(encoded: DataFrame, ids_column: str = "ids", model_file: str | None = None) -> DataFrame:
@@ -467,7 +527,11 @@ def decode(encoded: DataFrame, ids_column: str = "ids", model_file: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(sent)
         for batch in steps(batches, ids_column, 4 << 20):
-            texts = [None if x is None else v.decode(x) for x in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, "decoded"])
+            lists = batch.column(place)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            texts = v.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends)
+            if lists.null_count:
+                texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*kept, "decoded"])
 
     return encoded.select(*kept).mapInArrow(run, schema)
