@@ -1,18 +1,22 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions that adds what patterns miss.
 
 The patterns find e-mail addresses, IP addresses, card numbers and telephone numbers.  The network, trained in numpy on labelled
-spans, scores a tag (outside, or begin/inside of a kind) for every character of overlapping windows.  Scores of overlapping windows
-are averaged, weighed by the distance to the window's edge, and one Viterbi pass over the whole stretch decides all of its spans, so
-that a span never depends on where a window happens to end.
+spans, scores a tag (outside, or a kind) for every character of every text, in overlapping windows; it adds other spellings of these kinds, and secrets
+(keys, tokens, passwords), for which there is no pattern.  Scores of overlapping windows
+are averaged, weighed by the distance to the window's edge, and one Viterbi pass over the whole text decides all of its spans, so
+that a span never depends on where a window happens to end.  (Most characters are outside in the best path for certain, by a bound on what any tagged segment could gain;
+the pass steps through the others alone.)
 
-An added span must hold a digit or an ``@``, must not overlap a pattern's span, and must have the digits its kind needs.  Windows
-further than one window from any digit and ``@`` hold no such span and are passed over; the result is the same.
+An added span needs a mean probability of ``SURE``, doesn't overlap a pattern's span, doesn't begin or end within a word, and obeys what values of its kind obey
+(a card's check digit, an address's bytes).
 
-Defined results: a null text is empty and has no spans; repeated rows get repeated results; any length is read whole.
+Defined results: a null text is empty and has no spans; repeated rows get repeated results; any length is read whole, windows being scored in slices (about
+60 bytes are held for a character of the longest text of a step); columns other than the text play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -26,7 +30,9 @@ from pyspark.sql import DataFrame
 
 from trailspark.llm.common import steps
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds that patterns find; secrets (keys, tokens, passwords) are found by the network alone.
+BASE_KINDS = KINDS[:4]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # No match starts inside a run of digits, so only the first digit of a run is tried: long runs cost no more than their length.
@@ -35,12 +41,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
 
-WINDOW, STRIDE = 96, 64
-HIDDEN = 16
-TAGS = 1 + 2 * len(KINDS)
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0@.+-() \n_%:/,=\"#"
+WINDOW, STRIDE, SLICE = 256, 208, 512  # slices small enough that products stay on one thread, as a worker has one core
+HIDDEN, EMBEDDING = 12, 8
+TAGS = 1 + len(KINDS)
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0@.+-() \n_%:/,=\"'#[]|"
 OTHER_LETTER, OTHER = len(SYMBOLS), len(SYMBOLS) + 1
-TRAIN_WINDOWS, EPOCHS, BATCH = 2400, 14, 56
+TRAIN_WINDOW, TRAIN_WINDOWS, EPOCHS, BATCH = 112, 5000, 12, 100
+#: Least mean probability of a span's tags.
 SURE = 0.8
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -86,71 +93,88 @@ def render(spans: list[Span]) -> str:
 
 # ---- network ---------------------------------------------------------------------------------------------------------
 
-_TABLE = {c: i for i, c in enumerate(SYMBOLS)} | {c.upper(): i for i, c in enumerate(SYMBOLS)} | {c: SYMBOLS.index("0") for c in "123456789"}
+_CODE = np.full(0x110000, OTHER, np.uint8)
+_CODE[[c for c in range(0xAA, 0x2FA20) if chr(c).isalpha()]] = OTHER_LETTER
+for _i, _c in enumerate(SYMBOLS):
+    _CODE[ord(_c)] = _i
+_CODE[[ord(_c) for _c in "0123456789"]] = SYMBOLS.index("0")
 
 
 def encode(text: str) -> np.ndarray:
-    return np.fromiter((_TABLE.get(c, OTHER_LETTER if c.isalpha() else OTHER) for c in text), np.int64, len(text))
+    return _CODE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 @dataclass
 class Network:
-    """One LSTM for each direction (row 0 forward, 1 backward), an output layer, and CRF transitions."""
+    """An embedding of characters, one LSTM for each direction (row 0 forward, 1 backward), an output layer, and CRF transitions.
 
-    inputs: np.ndarray  # 2 x symbols x 4H: gates' input weights with their bias, looked up by character
-    loops: np.ndarray  # 2 x H x 4H
-    output: np.ndarray  # 2H x tags
-    bias: np.ndarray
+    A gate is (1 + tanh) / 2 of its input, so one call of tanh serves all four of a step.
+    """
+
+    embedding: np.ndarray  # D x symbols
+    loops: np.ndarray  # 2 x 4H x (H + D + 1): weights of input, forget and output gate and of the candidate, for the state, the character and a bias
+    output: np.ndarray  # tags x 2H
+    bias: np.ndarray  # tags
     moves: np.ndarray  # tags x tags
 
     def parts(self) -> list[np.ndarray]:
-        return [self.inputs, self.loops, self.output, self.bias, self.moves]
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _lstm(x: np.ndarray, loop: np.ndarray) -> tuple[np.ndarray, list]:
-    """x: steps x batch x 4H; hidden states, and what the way back needs."""
-    steps_, n, h4 = x.shape
-    size = h4 // 4
-    h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
-    out, kept = np.empty((steps_, n, size), np.float32), []
-    for t in range(steps_):
-        g = x[t] + h @ loop
-        s = _sigmoid(g[:, : 3 * size])
-        i, f, o, z = s[:, :size], s[:, size : 2 * size], s[:, 2 * size :], np.tanh(g[:, 3 * size :])
-        c_new = f * c + i * z
-        th = np.tanh(c_new)
-        kept.append((h, c, i, f, o, z, th))
-        c, h = c_new, o * th
-        out[t] = h
+        return [self.embedding, self.loops, self.output, self.bias, self.moves]
+
+
+def hidden_states(net: Network, codes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    """codes: windows x steps; both directions' states as steps x 2H x windows, and, if they are to be kept, what the way back needs."""
+    n, width = codes.shape
+    size, wide = net.loops.shape[1] // 4, len(net.embedding)
+    seen = np.take(net.embedding, codes.T.astype(np.intp), axis=1, mode="clip")  # D x steps x windows
+    x = np.zeros((2, size + wide + 1, n), np.float32)
+    x[:, -1] = 1
+    h, c = x[:, :size], np.zeros((2, size, n), np.float32)
+    g = np.empty((2, 4 * size, n), np.float32)
+    out, kept = np.empty((width, 2 * size, n), np.float32), []
+    for t in range(width):
+        x[0, size:-1], x[1, size:-1] = seen[:, t], seen[:, width - 1 - t]
+        np.matmul(net.loops, x, out=g)
+        np.tanh(g, out=g)
+        gates = g[:, : 3 * size]
+        gates *= 0.5
+        gates += 0.5
+        before = (x.copy(), c.copy(), g.copy()) if keep else ()
+        c *= g[:, size : 2 * size]
+        c += g[:, :size] * g[:, 3 * size :]
+        np.tanh(c, out=h)
+        if keep:
+            kept.append((*before, h.copy()))
+        h *= g[:, 2 * size : 3 * size]
+        out[t, :size], out[width - 1 - t, size:] = h[0], h[1]
     return out, kept
 
 
-def _lstm_back(d_out: np.ndarray, kept: list, loop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    steps_, n, size = d_out.shape
-    dx, dloop = np.empty((steps_, n, 4 * size), np.float32), np.zeros_like(loop)
-    dh, dc = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
-    for t in range(steps_ - 1, -1, -1):
-        h, c, i, f, o, z, th = kept[t]
-        dh = dh + d_out[t]
+def _back(net: Network, d_hidden: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the embedded characters (steps x D x windows) and of the loops."""
+    width, both, n = d_hidden.shape
+    size = both // 2
+    d_seen, dloop = np.zeros((width, len(net.embedding), n), np.float32), np.zeros_like(net.loops)
+    dh, dc = np.zeros((2, size, n), np.float32), np.zeros((2, size, n), np.float32)
+    back = net.loops.transpose(0, 2, 1)
+    for t in range(width - 1, -1, -1):
+        x, c, g, th = kept[t]
+        i, f, o, z = (g[:, k * size : (k + 1) * size] for k in range(4))
+        dh = dh + np.stack([d_hidden[t, :size], d_hidden[width - 1 - t, size:]])
         dc = dc + dh * o * (1 - th * th)
-        dg = np.concatenate([dc * z * i * (1 - i), dc * c * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - z * z)], axis=1)
-        dx[t] = dg
-        dloop += h.T @ dg
-        dh, dc = dg @ loop.T, dc * f
-    return dx, dloop
-
-
-def scores(net: Network, codes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple | None]:
-    """codes: batch x steps; tag scores as steps x batch x tags."""
-    c = codes.T
-    forward, kf = _lstm(net.inputs[0][c], net.loops[0])
-    backward, kb = _lstm(net.inputs[1][c[::-1]], net.loops[1])
-    hidden = np.concatenate([forward, backward[::-1]], axis=2)
-    return hidden @ net.output + net.bias, (hidden, kf, kb) if keep else None
+        dg = np.concatenate([dc * z * 2 * i * (1 - i), dc * c * 2 * f * (1 - f), dh * th * 2 * o * (1 - o), dc * i * (1 - z * z)], axis=1)
+        dloop += dg @ x.transpose(0, 2, 1)
+        dx = back @ dg
+        d_seen[t] += dx[0, size:-1]
+        d_seen[width - 1 - t] += dx[1, size:-1]
+        dh, dc = dx[:, :size], dc * f
+    return d_seen, dloop
+
+
+def scores(net: Network, codes: np.ndarray) -> np.ndarray:
+    """codes: windows x steps; tag scores as steps x tags x windows."""
+    out = net.output @ hidden_states(net, codes)[0]
+    out += net.bias[:, None]
+    return out
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -176,94 +200,116 @@ def marginals(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def train(labelled: list[tuple[str, list[Span]]], seed: int = 3, epochs: int = EPOCHS) -> Network:
-    """A network from (text, spans) windows of WINDOW characters, by Adam on the CRF likelihood."""
+    """A network from (text, spans) windows of TRAIN_WINDOW characters, by Adam on the CRF likelihood."""
     r = np.random.default_rng(seed)
-    v, h = len(SYMBOLS) + 2, HIDDEN
+    v, h = OTHER + 1, HIDDEN
     init = lambda *s: (r.standard_normal(s) * 0.25).astype(np.float32)
-    net = Network(init(2, v, 4 * h), init(2, h, 4 * h), init(2 * h, TAGS), np.zeros(TAGS, np.float32), np.zeros((TAGS, TAGS), np.float32))
-    net.inputs[:, :, h : 2 * h] += 1
+    net = Network(init(EMBEDDING, v) * 2, init(2, 4 * h, h + EMBEDDING + 1), init(TAGS, 2 * h), np.zeros(TAGS, np.float32), np.zeros((TAGS, TAGS), np.float32))
+    net.loops[:, h : 2 * h, -1] += 0.5
     codes = np.stack([encode(t) for t, _ in labelled])
     tags = np.zeros(codes.shape, np.int64)
     for i, (_, spans) in enumerate(labelled):
         for a, k, b in spans:
-            tags[i, a:b] = 2 + 2 * k
-            tags[i, a] = 1 + 2 * k
+            tags[i, a:b] = 1 + k
     first, second, step = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = r.permutation(len(codes))
+        rate = 0.012 * (1 - epoch / epochs) + 0.001
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             x, y = codes[pick], tags[pick].T
-            unary, (hidden, kf, kb) = scores(net, x, keep=True)
-            p, pair = marginals(unary, net.moves)
+            hidden, kept = hidden_states(net, x, keep=True)
+            p, pair = marginals(np.ascontiguousarray((net.output @ hidden + net.bias[:, None]).transpose(0, 2, 1)), net.moves)
             d = p.astype(np.float32)
             np.subtract.at(d, (np.arange(len(y))[:, None], np.arange(len(pick))[None, :], y), 1)
-            d /= len(pick)
+            d = np.ascontiguousarray(d.transpose(0, 2, 1)) / len(pick)  # steps x tags x windows
             true = np.zeros_like(pair)
             np.add.at(true, (y[:-1].reshape(-1), y[1:].reshape(-1)), 1)
-            d_hidden = d @ net.output.T
-            dxf, dlf = _lstm_back(d_hidden[:, :, :h], kf, net.loops[0])
-            dxb, dlb = _lstm_back(np.ascontiguousarray(d_hidden[::-1, :, h:]), kb, net.loops[1])
-            d_in = np.zeros_like(net.inputs)
-            for row, (dx, c) in enumerate(((dxf, x.T), (dxb, x.T[::-1]))):
-                hot = np.zeros((c.size, v), np.float32)
-                hot[np.arange(c.size), c.reshape(-1)] = 1
-                d_in[row] = hot.T @ dx.reshape(-1, 4 * h)
-            grads = [d_in, np.stack([dlf, dlb]), hidden.reshape(-1, 2 * h).T @ d.reshape(-1, TAGS), d.sum(axis=(0, 1)), ((pair - true) / len(pick)).astype(np.float32)]
+            d_seen, dloop = _back(net, net.output.T @ d, kept)
+            hot = np.zeros((x.size, v), np.float32)
+            hot[np.arange(x.size), x.T.reshape(-1)] = 1
+            flat = lambda z: z.transpose(1, 0, 2).reshape(z.shape[1], -1)
+            grads = [flat(d_seen) @ hot, dloop, flat(d) @ flat(hidden).T, d.sum(axis=(0, 2)), ((pair - true) / len(pick)).astype(np.float32)]
             step += 1
-            for q, g, m, s in zip(net.parts(), grads, first, second, strict=True):
-                g = np.clip(g, -1, 1)
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                q -= 0.012 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+            for q, grad, m, s in zip(net.parts(), grads, first, second, strict=True):
+                grad = np.clip(grad, -1, 1)
+                m += 0.1 * (grad - m)
+                s += 0.01 * (grad * grad - s)
+                q -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return net
 
 
+def labelled_items(r: random.Random) -> tuple[str, int]:
+    """One piece of personal data or one secret in some spelling, with its kind."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda: some(lower, r.randint(2, 9))
+    kind = r.choice((0, 0, 1, 2, 3, 3, 4, 4, 4))
+    if kind == 0:
+        user = name() + r.choice(["", ".", "_", "-", "."]) + r.choice([digits(r.randint(1, 3)), name(), ""])
+        user = user.rstrip("._-") if r.random() < 0.9 else user.title().rstrip("._-")
+        host = [name() + r.choice(["", "", digits(1)]) for _ in range(r.choice((1, 1, 2)))] + [r.choice(["com", "org", "net", "de", "fr", "es", "io", "example"])]
+        at = r.choice(["@", "@", " @ ", " (at) ", " [at] ", "(at)", "[at]", "(AT)"])
+        dot = "." if "@" in at or r.random() < 0.3 else {"(at)": "(dot)", "[at]": "[dot]", "(AT)": "(DOT)"}.get(at, r.choice([" (dot) ", " [dot] ", " dot "]))
+        return user + at + dot.join(host), 0
+    if kind == 1:
+        parts = [str(r.randrange(256)) for _ in range(4)]
+        return r.choice([".", ".", " . ", "[.]", "(.)", ". "]).join(parts), 1
+    if kind == 2:
+        n = digits(15)
+        n += next(c for c in "0123456789" if luhn(n + c))
+        return r.choice(["", " ", ".", "-", "/", "  "]).join(n[i : i + 4] for i in (0, 4, 8, 12)), 2
+    if kind == 3:
+        a, b, c, land = digits(3), digits(3), digits(4), str(r.randint(1, 99))
+        return r.choice([f"+{land} ({a}) {b}-{c}", f"+{land} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{land} {a} {b} {c}", f"00{r.randint(30, 49)} {a} {b}{c}", f"{a} {b} {c}",
+                         f"0{digits(2)}-{digits(7)}", f"+{land}/{a}/{b}{c}", f"({a}){b}-{c}", f"+{land}{a}{b}{c}", f"1-{a}-{b}-{c}"]), 3
+    hexa, wide = "0123456789abcdef", lower + lower.upper() + "0123456789"
+    word = r.choice(["token", "secret", "api_key", "apikey", "key", "password", "passwd", "pwd", "access_token", "auth", "client_secret", "Password", "TOKEN", "SECRET_KEY"])
+    value = r.choice([some(hexa, r.choice((16, 18, 20, 24, 32, 40, 64))), some(hexa, 18), some(hexa, 40), some(wide, r.randint(12, 40))])
+    return r.choice([f'{word} = "{value}"', f"{word}={value}", f"{word}: {value}", f"{word}='{value}'", "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + some(wide, 36), "sk-" + some(wide, r.choice((32, 48))), f'token = "{some(hexa, 40)}"', f"password={some(hexa, 18)}"]), 4
+
+
 def labelled_windows(count: int = TRAIN_WINDOWS, seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """A bounded set of labelled windows, made from a seed: personal data in several spellings, and look-alikes that are none."""
+    """A bounded set of labelled windows, made from a seed: personal data and secrets in many spellings among prose of several languages, and look-alikes that are none."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(r.choice(("th", "an", "er", "on", "st", "ch", "de", "la", "qu", "ß", "é", "ción", "ung", "a", "o", "e")) for _ in range(r.randint(1, 4)))
-    name = lambda: "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(2, 8)))
-
-    def item() -> tuple[str, int]:
-        kind = r.randrange(9)
-        if kind == 0:
-            return f"{name()}{r.choice(['.', '_', ''])}{digits(r.randint(0, 2)) or name()}@{name()}{r.choice(['', digits(1)])}.{r.choice(['example.com', 'org', 'net'])}", 0
-        if kind == 1:
-            return f"{name()}.{name()} @ {name()}.{r.choice(['com', 'org', 'example.net'])}", 0
-        if kind == 2:
-            return ".".join(str(r.randrange(256)) for _ in range(4)), 1
-        if kind in (3, 4):
-            n = digits(15)
-            n += next(c for c in "0123456789" if luhn(n + c))
-            return r.choice([n, " ".join(n[i : i + 4] for i in (0, 4, 8, 12)), ".".join(n[i : i + 4] for i in (0, 4, 8, 12)), "-".join(n[i : i + 4] for i in (0, 4, 8, 12))]), 2
-        a, b, c = digits(3), digits(3), digits(4)
-        return r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"00{r.randint(30, 49)} {a} {b}{c}", f"{a} {b} {c}"]), 3
+    syllables = ("th an er on st ch de la qu ing and of wh re ti sh he ha in or nd ble ly tion ent al le es os dad ción ñ í ó ue mente é è ê ç oi eau aux ou ai ß ä ö ü ung heit keit lich sch ge ver ei ie be en pf tz "
+                 "a e i o u x y z k b c d f g j m p s t v w").split()
+    common = "the of and to in a that is for on with as by at from dot key token secret password der die das und von zu mit den ein el la de que los y en por con le les des et une pour dans sur au".split()
+
+    def word() -> str:
+        w = r.choice(common) if r.random() < 0.4 else "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+        x = r.random()
+        return w.capitalize() if x < 0.13 else w.upper() if x < 0.15 else w
 
     def decoy() -> str:
-        hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+        n = lambda a, b: r.randint(a, b)
         return r.choice([
-            f"version {r.randint(1, 9)}.{r.randint(0, 9)}", f"password={hexa(18)}", f'token = "{hexa(40)}"', "AKIA" + "".join(r.choice("ABCDEFGH234567") for _ in range(16)),
-            str(r.randint(1, 2100)), f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", f"{r.randint(1, 999)},{digits(3)}", f"{digits(8)}", f"@{name()}", f"{r.randint(1, 12)}:{digits(2)}", f"{digits(6)}-{digits(2)}", f"2.{digits(1)}.{digits(2)}",
-        ])
+            lambda: f"version {n(1, 9)}.{n(0, 9)}", lambda: f"v{n(1, 9)}.{n(0, 20)}.{n(0, 99)}", lambda: str(n(1, 2100)), lambda: f"{n(1, 31)}.{n(1, 12)}.{n(1990, 2030)}",
+            lambda: f"{n(1990, 2030)}-{n(1, 12):02d}-{n(1, 28):02d}", lambda: f"{n(1, 999)},{digits(3)}", lambda: f"{n(1, 99)},{digits(3)},{digits(3)}", lambda: digits(n(4, 8)), lambda: f"@{word()}",
+            lambda: f"{n(1, 12)}:{digits(2)}", lambda: f"{n(0, 23)}:{digits(2)}:{digits(2)}", lambda: f"{digits(6)}-{digits(2)}", lambda: f"{n(0, 9)}.{digits(n(1, 6))}", lambda: f"CC BY-NC {n(1, 4)}.0",
+            lambda: f"https://www.{word()}.com/{word()}/{n(1, 9999)}", lambda: f"{word()}_{n(1, 9999)}.jpg", lambda: f"{n(1, 100)}%", lambda: f"${n(1, 999)}.{digits(2)}", lambda: f"#{digits(n(1, 6))}",
+            lambda: f"{n(1, 9)}.{n(1, 9)}.{n(1, 9)}", lambda: f"{n(1, 200)}-{n(200, 400)}", lambda: f"x = {word()}({n(1, 99)}, {n(1, 99)});", lambda: f"at {n(1, 12)} dot {word()}", lambda: f"{word()} at {word()}",
+            lambda: f"{word()}.{word()}", lambda: f"key {word()}", lambda: f"the password {word()}", lambda: f"{word()} = {n(1, 99)}", lambda: f"{word()}: {word()}", lambda: f"({n(1, 99)})", lambda: f"{n(1900, 2030)}/{n(10, 99)}",
+            lambda: f"{n(1, 9)} {n(100, 999)} {n(100, 999)}", lambda: f"| {word()} | {word()} | {n(1, 999)} |", lambda: f"(c) {n(1990, 2030)} {word()}", *[lambda: r.choice([" ", ", "]).join([word()] * n(3, 30))] * 3, lambda: " ".join(r.choice(["at", "dot", "that", "and"]) for _ in range(n(3, 9))), lambda: word() + r.choice(["%%%", "###", "&&&", "$$$", "***", "@@@", "!!!"]), lambda: " ".join(word().upper() for _ in range(n(1, 4))) + r.choice(["!!", "!", "", ":"]),
+        ])()
 
     out = []
     while len(out) < count:
         text, spans = "", []
-        while len(text) < WINDOW + 40:
+        share = r.choice((0.0, 0.05, 0.12, 0.2))
+        while len(text) < TRAIN_WINDOW + 60:
             x = r.random()
-            if x < 0.12:
-                s, k = item()
+            if x < share:
+                s, k = labelled_items(r)
                 spans.append((len(text), k, len(text) + len(s)))
                 text += s
-            elif x < 0.24:
-                text += decoy()
             else:
-                text += word()
-            text += r.choice([" ", " ", " ", " ", ", ", ". ", ".\n", "### "])
-        at = r.randrange(40)
-        out.append((text[at : at + WINDOW], [(max(a - at, 0), k, min(b - at, WINDOW)) for a, k, b in spans if b > at and a < at + WINDOW]))
+                text += decoy() if x < share + 0.12 else word()
+            text += r.choice([" ", " ", " ", " ", " ", " ", ", ", ". ", ".\n", "### ", " | ", "\n", '" '])
+        at = r.randrange(60)
+        out.append((text[at : at + TRAIN_WINDOW], [(max(a - at, 0), k, min(b - at, TRAIN_WINDOW)) for a, k, b in spans if b > at and a < at + TRAIN_WINDOW]))
     return out
 
 
@@ -275,106 +321,140 @@ def default_network() -> Network:
 # ---- whole texts -----------------------------------------------------------------------------------------------------
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Ranges made of the windows within one window of a digit or an ``@``."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
-    out: list[list[int]] = []
-    at = 0
-    while m := TRIGGER.search(text, at):
-        low = max(0, min(last, (m.start() - WINDOW) // STRIDE) - 1)
-        high = min(last, m.start() // STRIDE + 1)
-        a, b = low * STRIDE, min(len(text), high * STRIDE + WINDOW)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-        at = max(m.start() + 1, (m.start() // STRIDE + 1) * STRIDE if high * STRIDE + WINDOW >= m.start() + STRIDE + WINDOW else m.start() + 1)
-    return [(a, b) for a, b in out]
+def window_scores(net: Network, texts: list[str]) -> list[np.ndarray]:
+    """Tag scores (characters x tags) of whole texts: those of overlapping windows, averaged by the distance to the window's edge.
+
+    A text's windows begin with the text, so its scores don't depend on its neighbours.  Windows are scored ``SLICE`` at a time, and nothing of a slice but its scores is kept.
+    """
+    counts = [max(1, -(-(len(t) - WINDOW) // STRIDE) + 1) for t in texts]
+    # all windows lie on one grid of strides; a text has a stride more than windows, which takes up its last one's end
+    first = np.cumsum([0, *(n + 1 for n in counts)])
+    padded = np.full(int(first[-1]) * STRIDE + WINDOW, SYMBOLS.index(" "), np.uint8)
+    for at, text in zip(first.tolist(), texts, strict=False):
+        padded[at * STRIDE : at * STRIDE + len(text)] = encode(text)
+    grid = np.concatenate([np.arange(at, at + n) for at, n in zip(first.tolist(), counts, strict=False)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+    centre = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)[:, None]
+    sums, weights = np.zeros((len(padded) + WINDOW, TAGS), np.float32), np.zeros((len(padded) + WINDOW, 1), np.float32)
+    for at in range(0, len(grid), SLICE):
+        places = grid[at : at + SLICE]
+        unary = scores(net, windows[places])
+        unary *= centre[:, None]
+        unary = unary.transpose(2, 0, 1)
+        for odd in (0, 1):  # every second window of the grid: those don't overlap
+            pick = places % 2 == odd
+            if pick.any():
+                low, rows = int(places[pick][0]), (places[pick] - int(places[pick][0])) // 2
+                for whole, own in ((sums, unary[pick]), (weights, centre)):
+                    step = whole.strides
+                    seen = np.lib.stride_tricks.as_strided(whole[low * STRIDE :], (int(rows[-1]) + 1, WINDOW, whole.shape[1]), (2 * STRIDE * step[0], *step))
+                    seen[rows] += own
+    return [sums[at * STRIDE : at * STRIDE + len(t)] / weights[at * STRIDE : at * STRIDE + len(t)] for at, t in zip(first.tolist(), texts, strict=False)]
+
+
+def possible(mean: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Characters that the best path of all may tag as something: the others are outside in it for certain.
+
+    Against staying outside, a tagged segment gains at most ``inner`` by each move within it and ``edge`` by the two that enter and leave it; so
+    a segment whose margins and moves sum to less than nothing loses, and a character that only such segments hold is outside.
+    """
+    stay = float(moves[0, 0])
+    inner, edge = float(moves[1:, 1:].max()) - stay, float(moves[0, 1:].max() + moves[1:, 0].max()) - 2 * stay
+    best = mean[:, 1]
+    for k in range(2, TAGS):
+        best = np.maximum(best, mean[:, k])
+    upto = np.concatenate([[0.0], np.cumsum((best - mean[:, 0]).astype(np.float64) + inner)])
+    highest = np.maximum.accumulate(upto[:0:-1])[::-1]
+    return highest - np.minimum.accumulate(upto[:-1]) >= inner - edge
 
 
 def viterbi(unary: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The best path of characters that lie between two outside ones."""
     back = np.empty(unary.shape, np.int8)
-    best = unary[0].astype(np.float64)
+    best = unary[0].astype(np.float64) + moves[0]
     for t in range(1, len(unary)):
         x = best[:, None] + moves
         back[t] = x.argmax(axis=0)
         best = x.max(axis=0) + unary[t]
     tags = np.empty(len(unary), np.int64)
-    tags[-1] = best.argmax()
+    tags[-1] = (best + moves[:, 0]).argmax()
     for t in range(len(unary) - 1, 0, -1):
         tags[t - 1] = back[t, tags[t]]
     return tags
 
 
+def probabilities(unary: np.ndarray, tags: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The probability of each character's tag, among all paths of characters that lie between two outside ones (forward-backward)."""
+    n = len(unary)
+    ahead, behind = np.empty((n, TAGS)), np.empty((n, TAGS))
+    ahead[0], behind[-1] = unary[0] + moves[0], moves[:, 0]
+    for t in range(1, n):
+        ahead[t] = _lse(ahead[t - 1][:, None] + moves, 0) + unary[t]
+    for t in range(n - 2, -1, -1):
+        behind[t] = _lse(moves + (unary[t + 1] + behind[t + 1])[None, :], 1)
+    both = ahead + behind
+    return np.exp(both[np.arange(n), tags] - _lse(both, 1))
+
+
+def best_path(mean: np.ndarray, moves: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The best path over a whole text (which begins and ends outside), as (start, tags) of the runs of characters that may be something; all others are outside in it."""
+    edges = np.flatnonzero(np.diff(possible(mean, moves).astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    for a, b in edges.reshape(-1, 2).tolist():
+        yield a, viterbi(mean[a:b], moves)
+
+
 def _spans(tags: np.ndarray) -> Iterator[Span]:
-    kind, start = -1, 0
-    for t, tag in enumerate([*tags.tolist(), 0]):
-        k = (tag - 1) // 2 if tag else -1
-        if kind >= 0 and (k != kind or tag % 2 == 1):
-            yield start, kind, t
-            kind = -1
-        if k >= 0 and kind < 0:
-            kind, start = k, t
-
-
-def fits(kind: int, found: str) -> bool:
-    digits = re.sub(r"[^0-9]", "", found)
-    if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+\s?@\s?[^\s@]+\.[^\s@.]{2,}", found))
+    edges = np.flatnonzero(np.diff(tags, prepend=0, append=0)).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if tags[a]:
+            yield a, int(tags[a]) - 1, b
+
+
+def holds(kind: int, found: str) -> bool:
+    """What the values of a kind obey in any spelling: a card's check digit, and an address's bytes."""
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?:\s?\.\s?[0-9]{1,3}){3}", found)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", found))
+        parts = re.findall("[0-9]+", found)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return 14 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 .-]", found)
-    return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", found)) and bool(re.search(r"[ ().-]", found))
+        digits = re.sub("[^0-9]", "", found)
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return True
 
 
 def added_spans(texts: list[str], bases: list[list[Span]], net: Network) -> list[list[Span]]:
     """What the network adds to the patterns' spans of each text."""
-    places = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
     out: list[list[Span]] = [[] for _ in texts]
-    centre = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
-    group: list[tuple[int, int, int]] = []
+    group: list[int] = []
     size = 0
 
     def work() -> None:
-        windows, owners = [], []
-        for g, (i, a, b) in enumerate(group):
-            codes = encode(texts[i][a:b])
-            for w in range(0, max(1, -(-(b - a - WINDOW) // STRIDE) + 1)):
-                part = codes[w * STRIDE : w * STRIDE + WINDOW]
-                windows.append(np.pad(part, (0, WINDOW - len(part)), constant_values=SYMBOLS.index(" ")))
-                owners.append((g, w))
-        unary, _ = scores(net, np.stack(windows))
-        sums = [np.zeros((b - a, TAGS), np.float32) for _, a, b in group]
-        weigh = [np.zeros(b - a, np.float32) for _, a, b in group]
-        for j, (g, w) in enumerate(owners):
-            n = min(WINDOW, len(weigh[g]) - w * STRIDE)
-            sums[g][w * STRIDE : w * STRIDE + n] += unary[:n, j] * centre[:n, None]
-            weigh[g][w * STRIDE : w * STRIDE + n] += centre[:n]
-        for (i, a, _), s, w in zip(group, sums, weigh, strict=True):
-            mean = s / w[:, None]
-            tags = viterbi(mean, net.moves)
-            found = list(_spans(tags))
-            if not found:
-                continue
-            chance = np.exp(mean - _lse(mean, 1)[:, None])[np.arange(len(tags)), tags]
-            for x, k, y in found:
-                piece = texts[i][a + x : a + y]
-                x, y = x + len(piece) - len(piece.lstrip()), y - (len(piece) - len(piece.rstrip()))
-                piece = piece.strip()
-                if not piece or not TRIGGER.search(piece) or chance[x:y].mean() < SURE or not fits(k, piece):
+        for i, own in zip(group, window_scores(net, [texts[i] for i in group]), strict=True):
+            text = texts[i]
+            taken = sorted((a, b) for a, _, b in bases[i])
+            for a, tags in best_path(own, net.moves):
+                if not tags.any():
                     continue
-                start, end = a + x, a + y
-                # not a part of a longer run of letters or digits
-                if (start and texts[i][start - 1].isalnum()) or (end < len(texts[i]) and texts[i][end].isalnum()):
-                    continue
-                if all(end <= p or q <= start for p, _, q in bases[i]):
-                    out[i].append((start, k, end))
-
-    for place in places:
-        group.append(place)
-        size += place[2] - place[1]
-        if size > 200_000:
+                chances = probabilities(own[a : a + len(tags)], tags, net.moves)
+                for x, k, y in _spans(tags):
+                    if chances[x:y].mean() < SURE:
+                        continue
+                    piece = text[a + x : a + y]
+                    start, end = a + x + len(piece) - len(piece.lstrip()), a + y - len(piece) + len(piece.rstrip())
+                    if start >= end or not holds(k, text[start:end]):
+                        continue
+                    # not a part of a longer run of letters or digits
+                    if (start and text[start - 1].isalnum() and text[start].isalnum()) or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum()):
+                        continue
+                    p = bisect.bisect_left(taken, (end, -1))
+                    if not any(start < b for _, b in taken[max(0, p - len(BASE_KINDS)) : p]):
+                        out[i].append((start, k, end))
+
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        group.append(i)
+        size += len(text)
+        if size > 1 << 20:
             work()
             group, size = [], 0
     if group:

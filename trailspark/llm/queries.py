@@ -33,7 +33,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counted = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}")
-    counts = [counted(k) for k in pii.KINDS]
+    counts = [counted(k) for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(said(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
