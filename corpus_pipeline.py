@@ -1,4 +1,8 @@
-"""The corpus pipeline: language ID, near-copies, personal data, mixing, tokens; each stage works on all that the stage before it kept."""
+"""The corpus pipeline: language ID, near-copies, personal data, mixing, tokens; each stage works on all that the stage before it kept.
+
+All stages but the last return the columns of their documents, whatever else these hold: a stage numbers the columns before it calls an operator, so no name clashes
+with one of the operator's own.  An empty table passes through all stages and stays empty.
+"""
 
 from __future__ import annotations
 
@@ -12,38 +16,60 @@ from trailspark.llm.common import cut, table
 LEAST_SCORE = 0.35
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns c0, c1, ..., and each column's new name."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _named(rows: DataFrame, names: dict[str, str], **instead) -> DataFrame:
+    return rows.select(*[instead.get(c, F.col(n)).alias(c) for c, n in names.items()])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs)
-    found = langid.identify(docs, model, keep=docs.columns)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in one of the languages that the labelled ones teach.
+
+    A null or empty text, and one without letters, is in none and goes; so does a text of which no language has the share LEAST_SCORE. Repeated rows
+    stay or go together; where no row has a label there is nothing to tell languages by, and all documents go.
+    """
+    rows, names = _numbered(docs)
+    model = langid.fit(rows, names["text"], names["lang"], names["doc_id"])
+    found = langid.identify(rows, model, names["text"], keep=rows.columns)
+    return _named(found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; one without an id can't be told from others and stays."""
-    groups = cut(simhash.near_copies(docs))
-    stays = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi")
-    if groups.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows of one id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """The document with the smallest id of each group stays, once if its row is repeated.
+
+    A null text counts as an empty one, so all empty documents are copies of each other; a document without an id can't be told from others and stays.
+    """
+    rows, names = _numbered(docs)
+    own = names["doc_id"]
+    groups = cut(simhash.near_copies(rows, own, names["text"]))
+    stays = groups.filter(F.col(own) == F.col("component_id")).select(own).distinct()
+    kept = rows.join(stays, own, "left_semi")
+    if groups.groupBy(own).count().filter("count > 1").limit(1).count():  # repeated rows of one id
+        kept = kept.dropDuplicates([own])
+    return _named(kept.unionByName(rows.filter(F.col(own).isNull())), names)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = pii.detect(docs, keep=others)
-    return found.select(*others, F.col("redacted").alias("text"), F.length("redacted").cast("long").alias("n_chars")).select(*docs.columns)
+    """All documents, with each span's kind in its place; ``n_chars``, where there is such a column, is that of the new text. A null text stays null, an empty one empty."""
+    rows, names = _numbered(docs)
+    found = pii.detect(rows, names["text"], keep=[c for c in rows.columns if c != names["text"]])
+    changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return _named(found, names, **{c: x for c, x in changed.items() if c in names})
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    # the near-copy stage left one row of each id; rows without an id are taken once
-    placed = docs.join(copies, "doc_id", "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))).filter("__copies > 0")
-    return placed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """Every row as often as the mix takes it: rows without an id and repeated rows too; a null or empty text has no words, and what of them is taken adds none."""
+    rows, names = _numbered(docs)
+    taken = mixing.mix(rows, names["doc_id"], names["text"], names["source"], keep=rows.columns).filter("copies > 0")
+    return _named(taken.select("kept.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), names)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document that the mix holds: one row for each copy."""
+    """(doc_id, ids, n_pieces) of every document that the mix holds: one row for each copy; a null or empty text has no pieces."""
     tokens = spm.encode(docs)
     return tokens.select("doc_id", "ids", F.size("ids").alias("n_pieces"))
 

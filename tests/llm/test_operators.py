@@ -66,6 +66,32 @@ def test_langid_forward_backward_against_enumeration():
         assert np.allclose(p[a : a + n], mass / total, atol=1e-4)
 
 
+def test_langid_prediction_against_enumeration():
+    """Label and score of whole texts from all label sequences, each weighed by its words' scores and moves; ties go to the first label."""
+    import itertools
+
+    r = np.random.default_rng(2)
+    words = ["tamo", "li", "krelt", "x"]
+    model = langid.train([(" ".join(r.choice(words, 30)), y) for y in ("aa", "bb") for _ in range(20)])
+    model.weights[:] = r.normal(size=model.weights.shape)
+    model.weights[0] = 0
+    model.first, model.moves = r.normal(size=2), r.normal(size=(2, 2))
+    for text in ("tamo li, krelt!", "x", "li x x tamo krelt li"):
+        ws = langid.pieces(text)
+        e = model.emissions(ws)
+        total, share = 0.0, np.zeros(2)
+        for path in itertools.product((0, 1), repeat=len(ws)):
+            w = np.exp(model.first[path[0]] + sum(e[t, y] for t, y in enumerate(path)) + sum(model.moves[a, b] for a, b in zip(path, path[1:])))
+            total += w
+            for t, y in enumerate(path):
+                share[y] += w * len(ws[t])
+        share /= total * sum(map(len, ws))
+        (label,), (score,) = langid.predict([text], model)
+        assert label == model.labels[share.argmax()] and score == pytest.approx(share.max(), abs=1e-4)
+    model.weights[:], model.first[:], model.moves[:] = 0, 0, 0
+    assert langid.predict(["tamo li"], model)[0] == ["aa"]
+
+
 def test_langid_edges(spark):
     docs = frame(spark)
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, langid.fit(docs)).collect()}
@@ -320,11 +346,50 @@ def test_spm_at_the_size_of_a_chunk(spark, processor):
 # ---- mixing ---------------------------------------------------------------------------------------------------------------
 
 
-def test_targets_by_hand():
-    got = mixing.targets([("a", 100), ("b", 100), (None, 100)])
-    assert got == {"a": 200, "b": pytest.approx(250 * 2 / 3), None: pytest.approx(250 / 3)}
-    assert mixing.targets([("a", 0), ("b", 10)]) == {"a": 0, "b": 15}
-    assert mixing.targets([]) == {}
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, left, active = dict.fromkeys(order, 0.0), share * sum(sizes.values()), [s for s in order if sizes[s]]
+    while active:
+        total = sum(weight[s] for s in active)
+        above = {s for s in active if left * weight[s] / total > cap * sizes[s]}
+        for s in above or active:
+            out[s] = cap * sizes[s] if above else left * weight[s] / total
+        if not above:
+            break
+        left -= sum(out[s] for s in above)
+        active = [s for s in active if s not in above]
+    return out
+
+
+def test_source_targets(spark):
+    of = lambda sizes: {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+    assert of({"a": 100, "b": 100, None: 100}) == {"a": 200, "b": pytest.approx(250 * 2 / 3), None: pytest.approx(250 / 3)}
+    assert of({"a": 0, "b": 10}) == {"a": 0, "b": 15}
+    assert of({}) == {}
+    r = random.Random(6)
+    for n in (7, 300):
+        sizes = {(f"s{i}é" if i % 3 else f"S{i}") if i else None: r.choice([0, 1, 50, r.randrange(10**6)]) for i in range(n)}
+        assert of(sizes) == {s: pytest.approx(t) for s, t in brute_targets(sizes).items()}
+
+
+def brute_mix(rows, u):
+    """Copies by sorting each source's documents by their rank (rows: id, words, source; u: each row's uniform number)."""
+    sizes = {}
+    for _, n, s in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    goal, out = brute_targets(sizes), {}
+    for s in sizes:
+        own = [(u[i], i, n) for i, n, x in rows if x == s]
+        whole = min(2, int(goal[s] / sizes[s] + 1e-12)) if sizes[s] else 0
+        p, rest = (goal[s] / sizes[s] if sizes[s] else 0) - whole, goal[s] - whole * sizes[s]
+        before = 0
+        for x, i, n in sorted(own, key=lambda d: d[0] / (1 - d[0]) / max(p, 1e-12) * (1 - p)):
+            out[i] = whole + (p > 0 and rest > 0 and before + n / 2 < rest)
+            before += n if before < rest else 0
+            if before >= rest:
+                rest = -1
+    return out
 
 
 def test_mix_hits_targets_and_repeats_itself(spark):
@@ -339,6 +404,9 @@ def test_mix_hits_targets_and_repeats_itself(spark):
     assert (by["n"] == by["m"]).all() and ((by["k"] - by["t"]).abs() <= 60).all()
     assert (got["taken"] <= 2 * got["size"]).all()
     assert got.set_index("doc_id")["size"].to_dict() == {i: len(t.split()) for i, t, _ in rows}
+    numbers = df.select("doc_id", mixing.uniform(F.col("doc_id"), F.xxhash64("text"), seed=17).alias("u")).collect()
+    want = brute_mix([(i, len(t.split()), s) for i, t, s in rows], {r["doc_id"]: r["u"] for r in numbers})
+    assert got.set_index("doc_id")["copies"].to_dict() == want
 
 
 def test_mix_inclusion_is_even_within_a_source(spark):
@@ -352,10 +420,29 @@ def test_mix_inclusion_is_even_within_a_source(spark):
     assert abs(first - second) < 0.25
 
 
+def test_mix_prefers(spark):
+    rows = [(i, "a b c d", "x" if i < 1000 else "y") for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    g = mixing.mix(df, preference=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0)).toPandas()
+    y = g[g["doc_id"] >= 1000]
+    assert abs(y["taken"].sum() - y["target"].iloc[0]) <= 4
+    assert y[y["doc_id"] % 2 == 0]["copies"].mean() > y[y["doc_id"] % 2 == 1]["copies"].mean() + 0.1
+
+
 def test_mix_edges(spark):
     got = mixing.mix(frame(spark)).collect()
     assert len(got) == len(TEXTS) and all(r["size"] == 0 and r["taken"] == 0 for r in got if r["doc_id"] in (2, 3, 8))
     assert mixing.mix(empty(spark)).count() == 0
+    # rows without an id, repeated ids and repeated rows still meet their sources' targets, also where sources are joined by a shuffle
+    rows = [(None, f"a b c {i}", "x") for i in range(300)] + [(7, f"d e {i}", "y") for i in range(300)] + [(8, "f g", None)] * 300
+    for most in (mixing.BROADCAST_SOURCES, 0):
+        mixing.BROADCAST_SOURCES, old = most, mixing.BROADCAST_SOURCES
+        try:
+            g = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["text", "source"]).toPandas()
+        finally:
+            mixing.BROADCAST_SOURCES = old
+        assert len(g) == 900 and ((g.groupby("target")["taken"].sum().reset_index().pipe(lambda x: (x["target"] - x["taken"]).abs())) <= 4).all()
+        assert {r["text"] for r in g["kept"]} == {t for _, t, _ in rows}
 
 
 # ---- media ----------------------------------------------------------------------------------------------------------------
@@ -483,9 +570,19 @@ def test_near_copies_by_similarity(spark, shard, monkeypatch):
     rows += [(100 + i, " ".join(w[:50] + ["zzz"] + w[51:])) for i, w in enumerate(base)]  # similarity of about 0.95
     rows += [(200 + i, " ".join(w[:100] + [word() for _ in range(100)])) for i, w in enumerate(base)]  # about 0.3
     rows += [(300 + i, rows[30][1] + f" more{i}") for i in range(8)]  # a group of near copies of one text
+    rows += [(400 + i, "".join(f" t{j}" if (j * 7 + i) % 40 else f" u{i}" for j in range(200))) for i in range(40)]  # a large group, of which many pairs are less similar
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[300 + i] == 0 for i in range(8))
     assert all(got[100 + i] == i and got[200 + i] == 200 + i for i in range(30))
+    texts = dict(rows)
+    sets = {400 + i: {tuple(texts[400 + i].split()[k : k + 5]) for k in range(196)} for i in range(40)}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    assert {i: got[i] for i in sets} == root
     assert simhash.near_copies(empty(spark)).count() == 0
 
 
@@ -614,6 +711,41 @@ def test_pipeline_keeps_clean_documents(spark, sf, processor):
     assert len(rows) == four.count() and all(list(r["ids"]) == processor.encode(text[r["doc_id"]]) for r in rows[:50])
 
 
+def test_pipeline_stages_on_edges(spark, sf):
+    """Nulls in every column, empty and long texts, repeated rows, no n_chars, names that operators use, and empty tables, through all stages."""
+    import corpus_pipeline as P
+
+    r = random.Random(0)
+    prose = lambda n: " ".join(r.choice("the of and to in that is for on with".split()) + r.choice(["", "ing", "ed", "ly"]) for _ in range(n))
+    rows = [(i, prose(60), "en", f"s{i % 3}") for i in range(40)]
+    rows += [(100, None, "en", "s1"), (101, "", None, None), (102, prose(20_000), None, "s1"), (103, prose(30), "en", None), (None, prose(30), "en", "s1"), (None, None, None, None), (None, prose(25), "en", "s1")]
+    rows += [rows[0], rows[0], (1000, rows[1][1], "en", "s0"), (1001, "see password=b7db7aa4a5fcc78305 " + prose(20), "en", "s2")]
+    names = ("score", "lang_pred", "spans", "redacted", "base_spans", "copies", "kept", "size", "id", "ids", "component_id", "c0", "c1", "__copies", "copy")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(c) for c in names})
+    for k, (_, stage) in enumerate(P.STAGES):
+        empty_out = stage(spark, docs.limit(0), sf)
+        assert empty_out.count() == 0
+        out = P.cut(stage(spark, docs, sf))
+        if k < 4:
+            assert out.columns == docs.columns == empty_out.columns and out.schema.simpleString() == docs.schema.simpleString()
+            assert all(x[c] == c for x in out.select(*names).collect() for c in names)
+        before, after = docs.count(), out.count()
+        if k == 0:
+            assert after == before - 3 and out.filter("text is null or text = ''").count() == 0
+        elif k == 1:
+            assert out.filter("doc_id is null").count() == 2 and out.filter("doc_id = 0").count() == 1 and out.filter("doc_id = 1000").count() == 0
+        elif k == 2:
+            assert after == before and out.filter("doc_id = 1001").first()["text"].startswith("see <SECRET>")
+        elif k == 3:
+            size = lambda df: {x["source"]: x["n"] for x in df.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+            want, got = brute_targets(size(docs)), size(out)
+            most = {x["source"]: x["n"] for x in docs.groupBy("source").agg(F.max(mixing.words(F.col("text"))).alias("n")).collect()}
+            assert all(abs(got.get(s, 0) - want[s]) <= most[s] / 2 for s in want)
+        else:
+            assert after == before
+        docs = out
+
+
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_against_sql(spark, sf, name):
     import duckdb

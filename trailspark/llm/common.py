@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one Python step works on at once; longer single rows go alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:

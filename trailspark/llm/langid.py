@@ -4,8 +4,8 @@ Every word of a text has a label (a language).  Its score for each label sums th
 transitions tie neighbours, so code-switched texts get runs of labels.  Forward-backward gives each word's label probabilities,
 and a document's language is the label with the largest share of letters.
 
-Training uses at most ``PER_LABEL`` labelled documents of each label, chosen by a hash of their id, cut at random into runs of words that are
-strung together to code-switched sequences.  Labels are learned from text and label alone.
+Training uses about ``PER_LABEL`` labelled documents of each label (twice as many at most), chosen by a hash of their id, and a run of ``RUN`` words of each, which is cut at random into shorter ones that are
+strung together to code-switched sequences.  Labels are learned from text and label alone; their number is the classifier's number of classes, a row each on the driver.
 
 Defined results: a null text and one without letters is ``und`` with score 0, and so is every text if nothing labelled is there to learn from;
 ties go to the first label in code point order; repeated rows get repeated results.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from trailspark.llm.common import steps, uniform
 
 PER_LABEL = 250
+#: Words of a labelled document that training sees (a run from a place chosen by a hash), and characters of such a word.
+RUN, RUN_CHARS = 600, 100
 SEQUENCES = 700
 EPOCHS = 4
 BATCH = 35
@@ -163,7 +165,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
     vocabulary = sorted({w for ws, _ in sequences for w in ws})
     number = {w: i for i, w in enumerate(vocabulary)}
     feats = features(vocabulary, lexicon)
-    squares, move_squares = np.full((size, k), 1e-3, np.float32), np.full((k, k), 1e-3)
+    squares, move_squares, first_squares = np.full((size, k), 1e-3, np.float32), np.full((k, k), 1e-3), np.full(k, 1e-3)
     for epoch in range(EPOCHS):
         order = r.permutation(len(sequences))
         for at in range(0, len(order), BATCH):
@@ -187,6 +189,10 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
             move_grad = (true - moved) / len(batch)
             move_squares += move_grad**2
             model.moves += 0.1 * move_grad / np.sqrt(move_squares)
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            first_grad = error[starts].sum(axis=0) / len(batch)
+            first_squares += first_grad**2
+            model.first += 0.1 * first_grad / np.sqrt(first_squares)
     return model
 
 
@@ -203,8 +209,13 @@ def fit(docs: DataFrame, text_column: str = "text", label_column: str = "lang",
     for y, n in sorted(counts.items()):
         one = (F.col(label_column) == y) & (u < min(1.0, per_label / n))
         wanted = one if wanted is None else wanted | one
-    got = rows.filter(wanted).select(text_column, label_column).limit(2 * per_label * len(counts)).collect()
-    return train([(r[0], r[1]) for r in got])
+    # a run of words of each, cut where the row lies: the driver gets a bounded number of bounded texts, the same at every run
+    every = F.regexp_extract_all(F.col(text_column), F.lit(rf"(?s)\S{{1,{RUN_CHARS}}}"), F.lit(0))
+    at = (uniform(F.col(id_column).cast("string"), seed=31) * F.greatest(F.lit(1), F.size("words") - RUN + 1)).cast("int") + 1
+    chosen = rows.filter(wanted).select(u.alias("u"), F.col(id_column), every.alias("words"), F.col(label_column).alias("label"))
+    runs = chosen.select("u", F.array_join(F.slice("words", at, RUN), " ").alias("run"), "label")
+    got = runs.orderBy("u", "label", "run").limit(2 * per_label * len(counts)).collect()
+    return train([(r["run"], r["label"]) for r in got])
 
 
 def label_words(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,9 +5,10 @@ fingerprints agree in at least two blocks, so every distinct fingerprint is deal
 is what must agree.  A shard builds a BK-tree (children keyed by their integer Hamming distance to the parent) and searches it
 for each of its members, following only edges within the radius.  A shard links its members with a spanning forest, not with all
 pairs, so a group of n copies makes fewer than n links.  Shards with more than ``HOT`` distinct fingerprints are dealt once more on the
-bits that their key leaves free, by the same argument, which bounds what one tree can hold.
+bits that their key leaves free, by the same argument; every link is found either way.  Fingerprints go to their shard's tree by a shuffle: a
+broadcast of the trees would hold every document's fingerprint on the driver.
 
-Components come from alternating large-star and small-star passes over the links, a checkpoint apart.
+Components come from alternating large-star and small-star passes over the links, a checkpoint apart, until nothing changes.
 
 Defined results: a null text and one without words have fingerprint zero and link like any other; repeated rows and exact copies
 share a fingerprint; empty input gives an empty result; other columns of the input play no part; a row without an id takes no part in linking and has no component.
@@ -102,25 +103,31 @@ class BKTree:
         return found
 
 
-def forest(values, radius: int, tree=None) -> list[tuple[int, int]]:
-    """Links (indexes) that connect what is within the radius of each other, without a ring; a LeafTree holds indexes, a BKTree values."""
-    labels, links = np.arange(len(values)), []
-    plain = tree is None
-    tree = tree or BKTree()
+class Sets:
+    """Disjoint sets of indexes."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def top(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.top(i), self.top(j)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links (indexes) that connect what is within the radius of each other, without a ring."""
+    sets, links, tree = Sets(len(values)), [], BKTree()
     for i, v in enumerate(values):
-        v = v if plain else i
-        found = np.asarray(tree.within(v, radius), np.int64)
-        if len(found):
-            known = labels[found]
-            if (known == known[0]).all():
-                labels[i] = known[0]
-                links.append((i, int(found[0])))
-            else:
-                groups, first = np.unique(known, return_index=True)
-                links += [(i, int(found[k])) for k in first]
-                labels[i] = groups[0]
-                for g in groups[1:]:
-                    labels[labels == g] = groups[0]
+        links += [(i, j) for j in tree.within(v, radius) if sets.join(i, j)]
         tree.add(v)
     return links
 
@@ -156,15 +163,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     counts = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shards = dealt.join(counts, ["band", "key"])
     plain = shards.filter(F.col("n") <= HOT).select("band", "key", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey"), "node", "fp")
-    hot = None
+    again = None
     for k, (i, j) in enumerate(pairs):
         free = [p for b in range(blocks) if b not in (i, j) for p in range(*bits[b])]
         own = [_gathered(F.col("fp"), x + y) for x, y in combinations(_ranges(free, blocks), 2)]
         subs = F.array(*[F.struct(F.lit(s).alias("sub"), c.alias("subkey")) for s, c in enumerate(own)])
-        part = shards.filter((F.col("n") > HOT) & (F.col("band") == k)).select("band", "key", "node", "fp", F.inline(subs)).select(
-            "band", "key", "sub", "subkey", "node", "fp"
-        )
-        hot = part if hot is None else hot.unionByName(part)
+        again = F.when(F.col("band") == k, subs) if again is None else again.when(F.col("band") == k, subs)
+    hot = shards.filter(F.col("n") > HOT).select("band", "key", F.inline(again), "node", "fp").select("band", "key", "sub", "subkey", "node", "fp")
     key = ["band", "key", "sub", "subkey"]
     placed = plain.unionByName(hot).repartition(partitions(distinct.sparkSession), *key).sortWithinPartitions(*key, "node")
 
@@ -194,11 +199,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return placed.mapInPandas(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches, by large-star and small-star passes."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
-    for _ in range(most):
+    while True:
         # large-star: every larger neighbour of u is tied to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -211,18 +216,24 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
-    raise RuntimeError("components didn't settle")
 
 
 # ---- near copies by similarity of shingle sets ------------------------------------------------------------------------
 
 WORDS = 4  # of 64 bits, in a long fingerprint
-BANDS, ROWS = 16, 2
-LEAF = 4096
-#: Members of one tree; a larger shard is cut into blocks, and every two of its blocks meet in a tree of their own.
+BANDS, ROWS = 20, 4
+#: Values that a leaf of a tree holds side by side before it becomes a node with children.
+LEAF = 32
+#: Members of one tree; more in one band are cut into blocks that meet.
 SHARD = 20_000
-#: Shingles of one block of a group of candidates, of which two are held at once.
+#: Shingles of a block whose members bring their sets.
 SHINGLES = 4 << 20
+#: Rounds in which nodes are compared with a leader, before all that are still apart are.
+LEADERS = 2
+#: Rows of some 30 bytes that are broadcast; more are joined by a shuffle.
+SENT = 500_000
+#: Pairs that share one copy of a set.
+HUB = 64
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -250,7 +261,10 @@ def long_fingerprint(hashes: np.ndarray) -> tuple[bytes, list[int]]:
         bits.append(np.packbits(counts * 2 > len(mixed)))
         mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    least = np.array([int((hashes * np.uint64(2 * k * 0x5851F42D4C957F2D + 1 & 0xFFFFFFFFFFFFFFFF) ^ hashes >> np.uint64(17 + k % 13)).min()) for k in range(BANDS * ROWS)], np.uint64)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12)]
+        np.minimum(least, [(part * np.uint64(2 * k * 0x5851F42D4C957F2D + 1 & 0xFFFFFFFFFFFFFFFF) ^ part >> np.uint64(17 + k % 13)).min() for k in range(BANDS * ROWS)], out=least)
     keys = [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
     return np.concatenate(bits).tobytes(), np.array(keys, np.uint64).view(np.int64).tolist()
 
@@ -324,29 +338,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verified_forest(sets: list[np.ndarray], values: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Links (indexes), each of two sets at least this similar, that connect all such sets whose fingerprints are within the radius, without a ring."""
-    labels, links, tree = np.arange(len(sets)), [], LeafTree(values)
-    sizes = np.array([len(x) for x in sets])
-    for i in range(len(sets)):
-        found = tree.within(i, radius)
-        found = found[np.minimum(sizes[found], sizes[i]) / np.maximum(sizes[found], sizes[i]) >= similarity]
-        found = found[np.argsort(np.bitwise_count(values[found] ^ values[i]).sum(axis=1, dtype=np.int64), kind="stable")]
-        for j in found.tolist():
-            if labels[i] != labels[j] and jaccard(sets[i], sets[j]) >= similarity:
-                links.append((i, j))
-                labels[labels == labels[i]] = labels[j]
-        tree.add(i)
-    return links
-
-
-def _placed(rows: DataFrame, key: list[str], blocks: Column, by: str) -> tuple[DataFrame, list[str]]:
-    """Rows of each key cut into blocks, dealt so that every two blocks meet, and sorted; and the columns of a shard."""
-    own = F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
-    shard = [*key, "x", "y"]
-    met = rows.withColumn("blocks", blocks.cast("int")).select("*", F.inline(pairs))
-    return met.repartition(partitions(rows.sparkSession), *shard).sortWithinPartitions(*shard, "node", by), shard
+def _apart(a: Column, b: Column) -> Column:
+    """Differing bits of two long fingerprints (columns of WORDS longs)."""
+    return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(1, WORDS)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
 
 
 def _shards(frames: Iterator[pd.DataFrame], shard: list[str], columns: list[str]) -> Iterator[list[tuple]]:
@@ -365,13 +359,71 @@ def _shards(frames: Iterator[pd.DataFrame], shard: list[str], columns: list[str]
         yield held
 
 
+def _search(held: list[tuple], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between members (node, fp, size, group, inner, x, and the set where links must be verified) of different groups, without a ring.
+
+    Members that are marked inner come first; in a shard of x below 0 they share one group, and only the others are looked up.
+    """
+    nodes, sizes = [h[0] for h in held], np.array([h[2] for h in held])
+    values = np.array([h[1] for h in held], np.int64).view(np.uint64)
+    tree, joined, first, links_ = LeafTree(values), Sets(len(held)), {}, []
+    whole = [np.frombuffer(h[6], np.uint64) for h in held] if len(held[0]) > 6 else None
+    for i, h in enumerate(held):
+        joined.join(first.setdefault(h[3], i), i)
+    for i, h in enumerate(held):
+        if not (h[4] and h[5] < 0):
+            found = tree.within(i, radius)
+            found = found[np.minimum(sizes[found], sizes[i]) >= similarity * np.maximum(sizes[found], sizes[i])]
+            if whole is not None:  # the nearest first
+                found = found[np.argsort(np.bitwise_count(values[found] ^ values[i]).sum(axis=1, dtype=np.int64), kind="stable")]
+            for j in found.tolist():
+                if joined.top(i) != joined.top(j) and (whole is None or jaccard(whole[i], whole[j]) >= similarity):
+                    joined.join(i, j)
+                    links_.append((nodes[i], nodes[j]))
+        if h[4] or h[5] >= 0:
+            tree.add(i)
+    return links_
+
+
+def apart_links(members: DataFrame, key: str, radius: int, similarity: float) -> DataFrame:
+    """(a, b): links between members (key, node, fp, size, group, leader_group, and shingles where links must be verified) of one key and different groups,
+    that connect all groups of which two members are within the radius (and similar).
+
+    Most members of a large key share its leader's group: those are cut into blocks, each a tree that is searched for the others,
+    which meet among themselves too.  So rows grow with the members and with those that are still apart, not with the square of the members, and no pair is ever a row.
+    """
+    verified = "shingles" in members.columns
+    inner = F.col("group") == F.col("leader_group")
+    blocks = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / F.lit(SHARD)), F.ceil(F.sum(F.when(which, F.col("size")).otherwise(0)) / F.lit(SHINGLES)) if verified else F.lit(0)).cast("int")
+    counts = members.groupBy(key).agg(blocks(inner).alias("inner_blocks"), blocks(~inner).alias("outer_blocks")).filter("outer_blocks > 0")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    place = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    to_inner = F.when(F.col("inner_blocks") > 0, F.transform(count("inner_blocks"), lambda j: place(F.lit(-1), j))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+    to_outer = F.transform(count("outer_blocks"), lambda j: place(F.least(own("outer_blocks"), j), F.greatest(own("outer_blocks"), j)))
+    places = F.when(inner, F.array(place(F.lit(-1), own("inner_blocks")))).otherwise(F.concat(to_inner, to_outer))
+    shard = [key, "x", "y"]
+    columns = ["node", "fp", "size", "group", "inner", "x", *(["shingles"] if verified else [])]
+    met = members.join(counts, key).select(key, *[c for c in columns if c not in ("inner", "x")], inner.alias("inner"), F.inline(places)).select(*shard, *[c for c in columns if c != "x"])
+    met = met.repartition(partitions(members.sparkSession), *shard).sortWithinPartitions(*shard, F.desc("inner"), "node")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _shards(frames, shard, columns):
+            out = _search(held, radius, similarity)
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return met.mapInPandas(search, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): documents whose shingle sets are similar share the smallest id of their group.
 
-    Candidates come from 256 SimHash bits: shards are the bands of minimal hashes, of which sets this similar share one at least
-    (missed with a chance under one in a million), and each shard searches its BK-tree within a radius wider than such sets need.  What
-    candidates join is a group; the whole shingle sets of its members are brought together, once each, and only pairs whose exact Jaccard
-    similarity is high enough are linked.  A document without an id gets no row.
+    Documents with the same set are one node.  Bands of minimal hashes, of which sets this similar share one at least (missed with a chance under
+    one in thirty thousand), bring nodes together.  In each of ``LEADERS`` rounds every node is compared with the leader of one of its bands, so a group of n near copies, however
+    large, makes n pairs; then BK-trees of 256 SimHash bits find what is still apart within a band but within a radius wider than sets this similar need, and the members of
+    what that joins are searched once more, with their whole sets beside them.
+    Fingerprints and bands only find candidates: two nodes are linked if the exact Jaccard similarity of their whole shingle sets is high enough.  A document without an id gets no row.
     """
     radius = radius_of(similarity)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -383,45 +435,88 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             made = [long_fingerprint(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()),
-                 pa.array([f for f, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))],
+                 pa.array([np.frombuffer(f, np.int64) for f, _ in made], pa.list_(pa.int64())), pa.array([k for _, k in made], pa.list_(pa.int64()))],
                 names=["id", "digest", "size", "fp", "keys"],
             )
 
-    prints = cut(source.mapInArrow(run, f"id {kind}, digest binary, size long, fp binary, keys array<long>"))
-    distinct = cut(prints.groupBy("digest").agg(F.min("id").alias("node"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
-    dealt = distinct.select("node", "digest", "fp", F.posexplode("keys").alias("band", "key"))
-    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    placed, shard = _placed(dealt.join(shared, ["band", "key"]), ["band", "key"], F.ceil(F.col("n") / F.lit(SHARD)), "digest")
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _shards(frames, shard, ["node", "fp"]):
-            values = np.frombuffer(b"".join(f for _, f in held), np.uint64).reshape(-1, WORDS)
-            yield pd.DataFrame([(held[i][0], held[j][0]) for i, j in forest(values, radius, LeafTree(values))], columns=["a", "b"]).astype("int64")
-
-    near = components(placed.select(*shard, "node", "fp").mapInPandas(search, "a long, b long").distinct())
-    groups = near.select("node", F.col("component").alias("group")).unionByName(near.select(F.col("component").alias("node"), F.col("component").alias("group")).distinct())
-    members = cut(distinct.join(groups, "node").select("node", "digest", "size", "fp", "group"))
-    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / F.lit(SHARD)), F.ceil(F.sum("size") / F.lit(SHINGLES))).alias("blocks"))
+    prints = cut(source.mapInArrow(run, f"id {kind}, digest binary, size long, fp array<long>, keys array<long>"))
+    nodes = cut(prints.groupBy("digest").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    every = nodes.select("node", F.explode("keys").alias("key"))  # a band's number is in its keys
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    dealt = cut(every.join(shared, "key").join(nodes.select("node", "size", "fp"), "node"))
+    met = cut(nodes.select("node", "digest").join(dealt.select("node").distinct(), "node", "left_semi"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text_column):
+        for batch in steps(batches, "text"):
             sets = [shingles(x, shingle).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "digest", "shingles"])
-
-    texts = source.join(members.select(F.col("node").alias(id_column)).distinct(), id_column, "left_semi").select(id_column, text_column)
-    whole = texts.mapInArrow(collect, f"node {kind}, digest binary, shingles binary").join(members, ["node", "digest"]).join(sizes, "group")
-    met, block = _placed(whole, ["group"], F.col("blocks"), "digest")
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held in _shards(frames, block, ["node", "digest", "fp", "shingles"]):
-            held = [x for k, x in enumerate(held) if not k or x[:2] != held[k - 1][:2]]  # repeated rows of one id
-            values = np.frombuffer(b"".join(x[2] for x in held), np.uint64).reshape(-1, WORDS)
-            sets = [np.frombuffer(x[3], np.uint64) for x in held]
-            yield pd.DataFrame([(held[i][0], held[j][0]) for i, j in verified_forest(sets, values, radius, similarity)], columns=["a", "b"]).astype("int64")
-
-    found = components(met.select(*block, "node", "digest", "fp", "shingles").mapInPandas(verify, "a long, b long").distinct())
-    merged = distinct.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(merged, "digest").select(F.col("id").alias(id_column), "component_id")
+            own = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(sets, batch.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"]).filter(own)
+
+    # whole sets of the nodes that share a band, once each; few nodes are sent along, many are met by a shuffle
+    wanted = met.select(F.col("node").alias(id_column), "digest")
+    texts = source.join(F.broadcast(wanted) if met.count() <= SENT else wanted, id_column)
+    sets = cut(texts.select(F.col(id_column).alias("node"), F.col(text_column).alias("text"), "digest").mapInArrow(collect, f"node {kind}, shingles binary"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets are similar. The set of b goes to its pairs once for each HUB of them, that of a once for each pair."""
+        pairs = cut(pairs)
+        parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(HUB)).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+        ends = pairs.join(F.broadcast(parts) if pairs.count() <= SENT else parts, "b").select(F.col("a").alias("node"), "b", part.alias("part"), F.lit(1).alias("end"))
+        hubs = parts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("end"))
+        asked = cut(ends.unionByName(hubs))
+        rows = sets.join(F.broadcast(asked) if asked.count() <= SENT else asked, "node")
+        rows = rows.repartition(partitions(docs.sparkSession), "b", "part").sortWithinPartitions("b", "part", "end")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, hub = None, []
+            for batch in batches:
+                out = []
+                for node, b, k, end, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                    if (b, k) != at:
+                        at, hub = (b, k), []
+                    one = np.frombuffer(data.as_buffer(), np.uint64)
+                    if end == 0:
+                        hub.append(one.copy())
+                    elif any(jaccard(one, x) >= similarity for x in hub):
+                        out.append((node, b))
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+        return rows.select("node", "b", "part", "end", "shingles").mapInArrow(verify, "a long, b long")
+
+    def grouped(found: DataFrame | None) -> DataFrame:
+        """The members of bands with their groups so far."""
+        if found is None:
+            return dealt.withColumn("group", F.col("node"))
+        return dealt.join(found.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+    def led(members: DataFrame, round_: int) -> DataFrame:
+        """Members of bands that hold several groups, with a leader that changes from round to round."""
+        one = F.min_by(F.struct("node", "group", "fp", "size"), F.xxhash64(F.lit(round_), "node"))
+        leaders = members.groupBy("key").agg(one.alias("one"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+        return members.join(leaders.select("key", "one"), "key")
+
+    links_, found = None, None
+    for round_ in range(LEADERS):
+        members = led(grouped(found), round_)
+        near = (F.col("group") != F.col("one.group")) & (_apart(F.col("fp"), F.col("one.fp")) <= radius)
+        fits = F.least("size", "one.size") >= F.lit(similarity) * F.greatest("size", "one.size")
+        chosen = F.min_by(F.col("one.node"), F.xxhash64(F.lit(round_), "one.node"))  # of a node's bands, as leaders are chosen
+        pairs = members.filter(near & fits).groupBy(F.col("node").alias("a")).agg(chosen.alias("b"))
+        new = cut(similar(pairs))
+        links_ = new if links_ is None else links_.unionByName(new)
+        found = components(links_)
+    # what is still apart: bands join candidates to groups, whose members then meet once each with their whole sets
+    rest = led(grouped(found), LEADERS - 1).select("key", "node", "fp", "size", "group", F.col("one.group").alias("leader_group"))
+    candidates = components(links_.unionByName(apart_links(rest, "key", radius, similarity))).withColumnRenamed("component", "key")
+    candidates = candidates.unionByName(candidates.select(F.col("key").alias("node"), "key").distinct())
+    members = dealt.select("node", "fp", "size").dropDuplicates(["node"]).join(candidates, "node")
+    members = led(members.join(found.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node")), LEADERS)
+    members = members.select("key", "node", "fp", "size", "group", F.col("one.group").alias("leader_group")).join(sets, "node")
+    links_ = links_.unionByName(apart_links(members, "key", radius, similarity))
+    found = components(links_)
+    merged = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return prints.select("id", "digest").join(merged, "digest").select(F.col("id").alias(id_column), "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

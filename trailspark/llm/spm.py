@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Characters of a chunk.
 CHUNK = 1 << 16
 #: Solved stretches in each of the two generations that a worker keeps, and pairs: when the young one is full it becomes the old one.
-KEPT_PARTS, KEPT_PAIRS = 300_000, 500_000
+KEPT_PARTS, KEPT_PAIRS = 120_000, 250_000
 #: Characters of a stretch that is kept.
 KEPT_LENGTH = 64
 State = tuple[int, int]  # piece (or minus the code of a character outside the vocabulary), characters beyond the cut
@@ -100,11 +100,15 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    @property
+    def shift(self) -> int:
+        return len(self.pieces).bit_length()
+
     def stays(self, u: int, v: int) -> bool:
         """Whether u and v are neighbours in an encoding."""
         if u <= 0 or v <= 0:
             return True
-        key = u << 20 | v
+        key = u << self.shift | v
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
@@ -141,34 +145,46 @@ class Vocabulary:
         return out
 
     def solve(self, text: str) -> list[int]:
-        """The best path through the lattice of a stretch between two cuts that no piece crosses: a forward pass over states, each
-        with the state before it, and the way back.  (For this vocabulary no other path has weight 0.)"""
-        n, pairs, stays = len(text), self.pairs, self.stays
-        reach: list[dict[int, int] | None] = [None] * (n + 1)
-        reach[0] = {START: START}
+        """The best path through the lattice of a stretch between two cuts that no piece crosses: a forward pass over states and the way back.
+
+        From the one state of such a cut, one path of weight 0 leads to each place (the encoding of what lies before it), so a place has
+        one state, and what ends at a place that has its state needn't be weighed.
+        """
+        n, pairs, stays, root, shift, longest = len(text), self.pairs, self.stays, self.nodes(), self.shift, self.longest
+        state = [START] * (n + 1)
         for i in range(n):
-            here = reach[i]
-            if here is None:
-                continue
-            for piece, end in self.at(text, i):
-                for u in here:
-                    if u > 0 and piece > 0:
-                        known = pairs.get(u << 20 | piece)
+            u, node, end = state[i], root, i
+            for c in text[i : i + longest]:
+                found = node.get(c)
+                if found is None:
+                    break
+                node, piece = found
+                end += 1
+                if piece and not state[end]:
+                    if u > 0:
+                        known = pairs.get(u << shift | piece)
                         if not (stays(u, piece) if known is None else known):
                             continue
-                    there = reach[end]
-                    if there is None:
-                        reach[end] = {piece: u}
-                    elif piece not in there:
-                        there[piece] = u
-                    break
-        path, at, piece = [], n, next(iter(reach[n]))
+                    state[end] = piece
+            if not state[i + 1]:  # a character outside the vocabulary stands for itself
+                state[i + 1] = -ord(text[i])
+        path, at = [], n
         while at:
-            path.append(piece)
-            at, piece = at - self.length(piece), reach[at][piece]
+            path.append(state[at])
+            at -= self.length(state[at])
         path.reverse()
         return path
 
+    def nodes(self) -> dict:
+        """The pieces as a tree: from each character to the next one's node and the piece that ends there, if any."""
+        if "nodes" not in self.tables:
+            grown: dict[str, tuple[dict, int]] = {"": ({}, 0)}
+            for p in sorted(self.trie):  # a string comes after those that it begins with
+                grown[p] = ({}, self.trie[p])
+                grown[p[:-1]][0][p[-1]] = grown[p]
+            self.tables["nodes"] = grown[""][0]
+        return self.tables["nodes"]
+
     def part(self, key: bytes) -> bytes:
         """The pieces of a stretch (UTF-8, with spaces) as bytes of 32-bit numbers, from the kept ones or solved."""
         known = self.old_parts.get(key)
@@ -460,7 +476,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(sent)
-        for batch in steps(batches, "text", 4 << 20):
+        for batch in steps(batches, "text"):
             ids, ends = v.encode_stretches([" " + x if x else "" for x in batch.column(1).to_pylist()])
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["id", "ids"])
@@ -526,7 +542,7 @@ def decode(encoded: DataFrame, ids_column: str = "ids", model_file: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(sent)
-        for batch in steps(batches, ids_column, 4 << 20):
+        for batch in steps(batches, ids_column):
             lists = batch.column(place)
             ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             texts = v.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends)
