@@ -673,6 +673,42 @@ def test_html_layouts():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<p></p>") == ""
 
 
+def test_html_names_of_content_that_look_like_others():
+    body = "<h1>Some title here</h1>" + "".join(f"<p>{'many words of a story told at length here ' * 4}{i}</p>" for i in range(5))
+    menu = "<ul class=menu>" + "".join(f"<li><a href=/{i}>entry {i}</a></li>" for i in range(6)) + "</ul>"
+    for holder in ("<div class='post notice-board'>{}</div>", "<div class='header-image story'>{}</div>", "<article class='has-sidebar'>{}</article>", "<main><article>{}</article></main>"):
+        got = html_extract.extract(f"<body>{menu}{holder.format(body)}<footer>(c) us</footer></body>").split("\n")
+        assert len(got) == 6 and got[0] == "Some title here" and got[5].endswith("here 4")
+    two = html_extract.extract(f"<body>{menu}<article>{body}</article><article>{body}</article><footer>(c) us</footer></body>")
+    assert two.count("Some title here") == 2 and "entry" not in two and "(c)" not in two
+
+
+def test_html_weights_are_learned_and_hold_on_other_layouts():
+    """Words found on held-out pages, and what is left of that if the weights learn nothing."""
+    from collections import Counter
+
+    def quality(weights):
+        total = 0.0
+        for page, content in html_extract.labelled_pages(120, seed=99):
+            got, want = Counter(html_extract.extract(page, weights).split()), Counter(w for x in content for w in x.split())
+            same = sum((got & want).values())
+            total += 2 * same / max(1, sum(got.values()) + sum(want.values()))
+        return total / 120
+
+    constant = html_extract.Weights({"": 1.0}, {}, -0.01)
+    assert quality(None) > 0.9 > quality(constant) + 0.1
+
+
+def test_html_unclosed_and_long_pages_are_linear():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<aside>x " * 60_000, "<div><p>a b c</div>" * 40_000, "<p>" + "word " * 200_000, "<div>" * 60_000 + "deep words in here" + "</div>" * 60_000):
+        html_extract.extract(page)
+    assert time.perf_counter() - began < 20
+    assert html_extract.extract("<p>" + "word " * 20_000) == ("word " * 20_000).strip()
+
+
 def test_html_best_region_against_brute_force():
     r = random.Random(0)
     for _ in range(200):
