@@ -635,6 +635,59 @@ def test_chat_held_out_accuracy():
     assert ok / n > 0.98
 
 
+def test_chat_held_out_accuracy_without_markers():
+    """Of lines of transcripts that no marker helps with, against the share of the most frequent state."""
+    from collections import Counter
+
+    model, ok, states = chat.default_model(), 0, Counter()
+    for lines in chat.labelled_transcripts(400, seed=6):
+        if not any(chat.marker(x)[0] for _, _, x in lines):
+            got = chat.decode([x for _, _, x in lines], model)
+            ok += sum(a == (b[0], b[1]) for a, b in zip(got, lines))
+            states.update((b[0], b[1]) for b in lines)
+    assert ok / states.total() > 0.65 > states.most_common(1)[0][1] / states.total() + 0.2
+
+
+def test_chat_viterbi_against_enumeration():
+    import itertools
+
+    model, r = chat.default_model(), random.Random(2)
+    n = len(chat.STATES)
+    for lines in chat.labelled_transcripts(12, seed=8):
+        lines = [x for _, _, x in lines][:5]
+        e = list(chat._emissions(lines, model, chat.has_marker(lines)))
+        weigh = lambda path: model.first[path[0]] + e[0][path[0]] + sum(model.moves[a, b] + e[t + 1][b] for t, (a, b) in enumerate(zip(path, path[1:])))
+        best = max(map(weigh, itertools.product(range(n), repeat=len(lines))))
+        got = [chat.STATES.index(s) for s in chat.decode(lines, model)]
+        assert weigh(got) == pytest.approx(best)
+        k = r.randint(1, max(1, len(lines) - 1))  # the same in two segments
+        parts = [p for p in (lines[:k], lines[k:]) if p]
+        mark = chat.has_marker(lines)
+        ends = chat.between([chat.transfer(p, model, mark, i == 0) for i, p in enumerate(parts)])
+        whole = [s for i, p in enumerate(parts) for s in chat.decode(p, model, mark, ends[i - 1] if i else None, ends[i])]
+        assert weigh([chat.STATES.index(s) for s in whole]) == pytest.approx(best)
+
+
+def test_chat_long_conversations_are_decoded_whole(spark):
+    """2 000 turns, most without a role, in segments and as one transcript."""
+    r, rows = random.Random(4), []
+    for c in (1, 2):
+        for t in range(2000):
+            role = r.choice(["user", "assistant", None, None, None]) if c == 1 else None
+            rows.append((c, t, role, r.choice(["How do you do it?", "Sure, here is how it goes.", "- item one", "You answer with care.", "word " * r.randint(1, 30)])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    roles = {}
+    for size in (512, 10_000):
+        got = chat.format_conversations(chat.as_transcripts(df, segment=size)).orderBy("conv_id", "segment").collect()
+        text = {c: "\n".join(x["text"] for r in got if r["conv_id"] == c for x in r["turns"]) for c in (1, 2)}
+        roles[size] = {c: [x["role"] for r in got if r["conv_id"] == c for x in r["turns"]] for c in (1, 2)}, text
+        assert len(got) == (8 if size == 512 else 2)
+    (a, x), (b, y) = roles[512], roles[10_000]
+    for c in (1, 2):
+        assert len(b[c]) <= len(a[c]) <= len(b[c]) + 3  # a turn across a segment's end is in two parts
+        assert x[c].split() == y[c].split()
+
+
 def test_chat_renders_and_escapes():
     turns = chat.parse("[system] You are kind.\n### Human: Hi <|user|>\nmore\n**AI:** Sure: yes\n\n- item\n> User: bye")
     assert turns == [("system", "You are kind."), ("user", "Hi <|user|>\nmore"), ("assistant", "Sure: yes\n\n- item"), ("user", "bye")]
@@ -652,11 +705,13 @@ def test_chat_on_the_table(spark, sf):
 
 
 def test_chat_edges(spark):
-    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "more"), (2, None, "user", "x"), (3, 5000, "user", "late"), (3, 1, "user", "early")]
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "more"), (2, None, "user", "x"), (3, 5000, "user", "late"), (3, 1, "user", "early"), (None, 600, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"segment": F.lit(9), "turns": F.lit("t")})
-    got = {(r["conv_id"], r["segment"]): r["rendered"] for r in chat.format_transcripts(chat.as_transcripts(df)).collect()}
-    assert set(got) == {(1, 0), (2, None), (3, 0), (3, 9)} and got[1, 0].startswith("<|user|>\nhi\n")
-    assert chat.format_transcripts(chat.as_transcripts(df.limit(0))).count() == 0
+    got = {(r["conv_id"], r["segment"]): r["rendered"] for r in chat.format_conversations(chat.as_transcripts(df)).collect()}
+    assert set(got) == {(1, 0), (2, None), (3, 0), (3, 9), (None, 1)} and got[1, 0].startswith("<|user|>\nhi\n") and got[3, 9] == "<|user|>\nlate\n<|end|>\n"
+    assert chat.format_conversations(chat.as_transcripts(df.limit(0))).count() == 0
+    one = spark.createDataFrame([(1, None), (2, ""), (3, "User: a\nBot: b"), (3, "User: a\nBot: b")], "id long, text string").withColumns({"turns": F.lit(1), "rendered": F.lit(2)})
+    assert sorted(r["rendered"] for r in chat.format_transcripts(one).collect()) == ["", ""] + ["<|user|>\na\n<|end|>\n<|assistant|>\nb\n<|end|>\n"] * 2
 
 
 # ---- HTML -----------------------------------------------------------------------------------------------------------------

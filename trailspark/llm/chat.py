@@ -5,8 +5,12 @@ line (its length, a question mark, whether it is blank, looks like code or a lis
 within one.  Emission and transition probabilities are counted on labelled transcripts, in the driver's bounded set made from a seed;
 Viterbi recovers the states of a whole transcript, and with them roles and turns.
 
-Defined results: a null or empty transcript has no turns; blank lines between turns belong to the turn before and are trimmed; unknown markers
-are read as text unless they recur at the start of turns; repeated rows get repeated results; any length is read whole.
+A long conversation lies in segments, so that no task gathers it.  Each segment yields the best weight from each state before it to each state at its end; those
+matrices are combined in order, which fixes the states between segments, and each segment is traced back on its own between its two.  So states are those
+of one Viterbi pass over the whole conversation.
+
+Defined results: a null or empty transcript has no turns; blank lines between turns belong to the turn before and are trimmed; markers that name no known role
+are text; ties go to the first state; repeated rows get repeated results; any length is read whole; a turn that runs on beyond a segment's end is rendered in parts.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import steps
+from trailspark.llm.common import cut, steps
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, begins) for r in ROLES for begins in (True, False)]
@@ -144,45 +149,78 @@ def default_model() -> Model:
     return fit(labelled_transcripts())
 
 
-def decode(lines: list[str], model: Model) -> list[tuple[str, bool]]:
-    """The most likely state of each line."""
-    if not lines:
-        return []
+def _emissions(lines: list[str], model: Model, marked: bool) -> Iterator[np.ndarray]:
     known: dict[tuple[str, ...], np.ndarray] = {}
-    marked = any(marker(line)[0] for line in lines)
-
-    def emission(line: str) -> np.ndarray:
+    for line in lines:
         o = observe(line, marked)
         if o not in known:
             known[o] = sum(e.get(v, rare) for e, rare, v in zip(model.emissions, model.rare, o, strict=True))
-        return known[o]
+        yield known[o]
+
+
+def has_marker(lines: list[str]) -> bool:
+    return any(marker(line)[0] for line in lines)
+
 
-    best, back = model.first + emission(lines[0]), []
-    for line in lines[1:]:
+def transfer(lines: list[str], model: Model, marked: bool, begins: bool) -> np.ndarray:
+    """The best weight from each state before the lines (rows; all alike where a transcript ``begins`` with them) to each state of the last one."""
+    best = None
+    for e in _emissions(lines, model, marked):
+        if best is None:
+            best = (np.tile(model.first, (len(STATES), 1)) if begins else model.moves) + e
+        else:
+            best = (best[:, :, None] + model.moves[None]).max(axis=1) + e
+    return best
+
+
+def between(transfers: list[np.ndarray]) -> list[int]:
+    """The state at each segment's end on the best path through all."""
+    ahead = [transfers[0][0]]
+    for m in transfers[1:]:
+        ahead.append((ahead[-1][:, None] + m).max(axis=0))
+    ends = [int(ahead[-1].argmax())]
+    for best, m in zip(reversed(ahead[:-1]), reversed(transfers[1:]), strict=True):
+        ends.append(int((best + m[:, ends[-1]]).argmax()))
+    return ends[::-1]
+
+
+def decode(lines: list[str], model: Model, marked: bool | None = None, before: int | None = None, last: int | None = None) -> list[tuple[str, bool]]:
+    """The most likely state of each line; of a segment, between the state ``before`` it and its ``last`` one."""
+    if not lines:
+        return []
+    best, back = None, []
+    for e in _emissions(lines, model, has_marker(lines) if marked is None else marked):
+        if best is None:
+            best = (model.first if before is None else model.moves[before]) + e
+            continue
         x = best[:, None] + model.moves
         back.append(x.argmax(axis=0))
-        best = x.max(axis=0) + emission(line)
-    at = int(best.argmax())
+        best = x.max(axis=0) + e
+    at = int(best.argmax()) if last is None else last
     path = [at]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return [STATES[s] for s in reversed(path)]
 
 
-def parse(transcript: str | None, model: Model | None = None) -> list[tuple[str, str]]:
-    """(role, text) of each turn."""
-    if not transcript:
-        return []
-    lines = transcript.split("\n")
+def turns_of(lines: list[str], states: list[tuple[str, bool]]) -> list[tuple[str, str]]:
     turns: list[tuple[str, list[str]]] = []
-    for line, (role, begins) in zip(lines, decode(lines, model or default_model()), strict=True):
+    for line, (role, begins) in zip(lines, states, strict=True):
         if begins or not turns:
-            turns.append((role, [marker(line)[1]]))
+            turns.append((role, [marker(line)[1] if begins else line]))
         else:
             turns[-1][1].append(line)
     return [(role, text) for role, ls in turns if (text := "\n".join(ls).strip())]
 
 
+def parse(transcript: str | None, model: Model | None = None) -> list[tuple[str, str]]:
+    """(role, text) of each turn."""
+    if not transcript:
+        return []
+    lines = transcript.split("\n")
+    return turns_of(lines, decode(lines, model or default_model()))
+
+
 def canonical(turns: list[tuple[str, str]]) -> str:
     """Turns between fixed tags; a tag that the text itself holds is escaped, so rendering is never ambiguous."""
     return "".join(f"<|{role}|>\n{text.replace('<|', '<\\|')}\n<|end|>\n" for role, text in turns)
@@ -211,10 +249,9 @@ SEGMENT = 512  # turn numbers
 
 
 def as_transcripts(conversations: DataFrame, id_column: str = "conv_id", segment: int = SEGMENT) -> DataFrame:
-    """(id, segment, text): the turns of each conversation in order, as plain transcripts with a marker for each turn.
+    """(id, segment, text): the turns of each conversation in order, as plain transcripts with a marker for each turn, ``segment`` turn numbers to a row.
 
-    A conversation is a transcript; one of more than ``segment`` turn numbers is several, so that no conversation, however long, is gathered in one row.
-    Rows that repeat all of a turn are that turn once; rows with one turn number and different texts stay, in the order of their text; null turns come in
+    Rows that repeat all of a turn are that turn once; rows with one turn number and different texts stay, in the order of their text; null turns come first, in
     a segment of their own; null roles get no marker, null texts are empty.
     """
     word = F.when(F.col("role").isNull(), F.lit("")).otherwise(F.concat(F.initcap("role"), F.lit(": ")))
@@ -223,3 +260,52 @@ def as_transcripts(conversations: DataFrame, id_column: str = "conv_id", segment
     gathered = F.sort_array(F.collect_list(F.struct("turn", "line")))
     parts = turns.groupBy(id_column, F.floor(F.col("turn") / segment).alias("segment"))
     return parts.agg(F.array_join(F.transform(gathered, lambda t: t["line"]), "\n").alias("text"))
+
+
+def format_conversations(segments: DataFrame, id_column: str = "conv_id", model: Model | None = None) -> DataFrame:
+    """(id, segment, turns, rendered) of (id, segment, text): the segments of one id are one transcript, in the order of their numbers, a null one first."""
+    sent = segments.sparkSession.sparkContext.broadcast(model or default_model())  # of fixed size
+    kind = segments.schema[id_column].dataType.simpleString()
+    rows = cut(segments.select(F.col(id_column).alias("id"), "segment", "text"))
+    several = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("s_id"))
+    same = F.col("id").eqNullSafe(F.col("s_id"))
+    one = format_transcripts(rows.join(several, same, "left_anti"), model=model)
+    long_ = cut(rows.join(several, same, "left_semi"))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            marks = [has_marker(x.split("\n")) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.bool_())], names=["id", "segment", "mark"])
+
+    marks = long_.mapInArrow(seen, f"id {kind}, segment long, mark boolean")
+    said = marks.groupBy("id").agg(F.max("mark").alias("marked"), F.min(F.struct("segment")).alias("low")).select(F.col("id").alias("s_id"), "marked", F.col("low.segment").alias("low"))
+    known = cut(long_.join(said, same).select("id", "segment", "text", "marked", F.col("segment").eqNullSafe(F.col("low")).alias("begins")))
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            texts, marked, begins = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            found = [transfer(x.split("\n"), sent.value, m, b).reshape(-1).tolist() for x, m, b in zip(texts, marked, begins, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["id", "segment", "matrix"])
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("segment", na_position="first")
+        ends = between([np.asarray(m).reshape(len(STATES), -1) for m in pdf["matrix"]])
+        return pd.DataFrame({"id": pdf["id"], "segment": pdf["segment"].astype("Int64"), "before": [-1, *ends[:-1]], "last": ends})
+
+    moves = known.mapInArrow(matrices, f"id {kind}, segment long, matrix array<double>")
+    placed = moves.groupBy("id").applyInPandas(states, f"id {kind}, segment long, before int, last int")
+    placed = placed.select(F.col("id").alias("p_id"), F.col("segment").alias("p_segment"), "before", "last")
+    met = known.join(placed, F.col("id").eqNullSafe(F.col("p_id")) & F.col("segment").eqNullSafe(F.col("p_segment"))).select("id", "segment", "text", "marked", "before", "last")
+    turns_kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            turns = []
+            for text, marked, before, last in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                lines = text.split("\n")
+                turns.append(turns_of(lines, decode(lines, sent.value, marked, None if before < 0 else before, last)))
+            rows_ = [[{"role": r, "text": t} for r, t in ts] for ts in turns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows_, turns_kind), pa.array([canonical(ts) for ts in turns], pa.string())], names=["id", "segment", "turns", "rendered"])
+
+    both = one.select("id", "segment", "turns", "rendered").unionByName(met.mapInArrow(traced, f"id {kind}, segment long, turns {TURNS}, rendered string"))
+    return both.withColumnRenamed("id", id_column)

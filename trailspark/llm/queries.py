@@ -72,7 +72,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles in order (s, u, a), turns and the canonical rendering of each conversation."""
-    found = chat.format_transcripts(chat.as_transcripts(table(spark, sf_dir, "conversations")))
+    found = chat.format_conversations(chat.as_transcripts(table(spark, sf_dir, "conversations")))
     roles = F.array_join(F.transform("turns", lambda t: F.substring(t["role"], 1, 1)), "")
     return found.select("conv_id", "segment", F.size("turns").cast("long").alias("n_turns"), roles.alias("roles"), "rendered")
 
