@@ -124,6 +124,22 @@ def test_topk_against_brute_force(spark):
     assert got == brute_topk(rows, 10)
 
 
+def test_topk_repeated_query_rows(spark):
+    """Two rows of one id, with equal and with different vectors: each has its own ten ranks."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(1, 40)]
+    a, b, c = ([float(x) for x in r.normal(size=4)] for _ in range(3))
+    rows += [(0, a), (0, a), (100, b), (100, c)]
+    got = sorted(tuple(x) for x in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect())
+    want = []
+    q = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for i, v in q:
+        if i % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), j) for j, w in q if j != i)[:10]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want) and len(got) == 40
+
+
 def test_topk_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [0.5, -0.25]), (1, [1.0, 1.0]), (2, [-1.0, 2.0])], "vec_id long, embedding array<double>")
     got = {tuple(x) for x in topk.search(df, F.col("vec_id") % 100 == 0).collect()}
@@ -165,6 +181,27 @@ def test_suffix_dedup_against_brute_force(spark, hot):
     assert sum(x[2] for x in got) > 0
 
 
+def test_suffix_dedup_texts_longer_than_places_reach(monkeypatch):
+    """Anchors of a text that is longer than the numbers a place has, against those found at once."""
+    r = np.random.default_rng(1)
+    text, lengths = r.integers(97, 100, 5000).astype(np.uint8), np.array([3000, 0, 40, 1960])
+    monkeypatch.setattr(suffix_dedup, "_PLACE", np.uint64((1 << 13) - 1))
+    whole = suffix_dedup.Anchors(text, lengths, 50, 24)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 900)
+    parts = suffix_dedup.Anchors(text, lengths, 50, 24)
+    for name in ("place", "hash", "first", "last", "doc"):
+        assert np.array_equal(getattr(whole, name), getattr(parts, name))
+    assert ((parts.first <= parts.place) & (parts.place <= parts.first + 26)).all()
+
+
+def test_suffix_dedup_rows_without_an_id(spark):
+    """They count as larger than all others, and don't remove each other's bytes."""
+    a = "".join(random.Random(3).choice("abcdefg") for _ in range(90))
+    rows = [(None, a), (None, a + "x"), (5, a + "y"), (2, "z" * 60)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["n_bytes"], r["n_removed"]) for r in got) == [(False, 60, 0), (False, 91, 0), (True, 90, 90), (True, 91, 90)]
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 

@@ -11,7 +11,7 @@ get each window's smallest id back.  A passage that a third of all documents sha
 their windows' bytes instead, so no task gets all contexts of one phrase.
 
 Defined results: a null text is empty; texts shorter than the window keep all bytes; rows that repeat an id never remove each other's bytes; a null id counts as larger than all
-others; matches never cross documents.
+others; matches never cross documents; a text of any length is a chunk of its own if it fills one.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ GRAM = 24
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20  # bytes of text for each bucket of anchors
 HOT_CHUNKS = 1000
+#: Bytes whose anchors are looked for at once: a place within them shares a 64-bit number with the hash.
+PIECE = 1 << 26
 _PLACE = np.uint64((1 << 28) - 1)
 _M = 0x9E3779B97F4A7C15
 NO_ID = (1 << 63) - 1
@@ -103,13 +105,17 @@ class Anchors:
             self.hash = np.zeros(0, np.uint64)
             return
         h = gram_hashes(text, gram)
-        least = sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), window - gram + 1)
-        inside = np.zeros(len(least) + 1, np.int8)
+        nearest = np.empty(len(h) - (window - gram), np.int64)
+        for at in range(0, len(nearest), PIECE):
+            part = h[at : at + PIECE + window - gram]
+            least = sliding_min((part & ~_PLACE) | np.arange(len(part), dtype=np.uint64), window - gram + 1)
+            nearest[at : at + len(least)] = (least & _PLACE).astype(np.int64) + at
+        inside = np.zeros(len(nearest) + 1, np.int8)
         has = count > 0
         np.add.at(inside, starts[has], 1)
         np.add.at(inside, starts[has] + count[has], -1)
         valid = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-        place = (least[valid] & _PLACE).astype(np.int64)
+        place = nearest[valid]
         new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         self.place = place[new]
         self.first = valid[new]

@@ -10,7 +10,7 @@ exactly, by the smaller id.
 Queries are dealt to every route and blocks of the index to one route each, so each pair meets once; a task holds its route's blocks and streams the queries.
 
 Defined results: rows without an id, and vectors that are null or hold a null or a number that isn't finite, take no part; with fewer than k other rows all are returned;
-repeated ids are rows of their own (a query leaves out all rows of its id); vectors of another length than the query's aren't compared with it;
+repeated ids are rows of their own, as candidates and as queries, each with ranks of its own (a query leaves out all rows of its id); vectors of another length than the query's aren't compared with it;
 scores that leave 64 bits wrap around.
 """
 
@@ -180,8 +180,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     routes = max(1, index.count())
 
     # each query goes along every route, each block of the index along one; a route's blocks come before its queries
-    placed = index.select(F.pmod(F.xxhash64("block"), F.lit(routes)).cast("int").alias("route"), F.lit(0).alias("kind"), F.col("block").alias("id"), F.lit(None).cast("array<long>").alias("q"), "index")
-    asked = base.filter("wanted").select(F.explode(F.sequence(F.lit(0), F.lit(routes - 1))).alias("route"), F.lit(1).alias("kind"), "id", "q", F.lit(None).cast("binary").alias("index"))
+    placed = index.select(F.pmod(F.xxhash64("block"), F.lit(routes)).cast("int").alias("route"), F.lit(0).cast("long").alias("kind"), F.col("block").alias("id"), F.lit(None).cast("array<long>").alias("q"), "index")
+    queries = cut(base.filter("wanted").select("id", "q", F.monotonically_increasing_id().alias("row")))  # rows may repeat an id
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(routes - 1))).alias("route"), (F.col("row") + 1).alias("kind"), "id", "q", F.lit(None).cast("binary").alias("index"))
     met = placed.unionByName(asked).repartition(routes, "route").sortWithinPartitions("route", "kind")
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,10 +196,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
                     held.append(Index.from_bytes(data))
                 else:
                     query = np.asarray(q, np.int64)
-                    out += [(i, v, s) for own in held for v, s in own.best(int(i), query, k)]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                    out += [(i, kind, v, s) for own in held for v, s in own.best(int(i), query, k)]
+            yield pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"]).astype("int64")
 
-    found = met.mapInPandas(answer, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInPandas(answer, "query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec_id").alias(id_column), "score")
