@@ -583,7 +583,9 @@ def test_simhash_links_against_all_pairs(spark, hot, monkeypatch):
     assert {i: found.get(i, i) for i, _ in pairs} == want
 
 
-def test_simhash_chain(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_simhash_chain(spark, most, monkeypatch):
+    monkeypatch.setattr(simhash, "ONE_TASK", most)
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
     assert {(r["node"], r["component"]) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, n + 1)}

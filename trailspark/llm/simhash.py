@@ -36,6 +36,8 @@ SHINGLE = 3
 RADIUS = 2
 #: Distinct fingerprints under one key from which the key's rest is dealt again.
 HOT = 2000
+#: Links (16 bytes each) that one task joins; more take passes over distributed links.
+ONE_TASK = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -200,8 +202,20 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each linked node reaches, by large-star and small-star passes."""
+    """(node, component): the smallest node that each linked node reaches, by large-star and small-star passes; few links are joined in one task."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    if edges.count() <= ONE_TASK:
+
+        def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pairs = np.concatenate([np.zeros((0, 2), np.int64), *(f[["a", "b"]].to_numpy(np.int64) for f in frames)])
+            nodes, at = np.unique(pairs, return_inverse=True)  # in order, so the smallest index of a set is its smallest node
+            sets = Sets(len(nodes))
+            for i, j in at.reshape(-1, 2).tolist():
+                sets.join(i, j)
+            tops = nodes[[sets.top(i) for i in range(len(nodes))]] if len(nodes) else nodes
+            yield pd.DataFrame({"node": nodes, "component": tops})[nodes != tops]
+
+        return cut(edges.coalesce(1).mapInPandas(join, "node long, component long"))
     before = None
     while True:
         # large-star: every larger neighbour of u is tied to the smallest of u and its neighbours
@@ -228,8 +242,8 @@ LEAF = 32
 SHARD = 20_000
 #: Shingles of a block whose members bring their sets.
 SHINGLES = 4 << 20
-#: Rounds in which nodes are compared with a leader, before all that are still apart are.
-LEADERS = 2
+#: Rounds in which nodes are compared with a leader go on while more than SHARD of them are apart and a round leaves no more than this part of them so.
+GAIN = 0.75
 #: Rows of some 30 bytes that are broadcast; more are joined by a shuffle.
 SENT = 500_000
 #: Pairs that share one copy of a set.
@@ -420,7 +434,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """(id, component_id): documents whose shingle sets are similar share the smallest id of their group.
 
     Documents with the same set are one node.  Bands of minimal hashes, of which sets this similar share one at least (missed with a chance under
-    one in thirty thousand), bring nodes together.  In each of ``LEADERS`` rounds every node is compared with the leader of one of its bands, so a group of n near copies, however
+    one in thirty thousand), bring nodes together.  In each of some rounds every node is compared with the leader of one of its bands, so a group of n near copies, however
     large, makes n pairs; then BK-trees of 256 SimHash bits find what is still apart within a band but within a radius wider than sets this similar need, and the members of
     what that joins are searched once more, with their whole sets beside them.
     Fingerprints and bands only find candidates: two nodes are linked if the exact Jaccard similarity of their whole shingle sets is high enough.  A document without an id gets no row.
@@ -496,8 +510,8 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         leaders = members.groupBy("key").agg(one.alias("one"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
         return members.join(leaders.select("key", "one"), "key")
 
-    links_, found = None, None
-    for round_ in range(LEADERS):
+    links_, found, left, round_ = None, None, float("inf"), 0
+    while True:
         members = led(grouped(found), round_)
         near = (F.col("group") != F.col("one.group")) & (_apart(F.col("fp"), F.col("one.fp")) <= radius)
         fits = F.least("size", "one.size") >= F.lit(similarity) * F.greatest("size", "one.size")
@@ -506,12 +520,17 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         new = cut(similar(pairs))
         links_ = new if links_ is None else links_.unionByName(new)
         found = components(links_)
+        rest = led(grouped(found), round_).select("key", "node", "fp", "size", "group", F.col("one.group").alias("leader_group"))
+        apart = rest.filter("`group` <> leader_group").select("node").distinct().count()
+        round_ += 1
+        if apart <= SHARD or apart > left * GAIN:
+            break
+        left = apart
     # what is still apart: bands join candidates to groups, whose members then meet once each with their whole sets
-    rest = led(grouped(found), LEADERS - 1).select("key", "node", "fp", "size", "group", F.col("one.group").alias("leader_group"))
     candidates = components(links_.unionByName(apart_links(rest, "key", radius, similarity))).withColumnRenamed("component", "key")
     candidates = candidates.unionByName(candidates.select(F.col("key").alias("node"), "key").distinct())
     members = dealt.select("node", "fp", "size").dropDuplicates(["node"]).join(candidates, "node")
-    members = led(members.join(found.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node")), LEADERS)
+    members = led(members.join(found.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node")), round_)
     members = members.select("key", "node", "fp", "size", "group", F.col("one.group").alias("leader_group")).join(sets, "node")
     links_ = links_.unionByName(apart_links(members, "key", radius, similarity))
     found = components(links_)
