@@ -50,10 +50,10 @@ ENTITIES = {
     "places": f"""
         SELECT CAST(n_nationkey AS BIGINT) AS osm_id, n_name AS name, {choose('n_nationkey', ('city', 'town', 'village', 'hamlet', 'suburb'))} AS place, {point('(CAST(n_nationkey AS BIGINT) * 31 + 7)')} FROM {{nation}}""",
     "finds": "SELECT DISTINCT user_id % 500 AS cache_id, event_id % 7 AS user_id FROM {events}",
-    "attributes": "SELECT DISTINCT l_orderkey % 1500 AS cache_id, CAST(l_partkey % 70 AS INT) AS attr_id, l_linenumber % 2 = 0 AS positive FROM {lineitem} WHERE l_partkey % 10 = 0",
+    "attributes": "SELECT DISTINCT l_orderkey % 1500 AS cache_id, CAST(l_partkey % 70 AS INT) AS attr_id, l_linenumber % 2 = 0 AS positive FROM {lineitem}",
     "waypoints": f"""
         SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 1500 AS cache_id, {choose('l_linenumber', ('parking', 'stages', 'final', 'trailhead'))} AS type, {point('(l_orderkey * 3 + l_linenumber)')}
-        FROM {{lineitem}} WHERE l_orderkey % 5 = 0""",
+        FROM {{lineitem}}""",
     "pairs": f"""
         SELECT id, lng AS lng1, lat AS lat1, 5e0 + CAST((id * 15485863) % 10007 AS DOUBLE) / 5e4 AS lng2, 52e0 + CAST((id * 32452843) % 10009 AS DOUBLE) / 5e4 AS lat2
         FROM (SELECT c_custkey AS id, {point('c_custkey')} FROM {{customer}}) p""",
