@@ -116,11 +116,11 @@ def gr12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("gr17_trim_loose", f"""
-    WITH {_NEAR}, m AS (SELECT id, id % 3 AS cluster FROM caches WHERE id % 7 < 3), b AS (SELECT from_id AS a, to_id AS b FROM sides UNION ALL SELECT to_id, from_id FROM sides)
+    WITH {_NEAR}, m AS (SELECT id, id % 3 AS cluster FROM caches), b AS (SELECT from_id AS a, to_id AS b FROM sides UNION ALL SELECT to_id, from_id FROM sides)
     SELECT m.cluster, m.id FROM m WHERE EXISTS (SELECT 1 FROM b JOIN m o ON o.id = b.b WHERE b.a = m.id AND o.cluster = m.cluster)""")
 def gr17(spark: SparkSession, sf: str) -> DataFrame:
     caches, edges = graph(spark, sf)
-    members = caches.filter(C("id") % 7 < 3).select((C("id") % 3).alias("cluster"), "id")
+    members = caches.select((C("id") % 3).alias("cluster"), "id")
     return G.trim_loose(members, edges)
 
 
@@ -150,7 +150,8 @@ _kernel("gr16_split", "owner long, part long, id long", lambda o, ids, p: [(o, n
 _kernel("gr18_trim_far", "owner long, id long", lambda o, ids, p: [(o, i) for i in K.trim_far(ids, p, 4, 9000.0)])
 _kernel("gr19_dedupe", "owner long, size long", lambda o, ids, p: [(o, len(c)) for c in K.dedupe([ids, ids[:-1], ids[: len(ids) // 2]])])
 _kernel("gr21_tree_length", "owner long, meters double", lambda o, ids, p: [(o, round(K.tree_length(len(ids), lambda i, j: D.distances(p)(ids[i], ids[j])), 2))])
-_kernel("gr22_tour_estimate", "owner long, meters double", lambda o, ids, p: [(o, round(_estimate([p[i] for i in ids[:12]]), 2))])
+# clusters of twelve, which together hold all of an owner's caches
+_kernel("gr22_tour_estimate", "owner long, cluster long, meters double", lambda o, ids, p: [(o, k // 12, round(_estimate([p[i] for i in ids[k : k + 12]]), 2)) for k in range(0, len(ids), 12)])
 _kernel("gr27_pixel_groups", "owner long, first long, n long", lambda o, ids, p: [(o, g[0], len(g)) for g in K.pixel_groups([(i, p[i][0] / 50, p[i][1] / 50) for i in ids])])
 _kernel("ag23_sweep", "owner long, coverage double, tightness double, feasible double, agreement double", lambda o, ids, p: [_sweep(o, ids, p)])
 

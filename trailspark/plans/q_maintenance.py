@@ -111,14 +111,14 @@ def dm11(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("dm12_save_tour")
 def dm12(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").filter(C("o_orderkey") % 10 == 0)
+    o = load(spark, sf, "orders")
     tours = o.select(C("o_orderkey").alias("id"), C("o_custkey").alias("owner"), F.lit("old").alias("name"), F.when(C("o_orderkey") % 20 == 0, "slug").alias("share_slug"))
     return M.save_tour(tours, tours.filter(C("id") % 3 == 0).withColumns({"name": F.lit("new"), "share_slug": F.lit("fresh")}))
 
 
 @register("dm13_create_profile")
 def dm13(spark: SparkSession, sf: str) -> DataFrame:
-    p = entity(spark, sf, "caches").filter("id < 100").select("id", "owner", "name")
+    p = entity(spark, sf, "caches").select("id", "owner", "name")
     return M.create_profile(p, spark.createDataFrame([(1000, 3, "Sunday walk")], "id long, owner long, name string"))
 
 

@@ -42,8 +42,10 @@ def pl02(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
+    """Instances of at most n caches of one owner, in the order of their ids; together they hold all."""
     r = F.row_number().over(Window.partitionBy("owner").orderBy("id")) - 1
-    return entity(spark, sf, "caches").withColumn("i", r).filter(C("i") < n).select(C("owner").alias("instance"), "i", "id", "lng", "lat", "type", "adventure_id")
+    rows = entity(spark, sf, "caches").withColumn("r", r).withColumn("i", C("r") % n)
+    return rows.select((C("owner") * 1_000_000 + F.floor(C("r") / n)).alias("instance"), "i", "id", "lng", "lat", "type", "adventure_id")
 
 
 def _distances(p: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def pl10(spark: SparkSession, sf: str) -> DataFrame:
 def pl11(spark: SparkSession, sf: str) -> DataFrame:
     c = entity(spark, sf, "caches").select(C("owner").alias("cluster"), "id", "lng", "lat")
     p = entity(spark, sf, "parking")
-    return T.starts(c, T.own_parking(entity(spark, sf, "waypoints").filter(C("id") % 997 == 0)), p.filter("access = 'yes'"), p.filter("access = 'customers'"), 400)
+    return T.starts(c, T.own_parking(entity(spark, sf, "waypoints")), p.filter("access = 'yes'"), p.filter("access = 'customers'"), 400)
 
 
 @register("pl12_own_parking", "SELECT min(id) AS id FROM waypoints WHERE type = 'parking' GROUP BY floor(lng * 100000 + 0.5), floor(lat * 100000 + 0.5)")
