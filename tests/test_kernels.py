@@ -43,6 +43,69 @@ def test_orienteering_keeps_adventures_whole():
     assert not O.valid([0], p) and not O.valid([0, 1], p) and O.repair([0], p) == []
 
 
+def test_variety_discounts_each_types_best_first():
+    p = O.Problem([1.0, 4.0, 2.0], [0.0] * 3, np.zeros((3, 3)), [0.0] * 3, [0.0] * 3, 0.0, 10.0, ["a", "a", "b"], variety_weight=2.0)
+    for order in itertools.permutations(range(3)):
+        assert O.path_score(list(order), p) == 4 + 1 / 2 + 2
+    assert O.path_score([], p) == 0.0
+
+
+def test_variety_prefers_another_type():
+    xy = np.array([[0.0, 10], [0, 11], [0, -12]])
+    d, ends = np.abs(xy[:, None, 1] - xy[None, :, 1]), np.abs(xy[:, 1]).tolist()
+    for weight, want in ((0.0, {"Traditional"}), (4.0, {"Traditional", "Multi"})):
+        p = O.Problem([1.0] * 3, [0.0] * 3, d, ends, ends, 0.0, 45.0, ["Traditional", "Traditional", "Multi"], variety_weight=weight)
+        assert {p.types[i] for i in O.solve_orienteering(p)} == want
+
+
+def test_adventures_in_one_piece():
+    xy = np.array([10.0, 30, 20])
+    d = np.abs(xy[:, None] - xy[None])
+    p = O.Problem([1.0] * 3, [0.0] * 3, d, xy.tolist(), xy.tolist(), 0.0, 1000.0, ["t"] * 3, ["a", "a", None], [1, 2, None], [False] * 3, interleave=False)
+    order = O.solve_orienteering(p)
+    assert sorted(order) == [0, 1, 2] and abs(order.index(0) - order.index(1)) == 1
+    assert not O.keeps_rules([0, 2, 1], p) and O.keeps_rules([2, 1, 0], p)
+
+
+def test_units_against_all_orders():
+    """Whole adventures, with and without other caches between their stages, stay near the best of all orders and within the rules."""
+    for interleave in (True, False):
+        total = best = 0.0
+        for seed in range(12):
+            r = np.random.default_rng(seed)
+            ends = r.uniform(0, 700, 6).tolist()
+            p = O.Problem(r.integers(1, 6, 6).astype(float).tolist(), [60.0] * 6, places(seed, 6), ends, ends, 0.0, 2200.0, list("aabbab"), ["x", "x", "y", "y", None, None], [2, 1, None, None, None, None],
+                          [True, True, False, False, False, False], True, 1.0, interleave)
+            order = O.solve_orienteering(p)
+            assert O.valid(order, p)
+            total += O.path_score(order, p)
+            best += max(O.path_score(list(q), p) for n in range(7) for q in itertools.permutations(range(6), n) if O.valid(list(q), p))
+        assert 0.9 * best <= total <= best + 1e-9
+
+
+def test_no_shorter_path_is_missed():
+    """All reversals and chain moves that shorten a path, with distances that differ by direction, against trying each."""
+    for seed in range(5):
+        d = np.random.default_rng(seed).uniform(1, 100, (7, 7))
+        path = list(range(7))
+        tried = {tuple(path[:i] + path[i : j + 1][::-1] + path[j + 1 :]) for i in range(1, 5) for j in range(i + 1, 6)}
+        for size in (1, 2, 3):
+            for i in range(1, 7 - size):
+                chain, rest = path[i : i + size], path[:i] + path[i + size :]
+                tried |= {tuple(rest[:k] + c + rest[k:]) for k in range(1, len(rest)) if k != i for c in (chain, chain[::-1])}
+        length = lambda q: O.tour_length(list(q), d, closed=False)
+        got = [tuple(q) for q in O.shorter_paths(path, d, True, (1, 2, 3))]
+        assert set(got) == {q for q in tried if length(q) < length(path) - 1e-9}
+        assert [length(q) for q in got] == pytest.approx(sorted(map(length, got)))
+
+
+def test_tours_of_two_hundred_stops():
+    d = places(1, 200)
+    order, length = O.solve_tour(d)
+    assert sorted(order) == list(range(200)) and order[0] == 0 and length <= O.tour_length(O.nearest_first(d, 0), d)
+    assert not any(O.tour_length(q, d, False) < length - 1e-6 for q in O.shorter_paths([*order, 0], d, True, (1, 2, 3)))
+
+
 def test_tours_against_all_orders():
     for seed in range(6):
         d = places(seed)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -36,29 +38,61 @@ def nearest_first(d: np.ndarray, start: int) -> list[int]:
     return order
 
 
-def improve_tour(order: list[int], d: np.ndarray, rounds: int = 64) -> list[int]:
+def shorter_paths(path: list[int], d: np.ndarray, reversals: bool = True, chains: tuple[int, ...] = ()) -> Iterator[list[int]]:
+    """Paths with the same ends that are shorter by their edges, the best first: stretches reversed, and chains of stops moved, either way round.
+
+    What a move changes is reckoned for all moves at once from the edges it cuts and makes; d needn't be symmetric.
+    """
+    m = len(path)
+    if m < 4:
+        return
+    with np.errstate(invalid="ignore"):
+        c = d[np.ix_(path, path)]
+        ahead, back = c.diagonal(1), c.diagonal(-1)
+        turned = np.concatenate([[0.0], np.cumsum(back - ahead)])  # what reversing 0..j adds inside
+        found = []
+        if reversals:
+            i, j = np.triu_indices(m - 2, 1)
+            i, j = i + 1, j + 1
+            change = c[i - 1, j] + c[i, j + 1] - ahead[i - 1] - ahead[j] + turned[j] - turned[i]
+            found += [(change, np.zeros_like(i), i, j, np.zeros_like(i))]
+        k = np.arange(m - 1)
+        for size in chains:
+            i = np.arange(1, m - size)
+            if not len(i):
+                continue
+            last = i + size - 1
+            gone = (ahead[i - 1] + ahead[last] - c[i - 1, last + 1])[:, None] + ahead[None]
+            inside = (k[None] >= i[:, None] - 1) & (k[None] <= last[:, None])
+            ways = (c[:, i].T[:, :-1] + c[last, 1:], c[:, last].T[:, :-1] + c[i, 1:] + (turned[last] - turned[i])[:, None])
+            for way, made in enumerate(ways):
+                change = np.where(inside, np.inf, made - gone)
+                found += [(change.ravel(), np.full(change.size, size), np.repeat(i, m - 1), np.tile(k, len(i)), np.full(change.size, way))]
+    if not found:
+        return
+    change, size, i, j, way = (np.concatenate(x) for x in zip(*found, strict=True))
+    good = np.flatnonzero(change < -1e-9)
+    for x in good[np.argsort(change[good], kind="stable")]:
+        s, a, b = int(size[x]), int(i[x]), int(j[x])
+        if s == 0:
+            yield path[:a] + path[a : b + 1][::-1] + path[b + 1 :]
+        else:
+            chain, rest = path[a : a + s], path[:a] + path[a + s :]
+            at = b + 1 if b < a else b + 1 - s
+            yield rest[:at] + (chain[::-1] if way[x] else chain) + rest[at:]
+
+
+def improve_tour(order: list[int], d: np.ndarray, rounds: int = 4096) -> list[int]:
     """Variable neighbourhood descent: the best reversal, and the best move of a chain of one to three stops, until neither helps."""
     best, length = list(order), tour_length(order, d)
     for _ in range(rounds):
-        found, value = None, length - 1e-9
-        n = len(best)
-        for i in range(1, n - 1):
-            for j in range(i + 1, n):
-                new = best[:i] + best[i : j + 1][::-1] + best[j + 1 :]
-                if (x := tour_length(new, d)) < value:
-                    found, value = new, x
-        if found is None:
-            for size in (1, 2, 3):
-                for i in range(1, n - size + 1):
-                    chain, rest = best[i : i + size], best[:i] + best[i + size :]
-                    for k in range(1, len(rest) + 1):
-                        for piece in (chain, chain[::-1]):
-                            new = rest[:k] + piece + rest[k:]
-                            if (x := tour_length(new, d)) < value:
-                                found, value = new, x
-        if found is None:
-            return best
-        best, length = found, value
+        for moves in ({"reversals": True}, {"reversals": False, "chains": (1, 2, 3)}):
+            new = next((p[:-1] for p in shorter_paths(best + best[:1], d, **moves) if tour_length(p[:-1], d) < length - 1e-9), None)
+            if new is not None:
+                best, length = new, tour_length(new, d)
+                break
+        else:
+            break
     return best
 
 
@@ -81,6 +115,10 @@ def estimate_length(d: np.ndarray) -> float:
 # ---- orienteering ----------------------------------------------------------------------------------------------------
 
 
+#: Of the exchanges of a round that help, as many are followed up; the next round looks at all exchanges again.
+TRIES = 8
+
+
 @dataclass
 class Problem:
     """Stops with prizes between a start and an end, within a budget of seconds."""
@@ -98,6 +136,15 @@ class Problem:
     sequential: list[bool] = field(default_factory=list)
     keep_together: bool = False
     variety_weight: float = 0.0
+    interleave: bool = True
+
+    @cached_property
+    def ways(self) -> np.ndarray:
+        """Seconds between all stops, the start (row n) and the end (column n + 1)."""
+        n = len(self.prize)
+        w = np.full((n + 2, n + 2), np.inf)
+        w[:n, :n], w[n, :n], w[:n, n + 1], w[n, n + 1] = self.travel, self.from_start, self.to_end, self.start_to_end
+        return w
 
     def units(self) -> list[list[int]]:
         """What is inserted and removed at once: whole adventures where they stay together, else single stops."""
@@ -118,118 +165,126 @@ class Problem:
 
 
 def path_seconds(order: list[int], p: Problem) -> float:
-    if not order:
-        return p.start_to_end
-    legs = sum(float(p.travel[a, b]) for a, b in zip(order, order[1:], strict=False))
-    return p.from_start[order[0]] + legs + p.to_end[order[-1]] + sum(p.visit[i] for i in order)
+    n = len(p.prize)
+    path = [n, *order, n + 1]
+    return float(p.ways[path[:-1], path[1:]].sum() + sum(p.visit[i] for i in order))
 
 
 def path_score(order: list[int], p: Problem) -> float:
-    """Prizes, and each further stop of a type already on the path discounted by the variety weight."""
-    seen: dict[str, int] = {}
-    total = 0.0
-    for i in order:
-        t = p.types[i] if p.types else ""
-        total += p.prize[i] / (1 + p.variety_weight * seen.get(t, 0)) if p.variety_weight else p.prize[i]
-        seen[t] = seen.get(t, 0) + 1
-    return total
+    """Prizes; with a variety weight, each type's k-th best (from 0) counts 1 / (1 + k * weight / 2), in whatever order they are visited."""
+    if not p.variety_weight or not p.types:
+        return float(sum(p.prize[i] for i in order))
+    kinds = {p.types[i] for i in order}
+    best = [sorted((p.prize[i] for i in order if p.types[i] == t), reverse=True) for t in sorted(kinds)]
+    return float(sum(x / (1 + k * p.variety_weight / 2) for prizes in best for k, x in enumerate(prizes)))
 
 
-def valid(order: list[int], p: Problem) -> bool:
-    """Within the budget, no stop twice, adventures whole where they stay together, stages in order where that counts."""
-    if len(set(order)) != len(order) or path_seconds(order, p) > p.budget + 1e-9:
+def keeps_rules(order: list[int], p: Problem) -> bool:
+    """Stages in order where that counts, adventures in one piece where they don't interleave, and whole where they stay together."""
+    if len(set(order)) != len(order):
         return False
-    if p.keep_together and p.adventure:
-        inside = set(order)
-        for unit in p.units():
-            if 0 < len(inside & set(unit)) < len(unit):
+    if not p.adventure:
+        return True
+    places: dict[str, list[int]] = {}
+    for k, i in enumerate(order):
+        if p.adventure[i] is not None:
+            places.setdefault(p.adventure[i], []).append(k)
+    for own in places.values():
+        if not p.interleave and own[-1] - own[0] != len(own) - 1:
+            return False
+        if p.sequential:
+            stages = [p.sequence[order[k]] for k in own if p.sequential[order[k]] and p.sequence[order[k]] is not None]
+            if stages != sorted(stages):
                 return False
-    if p.sequential and p.adventure:
-        last: dict[str, int] = {}
-        for i in order:
-            a = p.adventure[i]
-            if a is not None and p.sequential[i] and p.sequence[i] is not None:
-                if last.get(a, -1) > p.sequence[i]:
-                    return False
-                last[a] = p.sequence[i]
-    return True
+    return not p.keep_together or all(len(places.get(a, ())) in (0, n) for a, n in Counter(a for a in p.adventure if a is not None).items())
+
+
+def valid(order: list[int], p: Problem) -> bool:
+    """Within the budget, and by the rules of adventures."""
+    return path_seconds(order, p) <= p.budget + 1e-9 and keeps_rules(order, p)
 
 
 def shorten(order: list[int], p: Problem) -> list[int]:
-    """Reversals and single moves that cut seconds and stay valid."""
+    """Reversals and single moves that cut seconds and keep the rules."""
+    n = len(p.prize)
     best, value = list(order), path_seconds(order, p)
     for _ in range(50):
-        found = None
-        n = len(best)
-        for i in range(n - 1):
-            for j in range(i + 1, n):
-                new = best[:i] + best[i : j + 1][::-1] + best[j + 1 :]
-                if (x := path_seconds(new, p)) < value - 1e-9 and valid(new, p):
-                    found, value = new, x
-        for i in range(n):
-            rest = best[:i] + best[i + 1 :]
-            for k in range(n):
-                new = rest[:k] + [best[i]] + rest[k:]
-                if (x := path_seconds(new, p)) < value - 1e-9 and valid(new, p):
-                    found, value = new, x
-        if found is None:
-            return best
-        best = found
+        for path in shorter_paths([n, *best, n + 1], p.ways, chains=(1,)):
+            new = path[1:-1]
+            if path_seconds(new, p) < value - 1e-9 and keeps_rules(new, p):
+                best, value = new, path_seconds(new, p)
+                break
+        else:
+            break
     return best
 
 
 def _insert(order: list[int], unit: list[int], p: Problem) -> list[int] | None:
-    """The cheapest valid way to take a unit in, its stops next to each other or one by one."""
-    ways = []
-    for k in range(len(order) + 1):
-        ways.append(order[:k] + unit + order[k:])
-        if len(unit) > 1 and not (p.sequential and p.sequential[unit[0]]):
-            ways.append(order[:k] + unit[::-1] + order[k:])
-    good = [(path_seconds(w, p), w) for w in ways]
-    good = [(s, w) for s, w in good if s <= p.budget + 1e-9 and valid(w, p)]
-    return min(good)[1] if good else None
+    """The cheapest valid way to take a unit in: its stops next to each other, or each where it costs least (a fixed order of stages kept)."""
+    n = len(p.prize)
+    left = p.budget + 1e-9 - path_seconds(order, p) - sum(p.visit[i] for i in unit)
+    path = np.array([n, *order, n + 1])
+    skipped = p.ways[path[:-1], path[1:]]
+    ordered = bool(p.sequential and p.sequential[unit[0]])
+    found = []
+    for u in [unit] if len(unit) == 1 or ordered else [unit, unit[::-1]]:
+        inner = sum(p.ways[a, b] for a, b in zip(u, u[1:], strict=False))
+        cost = p.ways[path[:-1], u[0]] + p.ways[u[-1], path[1:]] - skipped + inner
+        for k in np.argsort(cost, kind="stable"):
+            if not cost[k] <= left:
+                break
+            new = order[:k] + u + order[k:]
+            if keeps_rules(new, p):
+                found.append((float(cost[k]), new))
+                break
+    if len(unit) > 1 and p.interleave:
+        new, first = list(order), 0
+        for i in unit:
+            path = np.array([n, *new, n + 1])[first:]
+            k = first + int(np.argmin(p.ways[path[:-1], i] + p.ways[i, path[1:]] - p.ways[path[:-1], path[1:]]))
+            new.insert(k, i)
+            first = k + 1 if ordered else 0
+        cost = path_seconds(new, p) - path_seconds(order, p) - sum(p.visit[i] for i in unit)
+        if cost <= left and keeps_rules(new, p):
+            found.append((cost, new))
+    return min(found)[1] if found else None
 
 
 def solve_orienteering(p: Problem, first: list[int] | None = None, rounds: int = 50) -> list[int]:
-    """Greedy by gain for each second, then shortening, insertions and exchanges of units while the score grows."""
+    """Greedy by gain for each second, then shortening, insertions and exchanges of units while the score grows, or the seconds shrink at the same score."""
     units = p.units()
-    order = repair(list(first or []), p)
+
+    def worth(order: list[int]) -> tuple[float, float]:
+        return round(path_score(order, p), 9), -round(path_seconds(order, p), 6)
 
     def greedy(order: list[int]) -> list[int]:
         while True:
             best, value = None, 0.0
+            score, seconds = path_score(order, p), path_seconds(order, p)
             for u in units:
-                if u[0] in order:
-                    continue
-                new = _insert(order, u, p)
-                if new is not None:
-                    gain = path_score(new, p) - path_score(order, p)
-                    rate = gain / max(1.0, path_seconds(new, p) - path_seconds(order, p))
+                if u[0] not in order and (new := _insert(order, u, p)) is not None:
+                    gain = path_score(new, p) - score
+                    rate = gain / max(1.0, path_seconds(new, p) - seconds)
                     if gain > 0 and rate > value:
                         best, value = new, rate
             if best is None:
                 return order
             order = best
 
-    best = greedy(shorten(order, p))
+    best = greedy(shorten(repair(list(first or []), p), p))
     for _ in range(rounds):
         best = greedy(shorten(best, p))
-        found = None
+        swaps = []
         for out in units:
-            if out[0] not in best:
-                continue
-            rest = [i for i in best if i not in out]
-            for u in units:
-                if u[0] in best:
-                    continue
-                new = _insert(rest, u, p)
-                if new is not None:
-                    new = greedy(shorten(new, p))
-                    if path_score(new, p) > path_score(found or best, p) + 1e-9:
-                        found = new
-        if found is None:
-            return best
-        best = found
+            if out[0] in best:
+                rest = shorten([i for i in best if i not in out], p)
+                # what else fits there, the more worthwhile of two first; the same unit may come back elsewhere
+                swaps += [new for u in units if u[0] not in best or u == out if (new := _insert(rest, u, p)) is not None]
+        better = sorted((s for s in swaps if worth(s) > worth(best)), key=worth, reverse=True)[:TRIES]
+        grown = max((greedy(shorten(s, p)) for s in better), key=worth, default=best)
+        if worth(grown) <= worth(best):
+            break
+        best = grown
     return best
 
 
@@ -342,20 +397,43 @@ def solve_tours(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("instance").applyInPandas(run, "instance long, seq int, stop int, total_m double")
 
 
-def solve_orienteerings(nodes: DataFrame, matrix: DataFrame, budget_s: float, start_to_end: float, keep_together: bool = False) -> DataFrame:
+def _problem(own: pd.DataFrame, cells: pd.DataFrame, start_to_end: float, budget_s: float, **rules) -> Problem:
+    none = lambda x: None if x is None or x != x else x
+    m = np.nan_to_num(matrix_of(cells), nan=1e12) if len(cells) else np.zeros((len(own), len(own)))
+    return Problem(own["prize"].tolist(), own["visit_seconds"].tolist(), m, own["from_start"].tolist(), own["to_end"].tolist(), start_to_end, budget_s,
+                   own["type"].tolist(), [none(a) for a in own["adventure_id"]], [None] * len(own), [False] * len(own), **rules)
+
+
+def _with_cells(nodes: DataFrame, matrix: DataFrame):
+    # both sides may come from one table, so the matrix gets names of its own
+    cells = matrix.select(F.col("instance").alias("of"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("meters").alias("meters"))
+    return nodes.groupBy("instance").cogroup(cells.groupBy("of"))
+
+
+def solve_orienteerings(nodes: DataFrame, matrix: DataFrame, budget_s: float, start_to_end: float, keep_together: bool = False, variety_weight: float = 0.0, interleave: bool = True) -> DataFrame:
     """(instance, seq, stop, score, seconds).  nodes: instance, i, prize, visit_seconds, type, adventure_id, from_start, to_end; matrix in seconds."""
 
     def run(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame({"instance": [], "seq": [], "stop": [], "score": [], "seconds": []})
         own = own.sort_values("i")
-        none = lambda x: None if x is None or x != x else x
-        m = np.nan_to_num(matrix_of(cells), nan=1e12) if len(cells) else np.zeros((len(own), len(own)))
-        p = Problem(own["prize"].tolist(), own["visit_seconds"].tolist(), m, own["from_start"].tolist(), own["to_end"].tolist(), start_to_end, budget_s,
-                    own["type"].tolist(), [none(a) for a in own["adventure_id"]], [None] * len(own), [False] * len(own), keep_together)
+        p = _problem(own, cells, start_to_end, budget_s, keep_together=keep_together, variety_weight=variety_weight, interleave=interleave)
         order = solve_orienteering(p)
         return pd.DataFrame({"instance": own["instance"].iloc[0], "seq": range(len(order)), "stop": order, "score": path_score(order, p), "seconds": path_seconds(order, p)})
 
-    # both sides may come from one table, so the matrix gets names of its own
-    cells_ = matrix.select(F.col("instance").alias("of"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("meters").alias("meters"))
-    return nodes.groupBy("instance").cogroup(cells_.groupBy("of")).applyInPandas(run, "instance long, seq int, stop int, score double, seconds double")
+    return _with_cells(nodes, matrix).applyInPandas(run, "instance long, seq int, stop int, score double, seconds double")
+
+
+def evaluate_paths(nodes: DataFrame, matrix: DataFrame, budget_s: float, start_to_end: float, keep_together: bool = False, variety_weight: float = 0.0, interleave: bool = True) -> DataFrame:
+    """(instance, score, seconds, feasible, valid) of each instance's path through the nodes with a ``seq``, in its order; columns as for solving."""
+
+    def run(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame({"instance": [], "score": [], "seconds": [], "feasible": [], "valid": []})
+        own = own.sort_values("i").reset_index(drop=True)
+        p = _problem(own, cells, start_to_end, budget_s, keep_together=keep_together, variety_weight=variety_weight, interleave=interleave)
+        order = own[own["seq"].notna()].sort_values("seq").index.tolist()
+        seconds = path_seconds(order, p)
+        return pd.DataFrame({"instance": own["instance"].iloc[:1], "score": [path_score(order, p)], "seconds": [seconds], "feasible": [seconds <= budget_s + 1e-9], "valid": [keeps_rules(order, p)]})
+
+    return _with_cells(nodes, matrix).applyInPandas(run, "instance long, score double, seconds double, feasible boolean, valid boolean")

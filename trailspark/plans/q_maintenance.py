@@ -164,10 +164,10 @@ _UPLOADS = "SELECT o_orderkey AS upload_id, o_custkey % 50 AS owner, o_orderdate
 
 
 @register("src03_duplicates", f"""
-    WITH u AS ({_UPLOADS}), p AS (SELECT *, (SELECT max((b.at, b.upload_id, b.doc)) FROM u b WHERE b.owner = a.owner AND b.status = 'parsed' AND (b.at, b.upload_id) < (a.at, a.upload_id)) AS last FROM u a WHERE owner < 3)
-    SELECT upload_id, CASE WHEN last IS NOT NULL AND last[3] = doc THEN last[2] END AS duplicate_of FROM p""")
+    WITH u AS ({_UPLOADS}), p AS (SELECT *, last_value(CASE WHEN status = 'parsed' THEN struct_pack(id := upload_id, doc := doc) END IGNORE NULLS) OVER (PARTITION BY owner ORDER BY u.at, u.upload_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM u)
+    SELECT upload_id, CASE WHEN last.doc = doc THEN last.id END AS duplicate_of FROM p""")
 def src03(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").filter(C("o_custkey") % 50 < 3)
+    o = load(spark, sf, "orders")
     u = o.select(C("o_orderkey").alias("upload_id"), (C("o_custkey") % 50).alias("owner"), C("o_orderdate").alias("at"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'failed' ELSE 'parsed' END").alias("status"), F.concat(F.lit("<gpx>"), (C("o_orderkey") % 3).cast("string")).alias("xml"))
     return M.duplicate_uploads(gpx.with_hash(u))
 

@@ -25,11 +25,11 @@ def pl01(spark: SparkSession, sf: str) -> DataFrame:
     return T.fill_matrix(pairs.select("from_id", "to_id"), make_legs(own), routed, "v1").select("from_id", "to_id", "meters", "hit")
 
 
-_M = "SELECT CAST(n / 16 AS BIGINT) AS instance, CAST(n // 4 % 4 AS INTEGER) AS i, CAST(n % 4 AS INTEGER) AS j, CASE WHEN (n * 7) % 5 < 2 THEN CAST(10 + (n * 13) % 50 AS DOUBLE) END AS meters FROM (SELECT c_custkey AS n FROM customer WHERE c_custkey < 320)".replace("n / 16", "n // 16")
+_M = "SELECT CAST(n / 16 AS BIGINT) AS instance, CAST(n // 4 % 4 AS INTEGER) AS i, CAST(n % 4 AS INTEGER) AS j, CASE WHEN (n * 7) % 5 < 2 THEN CAST(10 + (n * 13) % 50 AS DOUBLE) END AS meters FROM (SELECT c_custkey AS n FROM customer)".replace("n / 16", "n // 16")
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    n = load(spark, sf, "customer").filter("c_custkey < 320").select(C("c_custkey").alias("n"))
+    n = load(spark, sf, "customer").select(C("c_custkey").alias("n"))
     return n.select(F.floor(C("n") / 16).alias("instance"), F.pmod(F.floor(C("n") / 4), F.lit(4)).cast("int").alias("i"), (C("n") % 4).cast("int").alias("j"), F.when(C("n") * 7 % 5 < 2, (10 + C("n") * 13 % 50).cast("double")).alias("meters"))
 
 
@@ -41,7 +41,7 @@ def pl02(spark: SparkSession, sf: str) -> DataFrame:
     return O.close_matrices(_matrix(spark, sf), 40.0).select("instance", "i", "j", F.when(F.isnan("meters"), F.lit(None)).otherwise(C("meters")).alias("meters"))
 
 
-def _points(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
+def _points(spark: SparkSession, sf: str, n: int = 60) -> DataFrame:
     """Instances of at most n caches of one owner, in the order of their ids; together they hold all."""
     r = F.row_number().over(Window.partitionBy("owner").orderBy("id")) - 1
     rows = entity(spark, sf, "caches").withColumn("r", r).withColumn("i", C("r") % n)
@@ -58,24 +58,47 @@ def pl05(spark: SparkSession, sf: str) -> DataFrame:
     return O.solve_tours(_distances(_points(spark, sf))).select("instance", "seq", "stop", cents(C("total_m")).alias("total_m"))
 
 
-def _orienteering(spark: SparkSession, sf: str, together: bool) -> DataFrame:
-    p = _points(spark, sf, 9)
+def _walks(spark: SparkSession, sf: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the instances' problems, and the seconds between them."""
+    p = _points(spark, sf, n)
     d = haversine(C("lng"), C("lat"), lit(5.1), lit(52.1)) / 1.4
     nodes = p.select("instance", "i", (1 + C("id") % 4).cast("double").alias("prize"), lit(300).alias("visit_seconds"), "type", "adventure_id", d.alias("from_start"), d.alias("to_end"))
-    return O.solve_orienteerings(nodes, _distances(p).withColumn("meters", C("meters") / 1.4), 4 * 3600.0, 0.0, together)
+    return nodes, _distances(p).withColumn("meters", C("meters") / 1.4)
+
+
+def _orienteering(spark: SparkSession, sf: str, **rules) -> DataFrame:
+    return O.solve_orienteerings(*_walks(spark, sf, 60), 4 * 3600.0, 0.0, **rules).select("instance", "seq", "stop", cents(C("score")).alias("score"), cents(C("seconds")).alias("seconds"))
 
 
 @register("pl06_orienteering")
 def pl06(spark: SparkSession, sf: str) -> DataFrame:
-    return _orienteering(spark, sf, False).select("instance", "seq", "stop", "score", cents(C("seconds")).alias("seconds"))
+    return _orienteering(spark, sf, variety_weight=1.0)
 
 
 @register("pl07_whole_adventures")
 def pl07(spark: SparkSession, sf: str) -> DataFrame:
-    return _orienteering(spark, sf, True).select("instance", "seq", "stop", "score", cents(C("seconds")).alias("seconds"))
-
-
-def _request(spark: SparkSession, sf: str, n: int = 9) -> tuple[DataFrame, DataFrame]:
+    return _orienteering(spark, sf, keep_together=True, interleave=False)
+
+
+@register("pl07_evaluate", f"""
+    WITH n AS (SELECT owner * 1000000 + (r // 9) AS instance, r % 9 AS i, * FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY id) - 1 AS r FROM caches)),
+    q AS (SELECT *, 1 + id % 4 AS prize, row_number() OVER w AS place, lead(lng) OVER w AS lng2, lead(lat) OVER w AS lat2, row_number() OVER (PARTITION BY instance, type ORDER BY id % 4 DESC) - 1 AS k
+          FROM n WHERE id % 3 <> 0 WINDOW w AS (PARTITION BY instance ORDER BY i)),
+    e AS (SELECT q.*, {metres('a', 'b')} AS leg, {metres('a', 's')} AS park FROM q, LATERAL (SELECT q.lng AS lng, q.lat AS lat) a, LATERAL (SELECT q.lng2 AS lng, q.lat2 AS lat) b, (SELECT 5.1e0 AS lng, 52.1e0 AS lat) s),
+    t AS (SELECT instance, sum(prize / (1 + 0.5e0 * k)) AS score, sum(300 + CASE WHEN lng2 IS NULL THEN park ELSE leg END / 1.4e0 + CASE WHEN place = 1 THEN park / 1.4e0 ELSE 0e0 END) AS seconds FROM e GROUP BY 1),
+    g AS (SELECT n.instance, n.adventure_id, count(*) AS members, count(place) AS taken, max(place) - min(place) + 1 AS span FROM n LEFT JOIN q USING (instance, i) WHERE n.adventure_id IS NOT NULL GROUP BY 1, 2),
+    v AS (SELECT instance, bool_and(taken = 0 OR (taken = members AND span = taken)) AS valid FROM g GROUP BY 1)
+    SELECT k.instance, {sql_cents('coalesce(score, 0e0)')} AS score, {sql_cents('coalesce(seconds, 0e0)')} AS seconds, coalesce(seconds, 0e0) <= 14400 AS feasible, coalesce(valid, true) AS valid
+    FROM (SELECT DISTINCT instance FROM n) k LEFT JOIN t USING (instance) LEFT JOIN v USING (instance)""")
+def pl07_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    """The path through two thirds of an instance's caches in their order, by the rules of whole adventures in one piece."""
+    nodes, seconds = _walks(spark, sf, 9)
+    own = _points(spark, sf, 9).filter("id % 3 <> 0").select("instance", "i", C("i").alias("seq"))
+    path = O.evaluate_paths(nodes.join(own, ["instance", "i"], "left"), seconds, 4 * 3600.0, 0.0, keep_together=True, variety_weight=1.0, interleave=False)
+    return path.select("instance", cents(C("score")).alias("score"), cents(C("seconds")).alias("seconds"), "feasible", "valid")
+
+
+def _request(spark: SparkSession, sf: str, n: int = 60) -> tuple[DataFrame, DataFrame]:
     p = _points(spark, sf, n)
     d = haversine(C("lng"), C("lat"), lit(5.1), lit(52.1)) * 1.3
     stops = p.select(C("instance").alias("request"), "id", d.alias("out_m"), d.alias("back_m"), "adventure_id", (C("i") % 5).alias("stage_sequence"))
@@ -144,11 +167,11 @@ def pl13(spark: SparkSession, sf: str) -> DataFrame:
     return T.pick_parking(c, entity(spark, sf, "parking"), 900).select("cluster", "parking_id", cents(C("meters")).alias("meters"))
 
 
-_ALT = "SELECT l_orderkey AS leg, l_linenumber AS alternative, l_quantity * 10 AS meters, (l_partkey % 40) * 25e0 AS x, (l_suppkey % 40) * 25e0 AS y FROM lineitem WHERE l_orderkey < 2000"
+_ALT = "SELECT l_orderkey AS leg, l_linenumber AS alternative, l_quantity * 10 AS meters, (l_partkey % 40) * 25e0 AS x, (l_suppkey % 40) * 25e0 AS y FROM lineitem"
 
 
 def _alternatives(spark: SparkSession, sf: str) -> DataFrame:
-    l = load(spark, sf, "lineitem").filter("l_orderkey < 2000")
+    l = load(spark, sf, "lineitem")
     p = F.struct((C("l_partkey") % 40 * 25).cast("double").alias("x"), (C("l_suppkey") % 40 * 25).cast("double").alias("y"))
     rows = l.select(C("l_orderkey").alias("leg"), C("l_linenumber").alias("alternative"), (C("l_quantity") * 10).alias("meters"), p.alias("p"))
     return rows.groupBy("leg", "alternative").agg(F.min("meters").alias("meters"), F.collect_list("p").alias("points"))
