@@ -29,8 +29,8 @@ def _half_chord(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colum
 
 
 def haversine(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
-    h = F.sqrt(_half_chord(lng1, lat1, lng2, lat2))
-    return lit(2 * EARTH_M) * F.asin(F.when(h > 1, lit(1)).otherwise(h))  # not least(), which passes over nulls
+    # rounding may bring antipodes over 1, where the arcsine isn't a number; the chord is named once, as filters compute each mention anew
+    return lit(2 * EARTH_M) * F.nanvl(F.asin(F.sqrt(_half_chord(lng1, lat1, lng2, lat2))), lit(math.pi / 2))
 
 
 def haversine_planner(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
