@@ -223,7 +223,13 @@ def fn26(spark: SparkSession, sf: str) -> DataFrame:
     return counts.groupBy("owner").agg(F.collect_list("n").alias("ns")).select("owner", cents(P.entropy(C("ns"), 12)).alias("entropy"))
 
 
-@register("fn42_mulberry")
+_WORD = 4294967296
+
+
+@register("fn42_mulberry", f"""
+    WITH a AS (SELECT id, (CAST(id AS HUGEINT) + 1831565813) % {_WORD} AS a FROM pairs), b AS (SELECT id, (xor(a, a >> 15) * (a | 1)) % {_WORD} AS t FROM a),
+    c AS (SELECT id, xor(t, (t + (xor(t, t >> 7) * (t | 61)) % {_WORD}) % {_WORD}) AS t FROM b)
+    SELECT id, CAST(xor(t, t >> 14) AS DOUBLE) / {_WORD}e0 AS value FROM c""")
 def fn42(spark: SparkSession, sf: str) -> DataFrame:
     """The first numbers of generators with different seeds (32-bit arithmetic in one Arrow pass)."""
     import pandas as pd

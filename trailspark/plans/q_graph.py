@@ -124,10 +124,10 @@ def gr17(spark: SparkSession, sf: str) -> DataFrame:
     return G.trim_loose(members, edges)
 
 
-def _kernel(name: str, schema: str, f) -> None:
+def _kernel(name: str, schema: str, f, sql: str | None = None) -> None:
     """A kernel over each owner's points (metres around one reference): f(owner, ids, places) gives rows."""
 
-    @register(name)
+    @register(name, sql)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         import pandas as pd
 
@@ -148,7 +148,10 @@ _kernel("gr06_colocated", "owner long, rep long, n long", lambda o, ids, p: [(o,
 _kernel("gr09_dbscan_planar", "owner long, cluster long, id long", lambda o, ids, p: [(o, n, i) for n, c in enumerate(K.dbscan(ids, D.distances(p), 1500.0, 3)) for i in c])
 _kernel("gr16_split", "owner long, part long, id long", lambda o, ids, p: [(o, n, i) for n, c in enumerate(K.split_by_tree(ids, D.distances(p), 15_000.0, 3)) for i in c])
 _kernel("gr18_trim_far", "owner long, id long", lambda o, ids, p: [(o, i) for i in K.trim_far(ids, p, 4, 9000.0)])
-_kernel("gr19_dedupe", "owner long, size long", lambda o, ids, p: [(o, len(c)) for c in K.dedupe([ids, ids[:-1], ids[: len(ids) // 2]])])
+_NESTED = """
+    WITH n AS (SELECT owner, count(*) AS n FROM caches GROUP BY owner), k AS (SELECT owner, n, n - 1 AS short, n // 2 AS half FROM n)
+    SELECT owner, n AS size FROM k UNION ALL SELECT owner, short FROM k WHERE short < 0.8 * n UNION ALL SELECT owner, half FROM k WHERE half < 0.8 * n AND (short >= 0.8 * n OR half < 0.8 * short)"""
+_kernel("gr19_dedupe", "owner long, size long", lambda o, ids, p: [(o, len(c)) for c in K.dedupe([ids, ids[:-1], ids[: len(ids) // 2]])], _NESTED)
 _kernel("gr21_tree_length", "owner long, meters double", lambda o, ids, p: [(o, round(K.tree_length(len(ids), lambda i, j: D.distances(p)(ids[i], ids[j])), 2))])
 # clusters of twelve, which together hold all of an owner's caches
 _kernel("gr22_tour_estimate", "owner long, cluster long, meters double", lambda o, ids, p: [(o, k // 12, round(_estimate([p[i] for i in ids[k : k + 12]]), 2)) for k in range(0, len(ids), 12)])

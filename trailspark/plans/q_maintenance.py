@@ -109,14 +109,15 @@ def dm11(spark: SparkSession, sf: str) -> DataFrame:
     return M.set_adventure_if_missing(c, c.filter(C("id") % 3 == 0).select("code", F.concat(F.lit("new"), C("id").cast("string")).alias("adventure_id"))).select("id", "adventure_id")
 
 
-@register("dm12_save_tour")
+@register("dm12_save_tour", """
+    SELECT o_orderkey AS id, o_custkey AS owner, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS name, CASE WHEN o_orderkey % 20 = 0 THEN 'slug' WHEN o_orderkey % 3 = 0 THEN 'fresh' END AS share_slug FROM orders""")
 def dm12(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders")
     tours = o.select(C("o_orderkey").alias("id"), C("o_custkey").alias("owner"), F.lit("old").alias("name"), F.when(C("o_orderkey") % 20 == 0, "slug").alias("share_slug"))
     return M.save_tour(tours, tours.filter(C("id") % 3 == 0).withColumns({"name": F.lit("new"), "share_slug": F.lit("fresh")}))
 
 
-@register("dm13_create_profile")
+@register("dm13_create_profile", "SELECT id, owner, name FROM caches UNION ALL SELECT 1000, 3, 'Sunday walk'")
 def dm13(spark: SparkSession, sf: str) -> DataFrame:
     p = entity(spark, sf, "caches").select("id", "owner", "name")
     return M.create_profile(p, spark.createDataFrame([(1000, 3, "Sunday walk")], "id long, owner long, name string"))
@@ -185,7 +186,9 @@ def src06(spark: SparkSession, sf: str) -> DataFrame:
     return osm.landuse(objects).select("osm_id", "kind")
 
 
-@register("src06b_roads_and_parking")
+@register("src06b_roads_and_parking", """
+    SELECT id AS osm_id, CAST(id AS INTEGER) AS value FROM parking WHERE id % 2 = 0 UNION ALL SELECT id, 48 FROM parking WHERE id % 4 <> 0 AND id % 3 = 0
+    UNION ALL SELECT id, NULL FROM parking WHERE id % 4 = 0""")
 def src06b(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.create_map(F.lit("amenity"), F.when(C("id") % 2 == 0, "parking").otherwise("bench"), F.lit("capacity"), C("id").cast("string"), F.lit("highway"), F.when(C("id") % 3 == 0, "service").otherwise("motorway"), F.lit("maxspeed"), F.lit("30 mph"), F.lit("place"), F.lit("town"), F.lit("name"), C("access"))
     objects = entity(spark, sf, "parking").select(F.when(C("id") % 4 == 0, "N").otherwise("W").alias("osm_type"), C("id").alias("osm_id"), tags.alias("tags"), F.lit(True).alias("closed"))

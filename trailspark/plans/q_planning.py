@@ -149,7 +149,11 @@ def pl10(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("owner").applyInPandas(run, "owner long, first_id long, cost double").select("owner", "first_id", cents(C("cost")).alias("cost"))
 
 
-@register("pl11_starts")
+@register("pl11_starts", f"""
+    WITH own AS (SELECT id, lng, lat FROM (SELECT *, row_number() OVER (PARTITION BY floor(lng * 100000 + 0.5), floor(lat * 100000 + 0.5) ORDER BY id) AS n FROM waypoints WHERE type = 'parking') WHERE n = 1),
+    p AS (SELECT 1 AS k, id, lng, lat FROM own UNION ALL SELECT CASE access WHEN 'yes' THEN 2 ELSE 3 END, id, lng, lat FROM parking WHERE access IN ('yes', 'customers')),
+    b AS (SELECT c.owner, p.k, p.id, row_number() OVER (PARTITION BY c.owner ORDER BY p.k, {metres('c', 'p')}, p.id) AS r FROM caches c JOIN p ON abs(c.lat - p.lat) < 0.01 AND {metres('c', 'p')} <= 400)
+    SELECT o.owner AS cluster, CASE b.k WHEN 1 THEN 'pq' WHEN 2 THEN 'osm' WHEN 3 THEN 'road' ELSE 'centroid' END AS source, b.id AS parking_id FROM (SELECT DISTINCT owner FROM caches) o LEFT JOIN b ON b.owner = o.owner AND b.r = 1""")
 def pl11(spark: SparkSession, sf: str) -> DataFrame:
     c = entity(spark, sf, "caches").select(C("owner").alias("cluster"), "id", "lng", "lat")
     p = entity(spark, sf, "parking")
@@ -245,19 +249,27 @@ def pl21(spark: SparkSession, sf: str) -> DataFrame:
     return entity(spark, sf, "caches").groupBy("owner").agg(F.when(has & (C("owner") % 2 == 0), T.choose_mode(["Adventure Lab"], True)).otherwise(T.choose_mode([], True)).alias("mode"))
 
 
-@register("pl22_whole_adventures")
+@register("pl22_whole_adventures", """
+    WITH w AS (SELECT id, adventure_id FROM caches WHERE id % 17 = 3), a AS (SELECT adventure_id, count(*) AS n, min(id) AS first FROM w WHERE adventure_id IS NOT NULL GROUP BY 1),
+    u AS (SELECT adventure_id, sum((SELECT count(*) FROM caches c WHERE c.adventure_id = a.adventure_id)) OVER (ORDER BY n DESC, first ROWS UNBOUNDED PRECEDING) AS upto FROM a)
+    SELECT id, adventure_id FROM w WHERE adventure_id IS NULL UNION ALL SELECT id, adventure_id FROM caches WHERE adventure_id IN (SELECT adventure_id FROM u WHERE upto <= 50)""")
 def pl22(spark: SparkSession, sf: str) -> DataFrame:
     c = entity(spark, sf, "caches")
     return T.whole_adventures(c.filter(C("id") % 17 == 3), c)
 
 
-@register("pl23_with_labs")
+@register("pl23_with_labs", f"""
+    WITH k AS (SELECT id, lng, lat FROM caches WHERE owner = 3 AND id % 3 = 0), c AS (SELECT avg(lng) AS lng, avg(lat) AS lat FROM k), r AS (SELECT max({metres('c', 'k')}) AS r FROM k, c),
+    d AS (SELECT l.id, {metres('c', 'l')} AS m FROM caches l, c WHERE type = 'Adventure Lab' AND l.id NOT IN (SELECT id FROM k))
+    SELECT id, {sql_cents('m')} AS meters FROM d, r WHERE m <= r + 500 ORDER BY m, id LIMIT 50""")
 def pl23(spark: SparkSession, sf: str) -> DataFrame:
     c = entity(spark, sf, "caches")
     return T.with_labs(c.filter((C("owner") == 3) & (C("id") % 3 == 0)).select("id", "lng", "lat"), c.filter(C("type") == "Adventure Lab").select("id", "lng", "lat")).select("id", cents(C("meters")).alias("meters"))
 
 
-@register("pl24_parking_options")
+@register("pl24_parking_options", f"""
+    WITH b AS (SELECT p.id, c.id AS cache_id, {metres('p', 'c')} AS m, row_number() OVER (PARTITION BY p.id ORDER BY {metres('p', 'c')}, c.id) AS r FROM parking p JOIN caches c ON c.owner = 3 AND {metres('p', 'c')} <= 3000)
+    SELECT id, cache_id, {sql_cents('m * 1.3e0')} AS walk_m, m < 1 AS bogus FROM b WHERE r = 1 ORDER BY bogus, m, id LIMIT 8""")
 def pl24(spark: SparkSession, sf: str) -> DataFrame:
     return T.parking_options(entity(spark, sf, "parking"), entity(spark, sf, "caches").filter(C("owner") == 3), 1.3, 3000).withColumn("walk_m", cents(C("walk_m")))
 

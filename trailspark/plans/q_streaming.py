@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.operators.aggregates import state_view
-from trailspark.plans.bindings import entity, load, register
+from trailspark.plans.bindings import entity, load, metres, register
 from trailspark.plans.q_aggregates import _VIEW
 from trailspark.plans.q_spatial import SQL_LEGS, make_legs
 from trailspark.streaming import limiter as L
@@ -17,20 +17,27 @@ C = F.col
 MICROS = "timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', ts)"
 
 
-@register("st01_precompute")
+@register("st01_precompute", f"""
+    WITH pr AS (SELECT a.id AS from_id, b.id AS to_id, {metres('a', 'b')} AS m FROM caches a JOIN caches b ON a.owner = b.owner AND a.id <> b.id), new AS (SELECT * FROM caches WHERE id % 50 = 0),
+    ids AS (SELECT id FROM new UNION SELECT to_id FROM pr WHERE from_id % 50 = 0 AND m <= 1500 UNION SELECT id FROM caches WHERE adventure_id IN (SELECT adventure_id FROM new WHERE adventure_id IS NOT NULL)),
+    near AS (SELECT from_id, to_id, row_number() OVER (PARTITION BY from_id ORDER BY m, to_id) AS r FROM pr WHERE m <= 1500 AND from_id IN (SELECT id FROM ids)),
+    wanted AS (SELECT from_id, to_id FROM near WHERE r <= 3 UNION SELECT a.id, b.id FROM caches a JOIN caches b ON a.adventure_id = b.adventure_id AND a.id <> b.id WHERE a.id IN (SELECT id FROM ids) AND b.id IN (SELECT id FROM ids))
+    SELECT from_id, to_id FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM ({SQL_LEGS}) l WHERE l.from_id = w.from_id AND l.to_id = w.to_id AND l.osrm_version = 'v1')""")
 def st01(spark: SparkSession, sf: str) -> DataFrame:
     """The plan of one micro-batch: pairs that new caches still need."""
     caches = entity(spark, sf, "caches")
     return P.plan_batch(caches, caches.filter(C("id") % 50 == 0).select("id"), make_legs(caches), "v1", 1500, 3)[1]
 
 
-@register("st03_retrigger")
-def st03(spark: SparkSession, sf: str) -> DataFrame:
-    view = state_view(entity(spark, sf, "caches"), entity(spark, sf, "states"))
-    return P.retrigger(view, "walking", "v1", F.expr("timestamp '1998-01-01'"), 365)
+_STALE = "state IN ('missing', 'pending', 'failed') OR osrm_version IS DISTINCT FROM 'v1' OR fetched_at IS NULL OR fetched_at < timestamp '1998-01-01' - INTERVAL 365 DAY"
 
 
-_STALE = "state IN ('missing', 'pending', 'failed') OR osrm_version IS DISTINCT FROM 'v1' OR fetched_at IS NULL OR fetched_at < timestamp '1998-01-01' - INTERVAL 365 DAY"
+@register("st03_retrigger", f"""
+    WITH s AS (SELECT id, owner FROM ({_VIEW}) WHERE kind = 'walking' AND ({_STALE}) ORDER BY id LIMIT 10000), n AS (SELECT *, (row_number() OVER (PARTITION BY owner ORDER BY id) - 1) // 50 AS chunk FROM s)
+    SELECT owner, chunk, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM n GROUP BY owner, chunk""")
+def st03(spark: SparkSession, sf: str) -> DataFrame:
+    view = state_view(entity(spark, sf, "caches"), entity(spark, sf, "states"))
+    return P.retrigger(view, "walking", "v1", F.expr("timestamp '1998-01-01'"), 365).withColumn("ids", F.array_join("ids", ","))
 
 
 @register("st04_backfill", f"""
