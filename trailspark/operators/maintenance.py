@@ -134,14 +134,42 @@ def save_tour(tours: DataFrame, tour: DataFrame) -> DataFrame:
     return tours.join(tour.select("id", "owner"), ["id", "owner"], "left_anti").unionByName(new)
 
 
-def create_profile(profiles: DataFrame, profile: DataFrame) -> DataFrame:
-    """Raises if the owner (or the system) already has a profile of that name in any case."""
+def delete_tours(tours: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the tours named by (id, owner): another owner's id deletes nothing."""
+    return tours.join(gone.select("id", "owner"), ["id", "owner"], "left_anti")
+
+
+def free_slugs(tours: DataFrame, tries: DataFrame) -> DataFrame:
+    """(id, share_slug): each tour's first try that no stored tour has; none if all are taken.  tries: id, n, share_slug."""
+    free = tries.join(tours.select("share_slug"), "share_slug", "left_anti")
+    return tries.select("id").distinct().join(free.groupBy("id").agg(F.min_by("share_slug", "n").alias("share_slug")), "id", "left")
+
+
+def _refuse_doubles(profiles: DataFrame, profile: DataFrame) -> None:
     key = [F.coalesce(F.col("owner").cast("string"), F.lit("-")).alias("k"), F.lower("name").alias("n")]
     if profiles.select(*key).intersect(profile.select(*key)).limit(1).count():
         raise ValueError("a profile of that name exists")
+
+
+def create_profile(profiles: DataFrame, profile: DataFrame) -> DataFrame:
+    """Raises if the owner (or the system) already has a profile of that name in any case."""
+    _refuse_doubles(profiles, profile)
     return profiles.unionByName(profile)
 
 
+def update_profiles(profiles: DataFrame, changed: DataFrame) -> DataFrame:
+    """Profiles of the same (id, owner) are replaced; names are checked as on creation.  Another owner's and the system's stay as they are."""
+    own = changed.join(profiles.select("id", "owner"), ["id", "owner"], "left_semi").select(*profiles.columns)
+    rest = profiles.join(own.select("id", "owner"), ["id", "owner"], "left_anti").select(*profiles.columns)
+    _refuse_doubles(rest, own)
+    return rest.unionByName(own)
+
+
+def delete_profiles(profiles: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the profiles named by (id, owner); the system's have no owner and stay."""
+    return profiles.join(gone.select("id", "owner"), ["id", "owner"], "left_anti").select(*profiles.columns)
+
+
 def scan_landuse_once(caches: DataFrame, cache_landuse: DataFrame, polygons: DataFrame, bounds: tuple[float, float, float, float], now) -> tuple[DataFrame, DataFrame]:
     """Caches not yet scanned inside the bounds get their kinds and a stamp; (caches, cache_landuse)."""
     from trailspark.operators.spatial import landuse_of_points

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -82,10 +83,15 @@ def shorter_paths(path: list[int], d: np.ndarray, reversals: bool = True, chains
             yield rest[:at] + (chain[::-1] if way[x] else chain) + rest[at:]
 
 
-def improve_tour(order: list[int], d: np.ndarray, rounds: int = 4096) -> list[int]:
-    """Variable neighbourhood descent: the best reversal, and the best move of a chain of one to three stops, until neither helps."""
+def improve_tour(order: list[int], d: np.ndarray, rounds: int = 4096, until: float | None = None) -> list[int]:
+    """Variable neighbourhood descent: the best reversal, and the best move of a chain of one to three stops, until neither helps.
+
+    Raises TimeoutError beyond ``until`` on the monotonic clock.
+    """
     best, length = list(order), tour_length(order, d)
     for _ in range(rounds):
+        if until is not None and time.monotonic() > until:
+            raise TimeoutError("the search took too long")
         for moves in ({"reversals": True}, {"reversals": False, "chains": (1, 2, 3)}):
             new = next((p[:-1] for p in shorter_paths(best + best[:1], d, **moves) if tour_length(p[:-1], d) < length - 1e-9), None)
             if new is not None:
@@ -397,6 +403,27 @@ def solve_tours(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("instance").applyInPandas(run, "instance long, seq int, stop int, total_m double")
 
 
+def solver_plans(matrix: DataFrame, limit_s: float = 10.0) -> DataFrame:
+    """(instance, status, detail, seq, stop, total_m): a closed tour from stop 0 for each request; "unavailable", with the reason and no stops, where the search fails or takes too long.
+
+    A request that fails isn't solved in another way instead, and doesn't stop the others.
+    """
+    schema = "instance long, status string, detail string, seq int, stop int, total_m double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf["instance"].iloc[0]
+        try:
+            m = matrix_of(pdf)
+            if not np.isfinite(m).all():
+                raise ValueError("no way between some stops")
+            order = improve_tour(nearest_first(m, 0), m, until=time.monotonic() + limit_s)
+        except (ValueError, TimeoutError) as problem:
+            return pd.DataFrame({"instance": [one], "status": ["unavailable"], "detail": [str(problem)], "seq": [None], "stop": [None], "total_m": [None]})
+        return pd.DataFrame({"instance": one, "status": "ok", "detail": None, "seq": range(len(order)), "stop": order, "total_m": tour_length(order, m)})
+
+    return matrix.groupBy("instance").applyInPandas(run, schema)
+
+
 def _problem(own: pd.DataFrame, cells: pd.DataFrame, start_to_end: float, budget_s: float, **rules) -> Problem:
     none = lambda x: None if x is None or x != x else x
     m = np.nan_to_num(matrix_of(cells), nan=1e12) if len(cells) else np.zeros((len(own), len(own)))

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from trailspark.operators import aggregates as A
 from trailspark.operators import finder as X
 from trailspark.operators import maintenance as M
+from trailspark.operators import optimise as O
 from trailspark.plans import settings
 from trailspark.plans.bindings import cents, entity, load, register, scalar, sql_cents
 from trailspark.plans.q_maintenance import _xml
+from trailspark.plans.q_planning import _distances, _points
 from trailspark.plans.q_spatial import SQL_LEGS, make_legs
 from trailspark.sources import gpx
-from trailspark.streaming.precompute import late_guard
+from trailspark.streaming.precompute import late_guard, retained, retry_states
 
 C = F.col
 
@@ -88,3 +90,33 @@ def st09(spark: SparkSession, sf: str) -> DataFrame:
     c = entity(spark, sf, "caches").filter(C("type").isin("Adventure Lab", "Other")).select("id", "owner", "code", "stage_sequence", F.when(C("id") % 4 == 2, F.lit("")).otherwise(C("adventure_id")).alias("adventure_id"))
     known = c.select("code", F.concat(F.lit("new"), C("owner").cast("string")).alias("adventure_id"))
     return A.dedupe_stages(M.set_adventure_if_missing(c, known)).select("id")
+
+
+@register("src09_solver", """
+    WITH n AS (SELECT owner * 1000000 + (row_number() OVER (PARTITION BY owner ORDER BY id) - 1) // 60 AS instance FROM caches), k AS (SELECT instance, count(*) AS n FROM n GROUP BY 1)
+    SELECT instance, CASE WHEN instance % 7 = 0 AND n > 2 THEN 'unavailable' ELSE 'ok' END AS status, CASE WHEN instance % 7 = 0 AND n > 2 THEN 0 ELSE n END AS stops FROM k""")
+def src09(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests to the solver; those of every seventh instance lack a distance and fail."""
+    m = _distances(_points(spark, sf)).filter(~((C("instance") % 7 == 0) & (C("i") == 1) & (C("j") == 2)))
+    return O.solver_plans(m).groupBy("instance", "status").agg(F.count_distinct("stop").alias("stops"))
+
+
+_ATTEMPTS = 'SELECT o_custkey AS job, CAST(o_orderkey AS DOUBLE) AS "at", o_orderkey % 9 = 0 AS ok FROM orders'
+
+
+def _attempts(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "orders").select(C("o_custkey").alias("job"), C("o_orderkey").cast("double").alias("at"), (C("o_orderkey") % 9 == 0).alias("ok"))
+
+
+@register("st02b_retries", f"""
+    SELECT job, CASE WHEN bool_or(ok) THEN 'done' WHEN count(*) >= 12 THEN 'failed' ELSE 'waiting' END AS state, count(*) AS tries, max("at") AS "at",
+           CASE WHEN NOT bool_or(ok) AND count(*) < 12 THEN max("at") + 5 * pow(2, count(*) - 1) END AS next_at FROM ({_ATTEMPTS}) GROUP BY job""")
+def st02b(spark: SparkSession, sf: str) -> DataFrame:
+    return retry_states(_attempts(spark, sf), 12, 5.0)
+
+
+@register("st02c_retention", f"""
+    WITH j AS (SELECT job, CASE WHEN bool_or(ok) THEN 'done' WHEN count(*) >= 12 THEN 'failed' ELSE 'waiting' END AS state, max("at") AS "at" FROM ({_ATTEMPTS}) GROUP BY job)
+    (SELECT job, state FROM j WHERE state = 'done' AND "at" >= 11400 ORDER BY "at" DESC, job LIMIT 300) UNION ALL SELECT job, state FROM j WHERE state = 'failed' AND "at" >= 5000 UNION ALL SELECT job, state FROM j WHERE state = 'waiting'""")
+def st02c(spark: SparkSession, sf: str) -> DataFrame:
+    return retained(retry_states(_attempts(spark, sf), 12, 5.0), 15_000.0, 3600.0, 300, 10_000.0).select("job", "state")

@@ -123,6 +123,32 @@ def dm13(spark: SparkSession, sf: str) -> DataFrame:
     return M.create_profile(p, spark.createDataFrame([(1000, 3, "Sunday walk")], "id long, owner long, name string"))
 
 
+@register("dm12b_delete_tours", "SELECT o_orderkey AS id, o_custkey AS owner FROM orders WHERE o_orderkey % 4 <> 0 OR o_custkey % 2 <> 0")
+def dm12b(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fourth tour is asked to go, half of them by others than their owners."""
+    tours = load(spark, sf, "orders").select(C("o_orderkey").alias("id"), C("o_custkey").alias("owner"))
+    return M.delete_tours(tours, tours.filter(C("id") % 4 == 0).withColumn("owner", F.when(C("owner") % 2 == 0, C("owner")).otherwise(-C("owner"))))
+
+
+@register("dm12c_free_slugs", """
+    WITH t AS (SELECT o_orderkey AS id, unnest(generate_series(0, 2)) AS n FROM orders WHERE o_orderkey % 2 = 1), s AS (SELECT id, n, concat('s', id * 2 + n * id) AS slug FROM t)
+    SELECT id, min_by(slug, n) FILTER (slug NOT IN (SELECT concat('s', o_orderkey) FROM orders WHERE o_orderkey % 2 = 0)) AS share_slug FROM s GROUP BY id""")
+def dm12c(spark: SparkSession, sf: str) -> DataFrame:
+    o = load(spark, sf, "orders")
+    slug = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    stored = o.filter(C("o_orderkey") % 2 == 0).select(slug(C("o_orderkey")).alias("share_slug"))
+    tries = o.filter(C("o_orderkey") % 2 == 1).select(C("o_orderkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    return M.free_slugs(stored, tries.withColumn("share_slug", slug(C("id") * 2 + C("n") * C("id"))))
+
+
+@register("dm13b_update_profiles", "SELECT id, owner, CASE WHEN id % 3 = 0 AND owner > 0 THEN upper(concat(name, '!')) ELSE name END AS name FROM caches WHERE NOT (id % 5 = 0 AND owner % 2 = 0)")
+def dm13b(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third profile gets a new name and every fifth is deleted, where its owner asks for it."""
+    p = entity(spark, sf, "caches").select("id", "owner", "name")
+    asked = p.filter(C("id") % 3 == 0).select("id", F.when(C("owner") > 0, C("owner")).otherwise(C("owner") - 1).alias("owner"), F.upper(F.concat("name", F.lit("!"))).alias("name"))
+    return M.delete_profiles(M.update_profiles(p, asked), p.filter(C("id") % 5 == 0).select("id", F.when(C("owner") % 2 == 0, C("owner")).otherwise(-C("owner")).alias("owner")))
+
+
 @register("dm14_upload_status", "SELECT o_custkey AS upload_id, arg_max(st, row(r, t, st)) AS status FROM (SELECT o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'received' WHEN 1 THEN 'stored' WHEN 2 THEN 'parsed' ELSE 'failed' END AS st, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS r, o_orderdate AS t FROM orders) GROUP BY 1")
 def dm14(spark: SparkSession, sf: str) -> DataFrame:
     st = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'received' WHEN 1 THEN 'stored' WHEN 2 THEN 'parsed' ELSE 'failed' END")

@@ -171,24 +171,46 @@ def pl13(spark: SparkSession, sf: str) -> DataFrame:
     return T.pick_parking(c, entity(spark, sf, "parking"), 900).select("cluster", "parking_id", cents(C("meters")).alias("meters"))
 
 
-_ALT = "SELECT l_orderkey AS leg, l_linenumber AS alternative, l_quantity * 10 AS meters, (l_partkey % 40) * 25e0 AS x, (l_suppkey % 40) * 25e0 AS y FROM lineitem"
+_BASE = "SELECT l_orderkey AS leg, l_linenumber AS alternative, min(l_quantity) * 10e0 AS meters, min(l_partkey) AS a, min(l_suppkey) AS b FROM lineitem GROUP BY 1, 2"
 
 
-def _alternatives(spark: SparkSession, sf: str) -> DataFrame:
-    l = load(spark, sf, "lineitem")
-    p = F.struct((C("l_partkey") % 40 * 25).cast("double").alias("x"), (C("l_suppkey") % 40 * 25).cast("double").alias("y"))
-    rows = l.select(C("l_orderkey").alias("leg"), C("l_linenumber").alias("alternative"), (C("l_quantity") * 10).alias("meters"), p.alias("p"))
-    return rows.groupBy("leg", "alternative").agg(F.min("meters").alias("meters"), F.collect_list("p").alias("points"))
+def _scored_sql(shift: str, factor: float) -> str:
+    """Ways with their hits in cells whose coordinates' sum is a multiple of three."""
+    cells = f"(floor((a + k * 7 + {shift}) % 40 / 2e0 + 0.5) + floor((b + k * 3 + {shift}) % 40 / 2e0 + 0.5)) % 3 = 0"
+    return f"SELECT leg, alternative, meters * {factor}e0 AS meters, count(*) FILTER ({cells}) AS hits, meters * {factor}e0 + count(*) FILTER ({cells}) * meters * {factor}e0 / 5 AS cost FROM ({_BASE}), range(6) t(k) GROUP BY leg, alternative, meters, a, b"
 
 
-@register("pl14_pick_legs", f"""
-    WITH a AS (SELECT leg, alternative, min(meters) AS meters, count(*) FILTER ((floor(x / 50 + 0.5) + floor(y / 50 + 0.5)) % 3 = 0) AS hits FROM ({_ALT}) GROUP BY 1, 2), s AS (SELECT *, min(meters) OVER (PARTITION BY leg) AS shortest FROM a),
-    c AS (SELECT leg, alternative, meters + hits * 50e0 AS cost FROM s WHERE meters <= shortest * 1.5e0)
-    SELECT leg, arg_min(alternative, (cost * 100 + alternative)) AS alternative, min(cost) AS cost FROM c GROUP BY leg""")
-def pl14(spark: SparkSession, sf: str) -> DataFrame:
+def _ways(spark: SparkSession, sf: str, shift: int = 0, factor: float = 1.0) -> DataFrame:
+    """Each line item is a way of six points."""
+    l = load(spark, sf, "lineitem").groupBy(C("l_orderkey").alias("leg"), C("l_linenumber").alias("alternative")).agg((F.min("l_quantity") * 10 * F.lit(factor)).alias("meters"), F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("b"))
+    at = lambda c, step, k: ((C(c) + k * step + shift) % 40 * 25).cast("double")
+    return l.select("leg", "alternative", "meters", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct(at("a", 7, k).alias("x"), at("b", 3, k).alias("y"))).alias("points"))
+
+
+def _walked(spark: SparkSession) -> DataFrame:
     n = spark.range(0, 41).select(C("id").cast("double").alias("x"))
-    walked = n.crossJoin(n.select(C("x").alias("y"))).filter((C("x") + C("y")) % 3 == 0)  # a fixed grid of cells
-    return T.pick_legs(_alternatives(spark, sf), walked, 50.0)
+    return n.crossJoin(n.select(C("x").alias("y"))).filter((C("x") + C("y")) % 3 == 0)  # a fixed grid of cells
+
+
+_PICKED = f"""
+    s AS ({_scored_sql('0', 1.0)}), f AS (SELECT leg, arg_min(meters, alternative) AS primary_m FROM s GROUP BY leg),
+    p AS (SELECT s.*, primary_m FROM s JOIN f USING (leg) WHERE meters <= primary_m * 1.5e0 QUALIFY row_number() OVER (PARTITION BY leg ORDER BY cost, alternative) = 1)"""
+
+
+@register("pl14_pick_legs", f"WITH {_PICKED} SELECT leg, alternative, {sql_cents('cost')} AS cost, hits FROM p")
+def pl14(spark: SparkSession, sf: str) -> DataFrame:
+    return T.pick_legs(_ways(spark, sf), _walked(spark), 50.0).select("leg", "alternative", cents(C("cost")).alias("cost"), "hits")
+
+
+@register("pl15_nudge", f"""
+    WITH {_PICKED}, v AS ({_scored_sql('13', 1.25)}),
+    n AS (SELECT p.leg, v.alternative, v.cost FROM p JOIN v USING (leg) WHERE p.hits / 6e0 >= 0.3 AND p.meters >= 150 AND v.meters <= p.primary_m * CASE WHEN p.hits / 6e0 >= 0.5 THEN 2.5e0 ELSE 1.5e0 END AND v.cost < p.cost
+          QUALIFY row_number() OVER (PARTITION BY p.leg ORDER BY v.cost, v.alternative) = 1)
+    SELECT p.leg, CASE WHEN n.leg IS NULL THEN 'alternative' ELSE 'nudge' END AS source, coalesce(n.alternative, p.alternative) AS alternative, {sql_cents('coalesce(n.cost, p.cost)')} AS cost FROM p LEFT JOIN n ON n.leg = p.leg""")
+def pl15_nudge(spark: SparkSession, sf: str) -> DataFrame:
+    """Ways through points beside a leg are modelled as other points and a quarter more metres."""
+    walked = _walked(spark)
+    return T.nudge_legs(T.pick_legs(_ways(spark, sf), walked, 50.0), _ways(spark, sf, 13, 1.25), walked, 50.0).withColumn("cost", cents(C("cost")))
 
 
 @register("pl15_via_candidates")

@@ -167,18 +167,44 @@ def parking_options(parking: DataFrame, caches: DataFrame, legs_factor: float, r
 # ---- legs and loops ------------------------------------------------------------------------------------------------------
 
 
-def pick_legs(alternatives: DataFrame, walked: DataFrame, grid_m: float, alpha: float = 1.0, most_detour: float = 1.5) -> DataFrame:
-    """(leg, alternative, cost): of each leg's ways the one with the least metres plus overlap with cells walked before; ways beyond a share of the shortest are out.
-
-    alternatives: leg, alternative, meters, points (array of x, y in metres); walked: x, y cells.
-    """
+def _scored(ways: DataFrame, walked: DataFrame, grid_m: float, alpha: float) -> DataFrame:
+    """The ways (leg, alternative, meters, points) with at least two points, with n_points, hits (points in walked cells) and cost: their metres and those that were walked before."""
     cell = lambda c: F.floor(c / lit(grid_m) + lit(0.5))
-    points = alternatives.select("leg", "alternative", "meters", F.explode("points").alias("p")).select("leg", "alternative", "meters", cell(F.col("p.x")).alias("x"), cell(F.col("p.y")).alias("y"))
+    points = ways.select("leg", "alternative", F.explode("points").alias("p")).select("leg", "alternative", cell(F.col("p.x")).alias("x"), cell(F.col("p.y")).alias("y"))
     hits = points.join(walked.select("x", "y").distinct(), ["x", "y"], "left_semi").groupBy("leg", "alternative").agg(F.count("*").alias("hits"))
-    shortest = F.min("meters").over(Window.partitionBy("leg"))
-    j = alternatives.withColumn("shortest", shortest).filter(F.col("meters") <= F.col("shortest") * lit(most_detour)).join(hits, ["leg", "alternative"], "left")
-    cost = F.col("meters") + lit(alpha) * F.coalesce("hits", F.lit(0)) * lit(grid_m)
-    return j.groupBy("leg").agg(F.min_by(F.struct("alternative", cost.alias("cost")), F.struct(cost.alias("c"), F.col("alternative"))).alias("b")).select("leg", "b.alternative", "b.cost")
+    j = ways.select("leg", "alternative", "meters", F.size("points").alias("n_points")).filter("n_points >= 2").join(hits, ["leg", "alternative"], "left")
+    j = j.withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return j.withColumn("cost", F.col("meters") + lit(alpha) * F.col("hits") * F.col("meters") / (F.col("n_points") - 1))
+
+
+def pick_legs(alternatives: DataFrame, walked: DataFrame, grid_m: float, alpha: float = 1.0, most_detour: float = 0.5) -> DataFrame:
+    """(leg, alternative, cost, meters, n_points, hits, primary_m): of each leg's ways the one with the least cost, the first of equal ones.
+
+    The way with the smallest number is the router's own; others longer than it by more than a share are out.  alternatives: leg, alternative, meters, points
+    (array of x, y in metres); walked: x, y cells.
+    """
+    primary = alternatives.groupBy("leg").agg(F.min_by("meters", "alternative").alias("primary_m"))
+    j = _scored(alternatives, walked, grid_m, alpha).join(primary, "leg").filter(F.col("meters") <= F.col("primary_m") * lit(1 + most_detour))
+    names = ("alternative", "cost", "meters", "n_points", "hits", "primary_m")
+    return j.groupBy("leg").agg(F.min_by(F.struct(*names), F.struct("cost", "alternative")).alias("b")).select("leg", *(F.col(f"b.{c}") for c in names))
+
+
+def nudge_legs(
+    picked: DataFrame, vias: DataFrame, walked: DataFrame, grid_m: float, alpha: float = 1.0, most_detour: float = 0.5,
+    overlap_from: float = 0.3, severe_from: float = 0.5, severe_detour: float = 1.5, least_m: float = 150.0,
+) -> DataFrame:
+    """(leg, source, alternative, cost): picked legs, or a way through a point beside them where that costs less.
+
+    Only legs of some length that share much with walked cells are nudged; where they share most, longer detours are allowed.  vias: leg, alternative, meters, points.
+    """
+    share = F.col("hits") / F.col("n_points")
+    asked = picked.filter((share >= overlap_from) & (F.col("meters") >= least_m)).select(
+        "leg", F.col("cost").alias("picked_cost"), (F.col("primary_m") * (1 + F.when(share >= severe_from, lit(max(most_detour, severe_detour))).otherwise(lit(most_detour)))).alias("most_m")
+    )
+    j = _scored(vias, walked, grid_m, alpha).join(asked, "leg").filter((F.col("meters") <= F.col("most_m")) & (F.col("cost") < F.col("picked_cost")))
+    best = j.groupBy("leg").agg(F.min_by(F.struct("alternative", "cost"), F.struct("cost", "alternative")).alias("v"))
+    rows = picked.join(best, "leg", "left")
+    return rows.select("leg", F.when(F.col("v").isNull(), "alternative").otherwise("nudge").alias("source"), F.coalesce("v.alternative", "alternative").alias("alternative"), F.coalesce("v.cost", "cost").alias("cost"))
 
 
 def fringe(legs: DataFrame, grid_m: float, most_m: float = 500.0) -> DataFrame:

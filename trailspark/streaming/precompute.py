@@ -50,3 +50,18 @@ def late_guard(stored: DataFrame, incoming: DataFrame, keys: list[str], at: str)
     rows = stored.withColumn("__n", F.lit(0)).unionByName(incoming.withColumn("__n", F.lit(1)))
     order = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("__n"))
     return rows.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__n")
+
+
+def retry_states(attempts: DataFrame, most: int = 3, delay_s: float = 5.0) -> DataFrame:
+    """(job, state, tries, at, next_at): done after a success, failed after ``most`` tries, else waiting, twice as long after each try.  attempts: job, at (seconds), ok."""
+    by = attempts.groupBy("job").agg(F.bool_or("ok").alias("ok"), F.count("*").alias("tries"), F.max("at").alias("at"))
+    state = F.when(F.col("ok"), "done").when(F.col("tries") >= most, "failed").otherwise("waiting")
+    next_at = F.when(state == "waiting", F.col("at") + F.lit(float(delay_s)) * F.pow(F.lit(2.0), F.col("tries") - 1))
+    return by.select("job", state.alias("state"), "tries", "at", next_at.alias("next_at"))
+
+
+def retained(jobs: DataFrame, now_s: float, done_s: float = 3600.0, done_most: int = 1000, failed_s: float = 7 * 24 * 3600.0) -> DataFrame:
+    """Jobs that are kept: the newest done ones of a while, failed ones for longer, all that wait.  jobs: job, state, at (seconds)."""
+    age = F.lit(float(now_s)) - F.col("at")
+    done = jobs.filter((F.col("state") == "done") & (age <= done_s)).orderBy(F.desc("at"), "job").limit(done_most)
+    return done.unionByName(jobs.filter(((F.col("state") == "failed") & (age <= failed_s)) | (F.col("state") == "waiting")))
