@@ -294,3 +294,40 @@ def test_kth_smallest_narrows_to_the_value(spark):
     for k in (0, 17, 1750, 3499):
         assert kth_smallest(df, "v", k, buckets=16, few=20) == sorted(values)[k]
     assert kth_smallest(df, "v", 3500) is None and kth_smallest(df.limit(0), "v", 0) is None
+
+
+def test_lines_lose_only_near_points():
+    """Every point that goes lies within the tolerance of the stretch that replaces it; a point that stays inside a stretch of two would be missed."""
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        x, y = np.arange(30.0), r.normal(0, 1, 30).cumsum()
+        for tolerance in (0.0, 0.5, 2.0, 100.0):
+            k = spatial.kept_points(x, y, tolerance)
+            assert k[0] == 0 and k[-1] == 29
+            for a, b in zip(k, k[1:], strict=False):
+                for i in range(a + 1, b):
+                    t = np.clip(((x[i] - x[a]) * (x[b] - x[a]) + (y[i] - y[a]) * (y[b] - y[a])) / ((x[b] - x[a]) ** 2 + (y[b] - y[a]) ** 2), 0, 1)
+                    assert np.hypot(x[a] + t * (x[b] - x[a]) - x[i], y[a] + t * (y[b] - y[a]) - y[i]) <= tolerance + 1e-9
+        assert len(spatial.kept_points(x, y, 100.0)) == 2
+
+
+def test_rings_stay_simple():
+    """Star-shaped rings keep a triangle at least and no edges that meet; one with a hole beside a dent keeps the dent."""
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        angle = np.linspace(0, 2 * np.pi, 40)
+        radius = r.uniform(0.3, 1, 40)
+        radius[-1] = radius[0]
+        ring = radius * np.cos(angle), radius * np.sin(angle)
+        ring[0][-1], ring[1][-1] = ring[0][0], ring[1][0]
+        for tolerance in (0.01, 0.2, 5.0):
+            (k,) = spatial.kept_of_rings([ring], tolerance)
+            assert len(k) >= 4 and k[0] == 0 and k[-1] == 39
+            assert not spatial._touching([(ring[0][k], ring[1][k])])
+    square = np.array([0, 4, 4, 0, 0.0]), np.array([0, 0, 4, 4, 0.0])
+    assert not spatial._touching([square]) and spatial._touching([(np.array([0, 4, 0, 4, 0.0]), np.array([0, 4, 4, 0, 0.0]))])
+    bulge = np.array([0, 4, 4, 2, 0, 0.0]), np.array([0, 0, 4, 5, 4, 0.0])
+    hole = np.array([1.9, 2.1, 2.0, 1.9]), np.array([4.2, 4.2, 4.5, 4.2])
+    outer, _ = spatial.kept_of_rings([bulge, hole], 1.5)
+    assert 3 in outer  # without the bulge the hole would lie outside
+    assert 3 not in spatial.kept_of_rings([bulge], 1.5)[0]

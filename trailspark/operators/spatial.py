@@ -5,6 +5,8 @@ A distance alone plans as a nested loop, so every join here is an equi-join on c
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,19 +170,105 @@ def join_lines(lines: Column) -> Column:
     return F.when(F.size(kept) == 1, F.concat(kept, kept)).otherwise(kept)
 
 
-def simplify(points: Column, tolerance: float) -> Column:
-    """Drops points that lie within the tolerance of the last kept one, ends excepted.
-
-    Topology between neighbouring rings isn't kept.
+def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker: indices of the points of a line that stay; none that goes lies farther than the tolerance from the stretch that replaces it."""
+    keep = np.zeros(len(x), bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(x) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        dx, dy, px, py = x[b] - x[a], y[b] - y[a], x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
+        n = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / n, 0, 1) if n > 0 else 0.0
+        far = np.hypot(px - t * dx, py - t * dy)
+        k = int(np.argmax(far))
+        if far[k] > tolerance:
+            keep[a + 1 + k] = True
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return np.flatnonzero(keep)
+
+
+def _touching(rings: list[tuple[np.ndarray, np.ndarray]]) -> bool:
+    """Whether edges that aren't neighbours in a ring meet, within a ring or between rings."""
+    edges = [np.column_stack([x[:-1], y[:-1], x[1:], y[1:], np.full(len(x) - 1, r), np.arange(len(x) - 1), np.full(len(x) - 1, len(x) - 1)]) for r, (x, y) in enumerate(rings)]
+    e = np.concatenate(edges)
+    for k in range(len(e) - 1):
+        a, o = e[k], e[k + 1 :]
+        near = (o[:, 4] == a[4]) & np.isin(o[:, 5] - a[5], (1, a[6] - 1))
+        o = o[~near]
+        side = lambda p, x, y: (p[..., 2] - p[..., 0]) * (y - p[..., 1]) - (p[..., 3] - p[..., 1]) * (x - p[..., 0])
+        apart = side(a, o[:, 0], o[:, 1]) * side(a, o[:, 2], o[:, 3]) > 0
+        apart |= side(o, a[0], a[1]) * side(o, a[2], a[3]) > 0
+        low, high = np.minimum(o[:, :2], o[:, 2:4]), np.maximum(o[:, :2], o[:, 2:4])
+        apart |= (low > np.maximum(a[:2], a[2:4])).any(axis=1) | (high < np.minimum(a[:2], a[2:4])).any(axis=1)
+        if not apart.all():
+            return True
+    return False
+
+
+def _inside(rings: list[tuple[np.ndarray, np.ndarray]]) -> list[bool]:
+    """For each pair of rings whether the first point of one lies in the other."""
+    out = []
+    for a, (px, py) in enumerate(rings):
+        for b, (x, y) in enumerate(rings):
+            if a != b:
+                over = (y[:-1] > py[0]) != (y[1:] > py[0])
+                at = x[:-1][over] + (py[0] - y[:-1][over]) / (y[1:][over] - y[:-1][over]) * (x[1:][over] - x[:-1][over])
+                out.append(bool(np.count_nonzero(at > px[0]) % 2))
+    return out
+
+
+def kept_of_rings(rings: list[tuple[np.ndarray, np.ndarray]], tolerance: float) -> list[np.ndarray]:
+    """Indices of the points of closed rings that stay: at least a triangle of each, and with less tolerance where edges would meet or a ring leave another."""
+    every = [np.arange(len(x)) for x, _ in rings]
+    if any(len(x) < 4 for x, _ in rings) or _touching(rings):
+        return every
+    while tolerance > 0:
+        kept = []
+        for x, y in rings:
+            far = int(np.argmax(np.hypot(x - x[0], y - y[0])))
+            k = np.concatenate([kept_points(x[: far + 1], y[: far + 1], tolerance), far + kept_points(x[far:], y[far:], tolerance)[1:]]) if 0 < far < len(x) - 1 else np.arange(len(x))
+            if len(k) < 4:
+                dx, dy = x[far] - x[0], y[far] - y[0]
+                third = int(np.argmax(np.abs(dx * (y - y[0]) - dy * (x - x[0]))))
+                k = np.unique([0, far, third, len(x) - 1])
+            kept.append(k)
+        new = [(x[k], y[k]) for (x, y), k in zip(rings, kept, strict=True)]
+        if not _touching(new) and _inside(new) == _inside(rings):
+            return kept
+        tolerance = tolerance / 2 if tolerance > 1e-12 else 0.0
+    return every
+
+
+def simplify(points: Column, tolerance: Column | float) -> Column:
+    """A line's points without those that lie within the tolerance (degrees) of the stretch that replaces them; ends stay.
+
+    Which point goes next depends on those that stayed, so the indices come from an Arrow batch; the points don't leave the JVM's column.
     """
-    n = F.size(points)
 
-    def far(kept: Column, p: Column) -> Column:
-        q = F.element_at(kept, -1)
-        return F.hypot(p["lng"] - q["lng"], p["lat"] - q["lat"]) > lit(tolerance)
+    @F.pandas_udf("array<int>")
+    def kept(xs: pd.Series, ys: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else kept_points(np.asarray(x, float), np.asarray(y, float), t).tolist() if len(x) > 2 else list(range(len(x))) for x, y, t in zip(xs, ys, by, strict=True)])
+
+    by = tolerance if isinstance(tolerance, Column) else lit(tolerance)
+    k = kept(F.transform(points, lambda p: p["lng"]), F.transform(points, lambda p: p["lat"]), by)
+    return F.transform(k, lambda i: F.element_at(points, i + 1))
+
+
+def simplify_rings(rings: Column, tolerance: Column | float) -> Column:
+    """Closed rings likewise; edges don't come to meet, and no ring becomes less than a triangle.  Rings whose edges meet already stay as they are."""
+
+    @F.pandas_udf("array<array<int>>")
+    def kept(xs: pd.Series, ys: pd.Series, by: pd.Series) -> pd.Series:
+        pairs = lambda x, y: [(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(x, y, strict=True)]
+        return pd.Series([None if x is None else [k.tolist() for k in kept_of_rings(pairs(x, y), t)] if len(x) else [] for x, y, t in zip(xs, ys, by, strict=True)])
 
-    inner = F.aggregate(F.slice(points, 2, F.greatest(n - 2, F.lit(0))), F.slice(points, 1, 1), lambda kept, p: F.when(far(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
-    return F.when(n > 2, F.concat(inner, F.slice(points, -1, 1))).otherwise(points)
+    by = tolerance if isinstance(tolerance, Column) else lit(tolerance)
+    axis = lambda name: F.transform(rings, lambda r: F.transform(r, lambda p: p[name]))
+    k = kept(axis("lng"), axis("lat"), by)
+    return F.transform(F.arrays_zip(rings.alias("r"), k.alias("k")), lambda z: F.transform(z["k"], lambda i: F.element_at(z["r"], i + 1)))
 
 
 def nearest_place(points: DataFrame, places: DataFrame, areas: DataFrame, town_m: float = 8000, village_m: float = 4000) -> DataFrame:

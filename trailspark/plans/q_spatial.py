@@ -204,10 +204,23 @@ def _line(*points: tuple[str, str]):
     return F.array(*[F.struct(F.expr(x).alias("lng"), F.expr(y).alias("lat")) for x, y in points])
 
 
-@register("ge07_simplify")
+@register("ge07_simplify", "SELECT id, CASE WHEN id % 2 = 1 THEN 5 ELSE 2 END AS n, CASE WHEN id % 2 = 1 THEN floor((lat1 + 1e-3) * 1e6 + 0.5) / 1e6 ELSE floor(lat1 * 1e6 + 0.5) / 1e6 END AS top FROM pairs")
 def ge07(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct((C("lng1") + i * 1e-4).alias("lng"), (C("lat1") + F.pmod(i, F.lit(3)) * 1e-5).alias("lat")))
-    return entity(spark, sf, "pairs").select("id", F.size(S.simplify(line, 5e-4)).alias("n"))
+    """Level lines of 21 points, every second with a spike in the middle, whose foot and tip stay."""
+    up = lambda i: F.when((i == 10) & (C("id") % 2 == 1), G.lit(1e-3)).otherwise(G.lit(0.0))
+    line = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct((C("lng1") + i * 1e-4).alias("lng"), (C("lat1") + up(i)).alias("lat")))
+    rows = entity(spark, sf, "pairs").select("id", S.simplify(line, 5e-5).alias("line"))
+    return rows.select("id", F.size("line").alias("n"), (F.floor(F.array_max(F.transform("line", lambda p: p["lat"])) * 1e6 + 0.5) / F.lit(1e6)).alias("top"))
+
+
+@register("ge07b_simplify_rings", "SELECT osm_id, 5 AS n, floor((east - west) * (north - south) * 1e8 + 0.5) AS area FROM landuse")
+def ge07b(spark: SparkSession, sf: str) -> DataFrame:
+    """Rectangles with eight points on each side come back as their corners; the tolerance is a share of the box."""
+    side = lambda x1, y1, x2, y2: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct((C(x1) + (C(x2) - C(x1)) * k / 8).alias("lng"), (C(y1) + (C(y2) - C(y1)) * k / 8).alias("lat")))
+    first = F.array(F.struct(C("west").alias("lng"), C("south").alias("lat")))
+    ring = F.concat(side("west", "south", "east", "south"), side("east", "south", "east", "north"), side("east", "north", "west", "north"), side("west", "north", "west", "south"), first)
+    rows = entity(spark, sf, "landuse").select("osm_id", S.simplify_rings(F.array(ring), (C("east") - C("west")) / 1024).alias("rings"))
+    return rows.select("osm_id", F.size(C("rings")[0]).alias("n"), F.floor(S.area(C("rings")) * 1e8 + 0.5).alias("area"))
 
 
 @register("ge09_geojson", "SELECT id, 2 AS n, floor(lng1 * 1e5 + 0.5) AS x, floor(lat2 * 1e5 + 0.5) AS y FROM pairs")
