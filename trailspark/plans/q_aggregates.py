@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trailspark.functions.geo import haversine, lit
 from trailspark.operators import aggregates as A
+from trailspark.operators import scoring
+from trailspark.plans import tours
 from trailspark.plans.bindings import cents, entity, load, metres, register, sql_cents
 from trailspark.plans.q_spatial import _VIEW, SQL_LEGS, make_legs
 
@@ -226,22 +228,22 @@ def tk03(spark: SparkSession, sf: str) -> DataFrame:
     return A.growth_pool(entity(spark, sf, "caches"), (5.1, 52.1), 4000, 9000, 300).select("id", cents(C("distance_m")).alias("distance_m"), "in_radius")
 
 
-@register("tk04_rank_candidates", "SELECT owner, count(*) AS size, CAST(sum(id % 10) AS BIGINT) AS score FROM caches GROUP BY owner HAVING count(*) >= 2 ORDER BY score DESC, owner LIMIT 5")
+@register("tk04_rank_candidates", "SELECT owner AS cluster, count(*) AS size, CAST(sum(id % 10) AS BIGINT) AS total FROM caches GROUP BY owner HAVING count(*) >= 2 ORDER BY total DESC, owner LIMIT 5")
 def tk04(spark: SparkSession, sf: str) -> DataFrame:
-    by = entity(spark, sf, "caches").groupBy("owner").agg(F.count("*").alias("size"), F.sum(C("id") % 10).alias("score"))
-    return by.filter("size >= 2").orderBy(F.desc("score"), "owner").limit(5)
+    return scoring.rank(entity(spark, sf, "caches").groupBy(C("owner").alias("cluster")).agg(F.count("*").alias("size"), F.sum(C("id") % 10).alias("total")))
 
 
-@register("tk05_walk_candidates", f"SELECT id, id % 4 AS prize FROM caches, (SELECT 5.1e0 AS lng, 52.1e0 AS lat) c ORDER BY id % 4 DESC, {sql_cents('2 * ' + metres('caches', 'c'))}, id LIMIT 60")
+@register("tk05_walk_candidates", f"SELECT id, id % 4 AS prize FROM caches, (SELECT 5.1e0 AS lng, 52.1e0 AS lat) c WHERE 2 * {metres('caches', 'c')} <= 9000 ORDER BY id % 4 DESC, {metres('caches', 'c')}, id LIMIT 60")
 def tk05(spark: SparkSession, sf: str) -> DataFrame:
-    d = cents(2 * haversine(C("lng"), C("lat"), lit(5.1), lit(52.1)))
-    return entity(spark, sf, "caches").orderBy((C("id") % 4).desc(), d, "id").limit(60).select("id", (C("id") % 4).alias("prize"))
+    at = (5.1, 52.1)
+    return tours.walk_candidates(entity(spark, sf, "caches"), C("id") % 4, at, at, 9000).select("id", "prize")
 
 
-@register("tk06_parking_options", f"SELECT p.id, {sql_cents(metres('p', 'c'))} AS meters FROM parking p, (SELECT 5.1e0 AS lng, 52.1e0 AS lat) c ORDER BY p.id % 5 = 0, {metres('p', 'c')}, p.id LIMIT 8")
+@register("tk06_parking_options", f"SELECT p.id, {sql_cents(metres('p', 'c') + ' * 1.3e0')} AS walk_m FROM parking p, caches c WHERE c.id = 7 AND {metres('p', 'c')} <= 30000 ORDER BY {metres('p', 'c')} < 1, {metres('p', 'c')}, p.id LIMIT 8")
 def tk06(spark: SparkSession, sf: str) -> DataFrame:
-    d = haversine(C("lng"), C("lat"), lit(5.1), lit(52.1))
-    return entity(spark, sf, "parking").withColumn("m", d).orderBy(C("id") % 5 == 0, "m", "id").limit(8).select("id", cents(C("m")).alias("meters"))
+    """Around one cache."""
+    one = entity(spark, sf, "caches").filter("id = 7")
+    return tours.parking_options(entity(spark, sf, "parking"), one, 1.3, 30_000).select("id", cents(C("walk_m")).alias("walk_m"))
 
 
 @register("tk07_newest", "SELECT o_orderkey AS id FROM orders WHERE o_custkey % 25 = 3 ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 50")

@@ -114,16 +114,25 @@ def pl08(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("pl09_closed_loop", f"""
-    WITH p AS (SELECT owner, id, lng, lat, lead(lng) OVER w AS lng2, lead(lat) OVER w AS lat2, row_number() OVER w AS r, count(*) OVER (PARTITION BY owner) AS n FROM caches WINDOW w AS (PARTITION BY owner ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-    q AS (SELECT owner, struct_pack(lng := lng, lat := lat) AS a, struct_pack(lng := lng2, lat := lat2) AS b, r, n FROM p)
-    SELECT owner, {sql_cents("sum(CASE WHEN r < n THEN " + metres('a', 'b') + " ELSE 0 END) + sum(CASE WHEN r = 1 THEN " + metres('a', 's') + " ELSE 0 END) + sum(CASE WHEN r = n THEN " + metres('a', 's') + " ELSE 0 END)")} AS meters
-    FROM q, (SELECT 5.1e0 AS lng, 52.1e0 AS lat) s GROUP BY owner""")
+    WITH n AS (SELECT owner * 1000000 + (row_number() OVER (PARTITION BY owner ORDER BY id) - 1) // 60 AS instance, id, lng, lat FROM caches),
+    q AS (SELECT instance, id, lng, lat, lag(lng) OVER w AS lng0, lag(lat) OVER w AS lat0, lead(id) OVER w AS nxt FROM n WINDOW w AS (PARTITION BY instance ORDER BY id)),
+    e AS (SELECT instance, CASE WHEN lng0 IS NULL THEN {metres('a', 's')} ELSE {metres('a', 'b')} END + CASE WHEN nxt IS NULL THEN {metres('a', 's')} ELSE 0e0 END AS m
+          FROM q, LATERAL (SELECT q.lng AS lng, q.lat AS lat) a, LATERAL (SELECT coalesce(q.lng0, q.lng) AS lng, coalesce(q.lat0, q.lat) AS lat) b, (SELECT 5.1e0 AS lng, 52.1e0 AS lat) s)
+    SELECT instance, {sql_cents('sum(m)')} AS meters FROM e GROUP BY instance""")
 def pl09(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("owner").orderBy("id")
-    c = entity(spark, sf, "caches").select("owner", "lng", "lat", F.lead("lng").over(w).alias("x"), F.lead("lat").over(w).alias("y"), F.lag("id").over(w).alias("before"))
-    park = haversine(C("lng"), C("lat"), lit(5.1), lit(52.1))
-    leg = F.coalesce(haversine(C("lng"), C("lat"), C("x"), C("y")), park) + F.when(C("before").isNull(), park).otherwise(lit(0))
-    return c.groupBy("owner").agg(cents(F.sum(leg)).alias("meters"))
+    """Loops from one start through an instance's caches in their order."""
+    import pandas as pd
+
+    p = _points(spark, sf)
+    nodes = p.select("instance", "i", haversine(C("lng"), C("lat"), lit(5.1), lit(52.1)).alias("park"))
+
+    def run(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        park = own.sort_values("i")["park"].to_numpy()
+        return pd.DataFrame({"instance": own["instance"].iloc[:1], "meters": [O.closed_length(list(range(len(park))), O.matrix_of(cells), park, park)]})
+
+    cells = _distances(p).select(C("instance").alias("of"), C("i").alias("i"), C("j").alias("j"), C("meters").alias("meters"))
+    loops = nodes.groupBy("instance").cogroup(cells.groupBy("of")).applyInPandas(run, "instance long, meters double")
+    return loops.select("instance", cents(C("meters")).alias("meters"))
 
 
 @register("pl10_insert_parking", f"""
