@@ -46,8 +46,8 @@ def st03(spark: SparkSession, sf: str) -> DataFrame:
     SELECT id FROM ({_VIEW}) WHERE kind = 'walking' AND ({_STALE}) AND id IN (SELECT id FROM s) UNION SELECT id FROM s JOIN k USING (adventure_id) LEFT JOIN h USING (adventure_id) WHERE coalesce(n, 0) < k * (k - 1)""")
 def st04(spark: SparkSession, sf: str) -> DataFrame:
     caches = entity(spark, sf, "caches")
-    stages = caches.filter("adventure_id IS NOT NULL").select("id", "adventure_id")
-    return P.adventure_backfill(state_view(caches, entity(spark, sf, "states")), stages, make_legs(caches), "v1", F.expr("timestamp '1998-01-01'"), 365)
+    stages = caches.filter("adventure_id IS NOT NULL")  # other legs join no stage
+    return P.adventure_backfill(state_view(caches, entity(spark, sf, "states")), stages.select("id", "adventure_id"), make_legs(stages), "v1", F.expr("timestamp '1998-01-01'"), 365)
 
 
 @register("st05_rate_limit", """
