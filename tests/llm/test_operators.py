@@ -296,6 +296,38 @@ def test_pii_scores_depend_on_the_text_alone(monkeypatch):
         assert want.shape == (len(text), pii.TAGS) and np.allclose(pii.window_scores(net, [text])[0], want, atol=1e-3)
 
 
+def test_pii_windows_read_little_twice(monkeypatch):
+    net, read = pii.default_network(), []
+    texts = ["x" * n for n in (0, 1, 127, 128, 129, 511, 512, 513, 975, 977, 3_000, 3_333, 40_000)]
+    plain = pii.scores
+    monkeypatch.setattr(pii, "scores", lambda net, codes: read.append(codes.size) or plain(net, codes))
+    assert [len(x) for x in pii.window_scores(net, texts)] == [len(t) for t in texts]
+    assert sum(read) < 1.18 * sum(map(len, texts))
+
+
+def test_pii_gates_against_tanh():
+    net, r = pii.default_network(), np.random.default_rng(2)
+    codes = r.integers(0, pii.OTHER + 1, (3, 40))
+    size = net.loops.shape[1] // 4
+    want = np.zeros((40, 2 * size, 3))
+    for side, order in ((0, range(40)), (1, range(39, -1, -1))):
+        h, c = np.zeros((size, 3)), np.zeros((size, 3))
+        for t in order:
+            i, f, o, z = np.split(np.tanh(net.loops[side].astype(np.float64) @ np.concatenate([h, net.embedding[:, codes[:, t]], np.ones((1, 3))])), 4)
+            c = (1 + f) / 2 * c + (1 + i) / 2 * z
+            h = (1 + o) / 2 * np.tanh(c)
+            want[t, side * size : (side + 1) * size] = h
+    assert np.allclose(pii.hidden_states(net, codes, keep=True)[0], want, atol=1e-4)
+    assert np.abs(pii.hidden_states(net, codes)[0] - want).max() < 0.05
+    a = np.linspace(-79, 79, 100_001).astype(np.float32)
+    quick = (pii.PER_E * a.astype(np.float64) + pii.ONE).astype(np.float32)
+    pii.quick_sigmoid(np.empty(a.shape, np.int32), quick, np.empty(a.shape, np.int32))
+    assert np.abs(quick - 1 / (1 + np.exp(-2 * a.astype(np.float64)))).max() < 0.003
+    steep = np.array([-1e4, 0, 1e4], np.float32)
+    pii.sigmoid(steep)
+    assert steep.tolist() == [1, 0.5, 0]
+
+
 def test_pii_long_texts():
     text = "1" * 400_000 + " token = \"" + "0a" * 20 + "\" " + "word " * 60_000 + "a@b.cd"
     base, spans = pii.find([text, None, ""])
